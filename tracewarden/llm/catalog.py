@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import mixing
+from tracewarden.llm import decontamination, licences, mixing, tokencounts, tokenfiles
 from tracewarden.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, which is installed beside Python, never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_mix,)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op8_token_counts, op9_token_files, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontamination.ORACLE, "op2_licences": licences.oracle()}
