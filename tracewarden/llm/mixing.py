@@ -90,7 +90,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def draw_slots(src: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """The mix: (shard, slot, _src, _block, pass), a row for each slot."""
     chunks = src.where("_slots > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_slots - 1) div {CHUNK}"))))
-    chunks = chunks.repartition("_src", "_chunk")
+    n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(n, "_src", "_chunk")  # a number, or the few rows that stand for all slots would be coalesced into one task
     slots = chunks.withColumn("_j", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_chunk * {CHUNK} + {CHUNK}, _slots) - 1)")))
     slots = slots.withColumn("pass", F.expr("_j div _blocks")).withColumn("_i", F.expr("_j % _blocks")).withColumn("_g", F.col("_first") + F.col("_j"))
     slots = permuted(slots, "_i", "_blocks", "_block", F.col("_src"), F.col("pass"), F.lit(seed))
@@ -124,7 +125,7 @@ def pieces(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) ->
     parts = rows.withColumn("_block", F.explode_outer(spans))
     parts = parts.withColumn("_lo", F.greatest(F.col("_block") * block_words - F.col("_start"), F.lit(0)))
     parts = parts.withColumn("_hi", F.least((F.col("_block") + 1) * block_words - F.col("_start"), F.col("_size")))
-    return parts.join(times, ["_src", "_block"], "left").withColumn("_times", F.coalesce("_times", F.lit(0).cast("long")))
+    return parts.join(times.hint("merge"), ["_src", "_block"], "left").withColumn("_times", F.coalesce("_times", F.lit(0).cast("long")))
 
 
 def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
