@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontamination, licences, mixing, tokencounts, tokenfiles
+from tracewarden.llm import decontamination, embedding_duplicates, licences, mixing, near_duplicates, quality, tokencounts, tokenfiles, toxicity
 from tracewarden.llm.common import table
 
 
@@ -25,6 +25,22 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.link(table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -38,7 +54,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op8_token_counts, op9_token_files, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op3_embedding_near_dedup, op4_toxicity, op5_minhash_near_dedup, op6_quality, op8_token_counts, op9_token_files, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
