@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontamination, embedding_duplicates, licences, mixing, near_duplicates, quality, tokencounts, tokenfiles, toxicity
+from tracewarden.llm import decontamination, embedding_duplicates, licences, lm_scores, mixing, near_duplicates, quality, tokencounts, tokenfiles, toxicity
 from tracewarden.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -54,8 +58,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op3_embedding_near_dedup, op4_toxicity, op5_minhash_near_dedup, op6_quality, op8_token_counts, op9_token_files, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op3_embedding_near_dedup, op4_toxicity, op5_minhash_near_dedup, op6_quality, op7_lm_scores, op8_token_counts, op9_token_files, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontamination.ORACLE, "op2_licences": licences.oracle()}
+    return {"op1_decontaminate": decontamination.ORACLE, "op2_licences": licences.oracle(), "op7_lm_scores": lm_scores.ORACLE}

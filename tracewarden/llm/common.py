@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden.session import ship
+
+__all__ = ["NOT_WORD", "materialize", "new_path", "release", "shared_dir", "shingles", "ship", "table", "words"]
+
 #: Fixed value: lower-cased runs of letters and digits are the words of every operator on shingles.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -31,22 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        at = f"{tempfile.mkdtemp(prefix='tracewarden-')}/{package.name}.zip"
-        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(at)
-        _shipped.add(sc.applicationId)
-
-
 _written: list[tuple[SparkSession, str]] = []
 
 
