@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import ship
 
-__all__ = ["NOT_WORD", "materialize", "new_path", "release", "shared_dir", "shingles", "ship", "table", "words"]
+__all__ = ["NOT_WORD", "materialize", "new_path", "packed", "release", "shared_dir", "shingles", "ship", "table", "words"]
 
 #: Fixed value: lower-cased runs of letters and digits are the words of every operator on shingles.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -71,6 +71,11 @@ def release(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no column that is added beside it can clash with one of theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def words(text: Column) -> Column:
     """Array of the lower-cased words of a text; null and blank texts have none."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD)

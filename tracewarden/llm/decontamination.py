@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialize, shingles, words
+from tracewarden.llm.common import materialize, packed, shingles, words
 
 WORDS, SHARE = 5, 0.8
 #: Sketch rows up to which they are broadcast (16 bytes each); larger ones are joined by shuffling.
@@ -66,10 +66,9 @@ def find(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE
 
 def clean(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE) -> DataFrame:
     """``docs`` without the rows that hold an item, as ``find`` judges them; all columns and other rows stay."""
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    plain = keyed.select("_doc", "doc_id", "text")
-    found = find(plain.select(F.col("_doc").alias("doc_id"), "text"), items, n, share)
-    return keyed.join(found.select(F.col("doc_id").alias("_doc")).distinct(), "_doc", "left_anti").select(*docs.columns)
+    keyed = docs.select(packed(docs).alias("d"), F.xxhash64("doc_id", "text").alias("_doc"))
+    found = find(keyed.select(F.col("_doc").alias("doc_id"), "d.text"), items, n, share)
+    return keyed.join(found.select(F.col("doc_id").alias("_doc")).distinct(), "_doc", "left_anti").select("d.*")
 
 
 ORACLE = r"""

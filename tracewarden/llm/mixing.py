@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialize
+from tracewarden.llm.common import materialize, packed
 
 #: Fixed values of the contract: what parts words, the weights of sources in order, the most passes over a source.
 GAP = r"[\x20\x09-\x0D]+"
@@ -148,25 +148,25 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     A document whose words are all taken in a pass keeps its text unchanged; of others the taken parts
     remain, joined by a blank.  ``n_chars``, where there is such a column, is counted anew.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    alike = Window.partitionBy("doc_id", "_text_hash", "source").orderBy(F.lit(0))
+    src_key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    alike = Window.partitionBy("d.doc_id", "_text_hash", "_src").orderBy(F.lit(0))
+    keyed = docs.select(packed(docs).alias("d"), F.xxhash64("text").alias("_text_hash"), src_key.alias("_src"))
     sizes = materialize(sized(docs), "mix-sizes")
     src = source_targets(sizes)
     parts = pieces(placed(sizes, seed), draw_slots(src, seed=seed)).where("_times > 0")
     cut = parts.groupBy("_src", "_bucket", "_rn", "doc_id", "_text_hash", "_size").agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi", "_times"))).alias("_parts"))
     twins = Window.partitionBy("doc_id", "_text_hash", "_src").orderBy("_bucket", "_rn")
     cut = cut.withColumn("_twin", F.row_number().over(twins)).drop("_bucket", "_rn")
-    keyed = keyed.withColumn("_twin", F.row_number().over(alike))
-    src_key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    a, b = keyed.withColumn("_src", src_key).alias("a"), cut.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._text_hash") == F.col("b._text_hash")) & (F.col("a._src") == F.col("b._src")) & (F.col("a._twin") == F.col("b._twin"))
-    both = a.join(b, same).select("a.*", "b._parts", "b._size")
+    a, b = keyed.withColumn("_twin", F.row_number().over(alike)).alias("a"), cut.alias("b")
+    same = F.col("a.d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._text_hash") == F.col("b._text_hash")) & (F.col("a._src") == F.col("b._src")) & (F.col("a._twin") == F.col("b._twin"))
+    both = a.join(b, same).select("a.d", "b._parts", "b._size")
     both = both.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["_times"])).cast("int"))))
     both = both.withColumn("_now", F.filter("_parts", lambda p: p["_times"] >= F.col("_pass")))
     whole = F.aggregate("_now", F.lit(0).cast("long"), lambda s, p: s + p["_hi"] - p["_lo"]) == F.col("_size")
-    ws = F.filter(F.split("text", GAP), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("_now", lambda p: F.slice(ws, p["_lo"].cast("int") + 1, (p["_hi"] - p["_lo"]).cast("int")))), " ")
-    out = both.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    both = both.withColumn("_words", F.filter(F.split("d.text", GAP), lambda w: w != ""))
+    some = F.array_join(F.flatten(F.transform("_now", lambda p: F.slice("_words", p["_lo"].cast("int") + 1, (p["_hi"] - p["_lo"]).cast("int")))), " ")
+    both = both.withColumn("_text", F.when(whole, F.col("d.text")).otherwise(some))
+    anew = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        anew["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*(anew.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

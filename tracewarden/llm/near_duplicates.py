@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm import graph
-from tracewarden.llm.common import materialize, ship
+from tracewarden.llm.common import materialize, packed, ship
 
 K, SKETCHES, MINIMA, SIMILAR = 5, 32, 2, 0.8
 #: Rounds of comparison with anchors: the first with the smallest member of a bucket, others with a pseudorandom one.
@@ -107,14 +107,13 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return most + 1
     if not m or not n:
         return max(m, n)
-    most = min(most, m)
     places: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
         places[w] = places.get(w, 0) | 1 << i
     top = 2 * most
     mask = (1 << top + 1) - 1
     up, down = mask ^ ((1 << most) - 1), 0  # where the column goes up or down from row to row
-    at = most
+    at = min(most, m)
     for j, w in enumerate(b.tolist(), 1):
         x = places.get(w, 0)
         s = j - most - 1
@@ -224,9 +223,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group, with all columns."""
     found = groups(docs).where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_times"))
     kept = materialize(found, "kept").alias("k")
-    d = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._hash") == F.col("k.text_hash"))
-    rows = d.join(kept, same).select("d.*", "k._times")
-    alone = rows.where("_times = 1")
-    repeated = rows.where("_times > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0)))).where("_rn = 1")
-    return alone.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    d = docs.select(packed(docs).alias("d"), F.xxhash64("text").alias("_hash"))
+    rows = d.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_hash") == F.col("k.text_hash"))).select("d", "_hash", "_times")
+    repeated = rows.where("_times > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("d.doc_id", "_hash").orderBy(F.lit(0)))).where("_rn = 1")
+    return rows.where("_times = 1").select("d.*").unionByName(repeated.select("d.*"))
