@@ -91,3 +91,17 @@ def test_streams(spark, tmp_path):
     seen = []
     limits.intake(spark, str(tmp_path / "req"), "ip string, ts timestamp", lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
     assert sum(seen) == 8
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tracewarden.__main__ import main
+
+    assert main([]) == 1 and json.loads(capsys.readouterr().out) == {"error": "No skill path provided"}
+    assert main(["/no/such"]) == 1 and "does not exist" in json.loads(capsys.readouterr().out)["error"]
+    assert main([tree(tmp_path) + "/a"]) == 0
+    d = json.loads(capsys.readouterr().out)
+    assert not d["passed"] and d["risk_level"] == "critical" and {"runner", "credential_detector"} <= set(d["summary"])
+    [f] = [f for r in d["results"] if r["detector"] == "permission_scanner" for f in r["findings"]]
+    assert f == {"detector": "permission_scanner", "severity": "critical", "rule_id": "PERM_NET_001", "description": "Skill declares no network access but code exhibits network behavior", "file_path": ".hidden/_u.py", "line_number": 1, "match": "undeclared network usage"}

@@ -63,11 +63,11 @@ def severity_pivot(findings: DataFrame) -> DataFrame:
 
 def documents(skills: DataFrame, findings: DataFrame) -> DataFrame:
     """(skill_id, report): the JSON document of each skill's audit, results in canonical order."""
-    line = F.struct("rule_id", "severity", "description", "file_path", "line_number", "match")
+    line = F.struct("detector", "severity", "rule_id", "description", "file_path", "line_number", "match")
     lists = findings.groupBy("skill_id", "detector").agg(F.array_sort(F.collect_list(F.struct("file_path", "line_number", "rule_id", line.alias("f")))).alias("x"))
     lists = lists.select("skill_id", "detector", F.transform("x", lambda x: x["f"]).alias("list"))
     per = summary(skills, findings).join(lists, ["skill_id", "detector"], "left")
-    none = F.array().cast("array<struct<rule_id:string,severity:string,description:string,file_path:string,line_number:int,match:string>>")
+    none = F.array().cast("array<struct<detector:string,severity:string,rule_id:string,description:string,file_path:string,line_number:int,match:string>>")
     entry = F.struct("detector", F.struct("passed", "findings", F.struct(*WEIGHTS).alias("by_severity")).alias("summary"), F.struct("detector", "passed", F.coalesce("list", none).alias("findings")).alias("result"))
     per = per.groupBy("skill_id").agg(F.array_sort(F.collect_list(entry)).alias("d"))
     out = reports(skills, findings).join(per, "skill_id")

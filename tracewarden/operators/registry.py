@@ -117,6 +117,25 @@ def badges(skills: DataFrame, reports: DataFrame) -> DataFrame:
     return out.select("id", label.alias("label"), color.alias("color")).withColumn("svg", svg)
 
 
+#: Short names of detectors; others are shown by their own.
+LABELS = {"credential_detector": "cred", "obfuscation_detector": "obfs", "permission_scanner": "perm", "typosquat_checker": "typo", "dependency_scanner": "deps", "network_destination_analyzer": "net", "exfiltration_detector": "exfil"}
+
+
+def detector_label(detector: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), detector), detector)
+
+
+def risk_badge(level: Column, passed: Column) -> Column:
+    """(text, style): VERIFIED, or the level in capitals; a level that isn't known is styled as low."""
+    style = F.when(passed, "verified").when(level.isin("critical", "high", "medium"), level).otherwise("low")
+    return F.struct(F.when(passed, "VERIFIED").otherwise(F.upper(level)).alias("text"), style.alias("style"))
+
+
+def directory_totals(skills: DataFrame, reports: DataFrame) -> DataFrame:
+    """(skills, verified): how many skills there are, and how many have passed by their latest report."""
+    return directory(skills, reports).agg(F.count(F.lit(1)).alias("skills"), F.count_if(F.col("passed")).alias("verified"))
+
+
 def submission_status(submissions: DataFrame, reports: DataFrame, findings: DataFrame) -> DataFrame:
     """Submissions with their report, if any, and its findings."""
     r = with_findings(reports, findings).select(F.col("submissionId").alias("_s"), "riskScore", "riskLevel", "passed", "findings")

@@ -181,6 +181,9 @@ union all select skill_id, 'RUN_003', 'low', min(file_path), 'Excessive director
         "directory_listing": f'with {REGISTRY} select c_custkey as id, c_name as name, score as "riskScore", level as "riskLevel", passed from customer left join newest on skill = c_custkey',
         "skill_detail": f"with {REGISTRY} select c_custkey as id, c_name as name, r.id as report_id, r.score as risk_score, coalesce(f.n, 0) as n_findings, f.rules, s.status from customer left join newest r on r.skill = c_custkey left join fnd f on f.report = r.id left join last_sub s on s.skill = c_custkey",
         "badge": f"with {REGISTRY} select c_custkey as id, case when passed then 'verified' else coalesce(level, 'unknown') end as label, case when passed then '#22c55e' else '#ef4444' end as color from customer left join newest on skill = c_custkey",
+        "directory_totals": f"with {REGISTRY} select count(*) as skills, count(*) filter (where passed) as verified from customer left join newest on skill = c_custkey",
+        "risk_badges": f"with {REGISTRY} select id, case when passed then 'VERIFIED' else upper(level) end as text, case when passed then 'verified' when level in ('critical', 'high', 'medium') then level else 'low' end as style from rep",
+        "detector_labels": f"with {FINDINGS} select case detector when 'credential_detector' then 'cred' when 'obfuscation_detector' then 'obfs' when 'permission_scanner' then 'perm' when 'typosquat_checker' then 'typo' when 'dependency_scanner' then 'deps' else detector end as label, count(*) as findings from found group by 1",
         "submission_status": f'with {REGISTRY} select s.id, s.status, r.level as "riskLevel", r.passed, case when r.id is null then 0 else coalesce(f.n, 0) end as n_findings from sub s left join rep r on r.id = s.id left join fnd f on f.report = r.id',
         "validate_submission": """select id, case when length(trim(coalesce(name, ''))) < 2 then 'name must be at least 2 characters' when length(trim(description)) < 10 then 'description must be at least 10 characters' when length(author) < 2 then 'author must be at least 2 characters'
  when url is null then 'repositoryUrl is required' when url = 'nothing' then 'repositoryUrl must be a valid URL' when lower(url) not like 'http%' then 'repositoryUrl must be a valid http or https URL' end as error from (

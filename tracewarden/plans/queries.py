@@ -177,6 +177,20 @@ def badge(spark, d):
     return registry.badges(c, r).select("id", "label", "color")
 
 
+def directory_totals(spark, d):
+    c, _, r, _ = _registry(spark, d)
+    return registry.directory_totals(c, r)
+
+
+def risk_badges(spark, d):
+    _, _, r, _ = _registry(spark, d)
+    return r.select("id", registry.risk_badge(F.col("riskLevel"), F.col("passed")).alias("b")).select("id", "b.text", "b.style")
+
+
+def detector_labels(spark, d):
+    return _order_findings(spark, d).groupBy(registry.detector_label(F.col("detector")).alias("label")).agg(F.count(F.lit(1)).alias("findings"))
+
+
 def submission_status(spark, d):
     _, s, r, f = _registry(spark, d)
     out = registry.submission_status(s, r, f)
@@ -226,7 +240,7 @@ def audit_documents(spark, d):
 def queries() -> dict[str, Query]:
     named = [
         line_explode, regex_rules_obfs, ast_calls, first_pattern_wins, whole_file_rule, exfil_lookahead, network_raw_ip, network_ordered, network_domain, permission_violation, typosquat_names, dep_runtime, credential_lines, preflight, dedupe_first,
-        risk_score, risk_level, summary_by_detector, severity_pivot, latest_report, directory_listing, skill_detail, badge, submission_status, validate_submission, uuid_filter, rate_limit_window, status_log, audit_reports, audit_documents,
+        risk_score, risk_level, summary_by_detector, severity_pivot, latest_report, directory_listing, skill_detail, badge, directory_totals, risk_badges, detector_labels, submission_status, validate_submission, uuid_filter, rate_limit_window, status_log, audit_reports, audit_documents,
     ]
     deps = {"dep_requirements": manifests.requirements, "dep_npm": manifests.npm, "dep_setup": manifests.setup_py, "dep_pyproject": manifests.pyproject, "dep_pipfile": manifests.pipfile, "dep_conda": manifests.conda}
     return {f.__name__: f for f in named} | {k: _dep(v) for k, v in deps.items()}
