@@ -16,6 +16,10 @@ def finding(detector: str, severity: str, rule_id: str | Column, description: st
     return F.struct(F.lit(detector).alias("detector"), F.lit(severity).alias("severity"), col(rule_id).alias("rule_id"), col(description).alias("description"), line_number.cast("int").alias("line_number"), col(match).alias("match"))
 
 
+def no_findings() -> Column:
+    return F.array().cast("array<struct<detector:string,severity:string,rule_id:string,description:string,line_number:int,match:string>>")
+
+
 def exploded(rows: DataFrame, found: Column) -> DataFrame:
     """Findings of an array of (possibly null) finding structs beside skill_id and file_path."""
     return rows.select("skill_id", "file_path", F.explode(F.array_compact(found)).alias("f")).select("skill_id", "f.*", "file_path").select(*COLUMNS)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import rules as R
 from tracewarden.functions.text import any_of, cut, first_match, rx, strip
 from tracewarden.operators.corpus import lines, readable
-from tracewarden.operators.findings import COLUMNS, exploded, finding, first_of_each
+from tracewarden.operators.findings import COLUMNS, exploded, finding, first_of_each, no_findings
 from tracewarden.session import ship
 
 NO = "line_no"
@@ -25,14 +25,17 @@ def _patterns(rule: R.Rule) -> list[str]:
     return [rx(p, ignore_case=rule.ignore_case, dot_all=rule.dot_all) for p in rule.patterns]
 
 
-def obfuscation_lines(rows: DataFrame) -> DataFrame:
+def obfuscation_found() -> Column:
     """Every rule is tried on every line and emits the text of its first match."""
-    line = F.col("line")
     found = []
     for r in R.OBFUSCATION:
-        match = first_match(line, _patterns(r)[0])
+        match = first_match(F.col("line"), _patterns(r)[0])
         found.append(F.when(match.isNotNull(), finding("obfuscation_detector", r.severity, r.id, r.description, F.col(NO), match)))
-    return exploded(rows, F.array(*found))
+    return F.array(*found)
+
+
+def obfuscation_lines(rows: DataFrame) -> DataFrame:
+    return exploded(rows, obfuscation_found())
 
 
 def _calls(source: str) -> list[tuple[str, str, int, int]]:
@@ -82,11 +85,14 @@ def obfuscation(files: DataFrame) -> DataFrame:
     return obfuscation_lines(lines(readable(files, R.TEXT_SUFFIXES))).unionByName(ast_calls(files))
 
 
-def injection_lines(rows: DataFrame) -> DataFrame:
+def injection_found() -> Column:
     """In each group of patterns the first that occurs emits the stripped line."""
     shown = cut(strip(F.col("line")))
-    found = [F.when(any_of(F.col("line"), _patterns(r)), finding("prompt_injection_detector", r.severity, r.id, r.description, F.col(NO), shown)) for r in R.INJECTION]
-    return exploded(rows, F.array(*found))
+    return F.array(*(F.when(any_of(F.col("line"), _patterns(r)), finding("prompt_injection_detector", r.severity, r.id, r.description, F.col(NO), shown)) for r in R.INJECTION))
+
+
+def injection_lines(rows: DataFrame) -> DataFrame:
+    return exploded(rows, injection_found())
 
 
 def injection_files(files: DataFrame) -> DataFrame:
@@ -101,14 +107,17 @@ def injection(files: DataFrame) -> DataFrame:
     return injection_lines(lines(readable(files, R.PROSE_SUFFIXES))).unionByName(injection_files(files))
 
 
-def credential_lines(rows: DataFrame) -> DataFrame:
+def credential_found() -> Column:
     """Tokens in the formats that their issuers document: an own detector, every rule emits its first match."""
-    line = F.col("line")
     found = []
     for r in R.CREDENTIALS:
-        match = F.coalesce(*(first_match(line, p) for p in _patterns(r)))
+        match = F.coalesce(*(first_match(F.col("line"), p) for p in _patterns(r)))
         found.append(F.when(match.isNotNull(), finding("credential_detector", r.severity, r.id, r.description, F.col(NO), match)))
-    return exploded(rows, F.array(*found))
+    return F.array(*found)
+
+
+def credential_lines(rows: DataFrame) -> DataFrame:
+    return exploded(rows, credential_found())
 
 
 def credentials(files: DataFrame) -> DataFrame:
@@ -121,26 +130,31 @@ def private_address(url: Column) -> Column:
     return (part[0] == 10) | (part[0] == 127) | ((part[0] == 172) & part[1].between(16, 31)) | ((part[0] == 192) & (part[1] == 168))
 
 
-def raw_addresses(rows: DataFrame) -> DataFrame:
+def raw_address_found() -> Column:
     """NET_001: the first public address of each line."""
     public = F.filter(F.regexp_extract_all("line", F.lit(rx(R.RAW_IP)), F.lit(0)), lambda u: ~private_address(u))
-    first = F.get(public, F.lit(0))
     text = "Raw public IP address in network call — suspicious hardcoded destination"
-    return exploded(rows, F.array(F.when(first.isNotNull(), finding("network_destination_analyzer", "high", "NET_001", text, F.col(NO), cut(first)))))
+    return F.transform(F.slice(public, 1, 1), lambda u: finding("network_destination_analyzer", "high", "NET_001", text, F.col(NO), cut(u)))
 
 
-def endpoints(rows: DataFrame) -> DataFrame:
+def raw_addresses(rows: DataFrame) -> DataFrame:
+    return exploded(rows, raw_address_found())
+
+
+def endpoint_found() -> Column:
     """NET_002: the first pattern that occurs; if what it matches is a private address, later ones are not tried."""
     line = F.col("line")
     first = F.coalesce(*(F.when(line.rlike(rx(p)), F.regexp_extract(line, rx(p), 0)) for p in R.ENDPOINTS))
-    rows = rows.withColumn("_first", first).where("_first is not null")
-    is_private = F.when(F.col("_first").rlike(rx(R.RAW_IP)), private_address(F.col("_first"))).otherwise(F.lit(False))
-    return exploded(rows, F.array(F.when(~is_private, finding("network_destination_analyzer", "critical", "NET_002", "Known data exfiltration or tunneling endpoint detected", F.col(NO), cut(F.col("_first"))))))
+    told = F.filter(F.array(first), lambda u: u.isNotNull() & ~F.when(u.rlike(rx(R.RAW_IP)), private_address(u)).otherwise(F.lit(False)))
+    return F.transform(told, lambda u: finding("network_destination_analyzer", "critical", "NET_002", "Known data exfiltration or tunneling endpoint detected", F.col(NO), cut(u)))
 
 
-def domains(rows: DataFrame) -> DataFrame:
+def endpoints(rows: DataFrame) -> DataFrame:
+    return exploded(rows, endpoint_found())
+
+
+def domain_found() -> Column:
     """NET_003: the first URL of each line to a high-risk domain or a domain below one, unless that is allowed."""
-    urls = rows.withColumn("_urls", F.regexp_extract_all("line", F.lit(rx(R.URL)), F.lit(0))).where(F.size("_urls") > 0)
     host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, rx(R.URL), 1)), r"^www\.", "")
 
     def below(h: Column, names: list[str]) -> Column:
@@ -149,15 +163,36 @@ def domains(rows: DataFrame) -> DataFrame:
         return F.arrays_overlap(suffixes, F.array(*map(F.lit, names)))
 
     # a name that ends in a dot or begins with one isn't equal to any suffix of a listed name, as it should be
-    risky = F.filter("_urls", lambda u: ~below(host(u), R.ALLOWED_DOMAINS) & below(host(u), R.RISKY_DOMAINS))
-    urls = urls.withColumn("_url", F.get(risky, F.lit(0))).where("_url is not null")
-    text = F.concat(F.lit("Network call to known high-risk domain: '"), host(F.col("_url")), F.lit("'"))
-    return exploded(urls, F.array(finding("network_destination_analyzer", "critical", "NET_003", text, F.col(NO), cut(F.col("_url")))))
+    urls = F.regexp_extract_all("line", F.lit(rx(R.URL)), F.lit(0))
+    risky = F.filter(urls, lambda u: ~below(host(u), R.ALLOWED_DOMAINS) & below(host(u), R.RISKY_DOMAINS))
+    text = lambda u: F.concat(F.lit("Network call to known high-risk domain: '"), host(u), F.lit("'"))
+    return F.transform(F.slice(risky, 1, 1), lambda u: finding("network_destination_analyzer", "critical", "NET_003", text(u), F.col(NO), cut(u)))
+
+
+def domains(rows: DataFrame) -> DataFrame:
+    return exploded(rows, domain_found())
+
+
+def network_found() -> Column:
+    """All three network rules; lines without a URL are passed over."""
+    found = F.concat(raw_address_found(), endpoint_found(), domain_found())
+    return F.when(F.col("line").contains("http"), found).otherwise(no_findings())
 
 
 def network(files: DataFrame) -> DataFrame:
-    rows = lines(readable(files, R.WIDE_SUFFIXES)).where(F.col("line").contains("http"))
-    return raw_addresses(rows).unionByName(endpoints(rows)).unionByName(domains(rows))
+    return exploded(lines(readable(files, R.WIDE_SUFFIXES)), network_found())
+
+
+#: Detectors that judge each line by itself, with the suffixes of the files they read.
+BY_LINE = {"credential_detector": (R.WIDE_SUFFIXES, credential_found), "obfuscation_detector": (R.TEXT_SUFFIXES, obfuscation_found), "network_destination_analyzer": (R.WIDE_SUFFIXES, network_found), "prompt_injection_detector": (R.PROSE_SUFFIXES, injection_found)}
+
+
+def by_line(files: DataFrame) -> DataFrame:
+    """What all detectors of BY_LINE find, in one pass over the files and their lines."""
+    found = []
+    for suffixes, rule in BY_LINE.values():
+        found.append(F.when(F.col("suffix").isin(suffixes), rule()).otherwise(no_findings()))
+    return exploded(lines(readable(files, R.WIDE_SUFFIXES)), F.concat(*found))
 
 
 def exfiltration_lines(rows: DataFrame) -> DataFrame:

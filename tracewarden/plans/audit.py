@@ -32,9 +32,25 @@ def register(name: str, detector: Detector) -> None:
     REGISTRY[name] = detector
 
 
+#: What detectors find beside their line rules, which share one pass.
+BESIDE: dict[str, list[Detector]] = {
+    "credential_detector": [],
+    "obfuscation_detector": [line_rules.ast_calls],
+    "network_destination_analyzer": [],
+    "prompt_injection_detector": [line_rules.injection_files],
+}
+
+
 def findings(files: DataFrame) -> DataFrame:
-    """All findings of all detectors.  Persist or stage ``files`` where reading it is expensive: each detector scans it."""
-    return reduce(DataFrame.unionByName, (d(files) for d in REGISTRY.values()))
+    """All findings of all detectors.
+
+    The detectors that judge lines by themselves share one pass over the files; each other one has its own.
+    Persist or stage ``files`` where reading it is expensive.
+    """
+    parts = [line_rules.by_line(files)]
+    for name, detector in REGISTRY.items():
+        parts += [d(files) for d in BESIDE.get(name, [detector])]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def audit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
