@@ -2,9 +2,10 @@
 
 Every tree splits a set of vectors at the median of their projections on a random direction; vectors
 nearer to the median than the spill margin go to both sides.  A pair just inside the threshold is parted
-by a split only if its projections lie on different sides of that margin, under one split in a hundred, and
-then still has the other trees.  Sets are split until they have ``LEAF`` vectors.  Where nearly all of a
-set lies inside the margin no split is made: it is a dense cluster and stays whole.
+by a split only if its projections lie on different sides of that margin, in a few splits of a hundred, and
+then still has the other trees.  Sets are split until they have ``LEAF`` vectors.  A split is made only if a
+quarter of the set lies beyond the margin on either side; a set that no direction parts so is a dense cluster
+and stays whole.
 
 Equal vectors count as one with a weight.  Within a leaf all vectors are compared, in blocks of ``BLOCK``.
 A pair that meets in several leaves counts in the first of them only, so link counts are sums over leaves
@@ -26,9 +27,9 @@ from tracewarden.llm import graph
 from tracewarden.llm.common import materialize, ship
 
 COSINE = 0.93
-TREES, LEVELS, LEAF, BLOCK = 4, 24, 384, 1024
+TREES, LEVELS, LEAF, BLOCK = 4, 24, 1024, 1024
 #: The spill margin in standard deviations of the projected distance of a pair at the threshold.
-SPILL = 0.75
+SPILL = 0.5
 
 
 def directions(dim: int) -> np.ndarray:
@@ -81,11 +82,11 @@ def leaves(nodes: DataFrame) -> DataFrame:
     idle = 0
     for level in range(LEVELS):
         at = F.element_at("along", level + 1)
-        cut = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, [0.15, 0.5, 0.85], 1000).alias("q"), F.first("margin").alias("m")).where(F.col("n") > LEAF)
-        cut = materialize(cut.select("leaf", "q", ((F.col("q")[0] < F.col("q")[1] - F.col("m")) | (F.col("q")[2] > F.col("q")[1] + F.col("m"))).alias("wide")), "splits")
+        cut = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, [0.25, 0.5, 0.75], 1000).alias("q"), F.first("margin").alias("m")).where(F.col("n") > LEAF)
+        cut = materialize(cut.select("leaf", "q", ((F.col("q")[0] < F.col("q")[1] - F.col("m")) & (F.col("q")[2] > F.col("q")[1] + F.col("m"))).alias("wide")), "splits")
         state = cut.agg(F.count(F.lit(1)).alias("large"), F.count_if("wide").alias("wide")).first()
         idle = 0 if state["wide"] else idle + 1
-        if not state["large"] or idle == 3:  # what is still large then is dense in all directions
+        if not state["large"] or idle == 2:  # what is still large then is dense in all directions
             break
         if not state["wide"]:
             continue
