@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import ship
 
-__all__ = ["NOT_WORD", "materialize", "new_path", "packed", "release", "shared_dir", "shingles", "ship", "table", "words"]
+__all__ = ["NOT_WORD", "at_most", "materialize", "new_path", "packed", "release", "shared_dir", "shingles", "ship", "table", "words"]
 
 #: Fixed value: lower-cased runs of letters and digits are the words of every operator on shingles.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -71,6 +71,20 @@ def release(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
+def at_most(df: DataFrame, step: Column, most: int) -> DataFrame:
+    """The rows of the highest steps, at most ``most``; rows of one step are in or out together.
+
+    The driver sees one count for each step; a limit with an order would send it ``most`` rows from every task.
+    """
+    least, n = None, 0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        n += r["count"]
+        if n > most:
+            break
+        least = r["step"]
+    return df.where(F.lit(False)) if least is None else df.where(step >= least)
+
+
 def packed(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that no column that is added beside it can clash with one of theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))

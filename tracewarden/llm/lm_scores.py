@@ -4,11 +4,11 @@ S(w | v) = c(v w) / c(v) where the bigram v w occurs at least ``LEAST`` times in
 first word of a document has c(w) / N.  A document's score is the sum of the logarithms.  (A bigram seen once is
 seen only in the document that is being scored; counting it would let a text vouch for itself.)
 
-Counts and scores meet in one hash join.  Unigrams are counted first.  The ``TOP`` most frequent words, a list of
-fixed length, get numbers and go to all tasks with their counts.  Then every occurrence of a bigram is sent once, as
+Counts and scores meet in one hash join.  Unigrams are counted first.  The most frequent words, a list of
+bounded length, get numbers and go to all tasks with their counts.  Then every occurrence of a bigram is sent once, as
 8 or 16 bytes, to the partition of its bigram, or of its second word if that is not among the top: there
 all occurrences of the bigram meet, so its count is known, and all of a rarer second word, so its count is known
-too.  Each partition returns sums by document.  What is left, the counts of rarer first words of bigrams that
+too.  Each partition returns sums by document, which meet by slices of documents.  What is left, the counts of rarer first words of bigrams that
 repeat, is joined with the unigram table.  No key that is frequent enough to be a hot one is dealt by itself: top
 words are spread by their bigrams, and packed rows carry a whole slice of documents each.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialize, ship
+from tracewarden.llm.common import at_most, materialize, ship
 from tracewarden.llm.near_duplicates import _WORD
 
 LEAST, BACKOFF = 2, 0.4
@@ -80,100 +80,165 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def top_words(words: DataFrame, most: int | None = None) -> list:
+    """The most frequent words, at most ``most`` (2^TOP_BITS); nearly equal counts are in or out together.
+
+    More than ``most`` words are as frequent as any that is left out, so it has at most one in ``most`` of all
+    occurrences.
+    """
+    return sorted(at_most(words, F.floor(F.log2("c") * 16), most or 1 << TOP_BITS).select("word", "c").collect())
+
+
 def _packed(docs: DataFrame, top: dict[int, int], parts: int) -> DataFrame:
-    """(part, rare, rows, sizes, keys): for each slice of documents and partition the bigrams that go there, by document."""
+    """(part, kind, slice, places, sizes, keys): the bigrams of a slice of documents that go to a partition, by document.
+
+    kind is 0 for bigrams with a top second word and 1 for others; places are the documents' numbers in
+    the slice.  A row of kind 2 has the documents' keys.  A slice is named by a hash of these, so a
+    repeated task names it alike.
+    """
     bits = np.uint64(63 - TOP_BITS)
     half = np.uint64((1 << int(bits) - 1) - 1)
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _Keys(top)
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 cut = batch.slice(lo, SLICE)
-                rows = cut.column(0).to_numpy(zero_copy_only=False)
+                rows = cut.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                name = xxhash.xxh64_intdigest(rows) - (1 << 63)
                 found = [_WORD.findall((t or "").lower()) for t in cut.column(1).to_pylist()]
                 sizes = np.array([len(f) for f in found], "i8")
                 if not sizes.sum():
                     continue
+                out = [(name % parts, 2, name, b"", b"", rows)]
                 w = np.fromiter((k for f in found for k in map(keys.__getitem__, f)), "u8", int(sizes.sum()))
                 v = np.roll(w, 1)
                 v[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
-                doc = np.repeat(np.arange(len(sizes)), sizes)
+                doc = np.repeat(np.arange(len(sizes), dtype="u2"), sizes)
                 is_rare = w >= RARE
                 # a top second word: its number, then the first word's number or, marked, as much of its hash as fits
                 first = np.where(v >= RARE, (half + np.uint64(1)) | (v & half), v)
-                for rare, mine in ((False, ~is_rare), (True, is_rare)):
+                for rare, mine in ((0, ~is_rare), (1, is_rare)):
+                    if not mine.any():
+                        continue
                     key = w[mine] if rare else (w[mine] << bits) | first[mine]
                     mixed = key * _ODD
-                    part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype("i8")
+                    part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype("i4")
                     order = np.argsort(part, kind="stable")
                     part, d, key, other = part[order], doc[mine][order], key[order], v[mine][order]
-                    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, "i8")
-                    out = []
-                    for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True):
-                        at, n = np.unique(d[a:b], return_counts=True)
-                        body = key[a:b].tobytes() + (other[a:b].tobytes() if rare else b"")
-                        out.append((int(part[a]), rare, rows[at].astype("<i8").tobytes(), n.astype("<u4").tobytes(), body))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "rare", "rows", "sizes", "keys"])
+                    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    for x, y in zip(begins, np.append(begins[1:], len(part)), strict=True):
+                        at, n = np.unique(d[x:y], return_counts=True)
+                        out.append((int(part[x]), rare, name, at.tobytes(), n.astype("<u4").tobytes(), key[x:y].tobytes() + (other[x:y].tobytes() if rare else b"")))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "kind", "slice", "places", "sizes", "keys"])
+
+    return docs.select("row", "text").mapInArrow(run, "part int, kind int, slice long, places binary, sizes binary, keys binary")
+
 
-    return docs.select("row", "text").mapInArrow(run, "part int, rare boolean, rows binary, sizes binary, keys binary")
+#: What a partition says of a slice: its documents' keys (kind 2), or sums for documents (kind 0), or (kind 1) of which rare
+#: first words, by their hashes, how many more logarithms of the count are to be taken off.
+_SAID = "kind int, slice long, places binary, n binary, score binary, begins binary, words binary"
 
 
 def _sums(packed: DataFrame, top: dict[int, int], counts: np.ndarray, total: int) -> DataFrame:
-    """(row, word, n, score, docs): for each document and partition the sum of its scores there, its words and begins; or,
-    where ``word`` is not null, how many more logarithms of that word's count are to be taken off."""
     bits = np.uint64(63 - TOP_BITS)
     half = np.uint64((1 << int(bits) - 1) - 1)
     log_top = np.log(np.append(counts, 1).astype("f8"))
-    top_keys = np.array(sorted(top), "u8")
-    top_numbers = np.array([top[k] for k in sorted(top)], "i8")
     log_total, log_back = np.log(max(total, 1)), np.log(BACKOFF)
+    names = [f.split()[0] for f in _SAID.split(", ")]
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
 
     def tally(key: np.ndarray) -> np.ndarray:
         """How often each entry's key occurs."""
-        _, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        return n[where]
-
-    def scored(rare: bool, rows: np.ndarray, key: np.ndarray, other: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        s = key[order]
+        edges = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.empty(len(key), "i4")
+        n[order] = np.repeat(np.diff(np.append(edges, len(s))), np.diff(np.append(edges, len(s))))
+        return n
+
+    def scored(rare: bool, key: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each entry: its score, whether it begins a document, whether its first word's count is owing, that word's hash."""
         if rare:
-            pair = (key * _ODD) ^ (other * np.uint64(0xC2B2AE3D27D4EB4F))
-            c2, second, v = tally(pair), np.log(tally(key)), other
-            begin, unnumbered = v == BEGIN, v >= RARE
-            number = np.where(unnumbered, 0, v).astype("i8")
-            word = v
+            c2 = tally((key * _ODD) ^ (other * np.uint64(0xC2B2AE3D27D4EB4F)))
+            second, begin, unnumbered, word = np.log(tally(key)), other == BEGIN, other >= RARE, other
         else:
             c2 = tally(key)
-            second, x = log_top[(key >> bits).astype("i8")], key & ((np.uint64(1) << bits) - np.uint64(1))
-            begin, unnumbered = x == BEGIN, x > half
-            number = np.where(unnumbered, 0, x).astype("i8")
-            word = x & half
+            word = key & ((np.uint64(1) << bits) - np.uint64(1))
+            second, begin, unnumbered = log_top[(key >> bits).astype("i8")], word == BEGIN, word > half
         known = (c2 >= LEAST) & ~begin
+        number = np.where(unnumbered, 0, word).astype("i8")
         score = np.where(known, np.log(c2) - np.where(unnumbered, 0.0, log_top[number]), second - log_total + np.where(begin, 0.0, log_back))
-        at, where = np.unique(rows, return_inverse=True)
-        yield out(at, None, np.bincount(where), np.bincount(where, score), np.bincount(where, begin))
-        owing = known & unnumbered
-        if owing.any():
-            both = np.stack([rows[owing].view("u8"), word[owing] & half], 1)
-            at, n = np.unique(both, axis=0, return_counts=True)
-            yield out(at[:, 0].view("i8"), at[:, 1].astype("i8"), n, np.zeros(len(at)), np.zeros(len(at)))
-
-    def out(rows, word, n, score, docs) -> pa.RecordBatch:
-        words = pa.nulls(len(rows), pa.int64()) if word is None else pa.array(word)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows), pa.int64()), words, pa.array(n.astype("i8")), pa.array(score.astype("f8")), pa.array(docs.astype("i8"))], ["row", "word", "n", "score", "docs"])
+        return score, begin, known & unnumbered, word & half
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for part, kind, name, places, sizes, keys in zip(*(batch.column(i) for i in range(6)), strict=True):
+                if kind.as_py() == 2:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((2, name.as_py(), b"", b"", b"", b"", keys.as_py()), types, strict=True)], names)
+                    continue
+                held.setdefault((part.as_py(), kind.as_py()), []).append((name.as_py(), np.frombuffer(places.as_buffer(), "<u2"), np.frombuffer(sizes.as_buffer(), "<u4"), np.frombuffer(keys.as_buffer(), "<u8")))
+        for part, kind in list(held):
+            got = held.pop((part, kind))
+            n = [len(g[3]) // (1 + kind) for g in got]
+            score, begin, owing, word = scored(bool(kind), np.concatenate([g[3][:k] for g, k in zip(got, n, strict=True)]), np.concatenate([g[3][k:] for g, k in zip(got, n, strict=True)]) if kind else None)
+            lo, out = 0, []
+            for (name, places, sizes, _), k in zip(got, n, strict=True):
+                hi = lo + k
+                edges = (np.cumsum(sizes) - sizes).astype("i8")
+                out.append((0, name, places.tobytes(), sizes.tobytes(), np.add.reduceat(score[lo:hi], edges).tobytes(), np.add.reduceat(begin[lo:hi].astype("u4"), edges).astype("<u4").tobytes(), b""))
+                if owing[lo:hi].any():
+                    mine = owing[lo:hi]
+                    both, times = np.unique(np.stack([np.repeat(places, sizes)[mine].astype("u8"), word[lo:hi][mine]], 1), axis=0, return_counts=True)
+                    out.append((1, name, both[:, 0].astype("<u2").tobytes(), times.astype("<u4").tobytes(), b"", b"", both[:, 1].tobytes()))
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return packed.mapInArrow(run, _SAID)
+
+
+def _owed(said: DataFrame) -> DataFrame:
+    """(slice, place, word, n) of rows of kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list] = {}
         for batch in batches:
-            for part, rare, rows, sizes, keys in zip(*(batch.column(i) for i in range(5)), strict=True):
-                body = np.frombuffer(keys.as_buffer(), "<u8")
-                n = len(body) // 2 if rare.as_py() else len(body)
-                own = np.repeat(np.frombuffer(rows.as_buffer(), "<i8"), np.frombuffer(sizes.as_buffer(), "<u4"))
-                held.setdefault((part.as_py(), rare.as_py()), []).append((own, body[:n], body[n:]))
-        for (_, rare), got in held.items():
-            yield from scored(rare, *(np.concatenate([g[i] for g in got]) for i in range(2)), np.concatenate([g[2] for g in got]) if rare else None)
+            for name, places, n, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at = np.frombuffer(places, "<u2")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, "i8")), pa.array(at.astype("i4")), pa.array(np.frombuffer(words, "<u8").astype("i8")), pa.array(np.frombuffer(n, "<u4").astype("i8"))], ["slice", "place", "word", "n"])
+
+    return said.where("kind = 1").select("slice", "places", "n", "words").mapInArrow(run, "slice long, place int, word long, n long")
+
 
-    return packed.mapInArrow(run, "row long, word long, n long, score double, docs long")
+def _by_document(said: DataFrame, parts: int) -> DataFrame:
+    """(slice, place, row, n, score, begins) of the documents of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, sums = None, None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                k = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, now, "i8")), pa.array(np.arange(k, dtype="i4")), pa.array(rows), pa.array(sums[0].astype("i8")), pa.array(sums[1]), pa.array(sums[2].astype("i8"))], ["slice", "place", "row", "n", "score", "begins"])
+
+        for batch in batches:
+            for kind, name, places, n, score, begins, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if name != now:
+                    yield from finish()
+                    now, rows, sums = name, np.empty(0, "i8"), np.zeros((3, SLICE))
+                if kind == 2:
+                    rows = np.frombuffer(words, "<i8")
+                    sums = np.concatenate([sums, np.zeros((3, max(0, len(rows) - sums.shape[1])))], 1)[:, : max(len(rows), 1)]
+                else:
+                    at = np.frombuffer(places, "<u2")
+                    sums[0, at] += np.frombuffer(n, "<u4")
+                    sums[1, at] += np.frombuffer(score, "f8")
+                    sums[2, at] += np.frombuffer(begins, "<u4")
+        yield from finish()
+
+    dealt = said.where("kind <> 1").repartition(parts, "slice").sortWithinPartitions("slice", F.desc("kind"))
+    return dealt.mapInArrow(run, "slice long, place int, row long, n long, score double, begins long")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -189,21 +254,20 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     words = materialize(unigrams(docs), "unigrams")
     total = words.agg(F.sum("c")).first()[0] or 0
-    best = words.orderBy(F.desc("c"), "word").limit(1 << TOP_BITS).collect()
+    best = top_words(words)
     top = {r["word"] & (1 << 64) - 1: i for i, r in enumerate(best)}
-    counts = np.zeros(int(BEGIN), "i8")
+    counts = np.ones(int(BEGIN), "i8")
     counts[: len(best)] = [r["c"] for r in best]
-    counts[len(best) :] = 1
     dealt = _packed(rows, top, parts).repartitionById(parts, "part")
-    sums = materialize(_sums(dealt, top, counts, total), "sums")
+    said = materialize(_sums(dealt, top, counts, total), "said")
     half = (1 << 63 - TOP_BITS - 1) - 1
     by_hash = words.select(F.col("word").bitwiseAND(F.lit(half)).alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
-    owed = sums.where("word is not null").select("row", "word", "n")
-    owed = owed.join(materialize(by_hash, "by-hash").hint("merge"), "word").select("row", F.lit(0).cast("long").alias("n"), (-F.col("n") * F.log("c")).alias("score"), F.lit(0).cast("long").alias("docs"))
-    all_ = sums.where("word is null").select("row", "n", "score", "docs").unionByName(owed)
-    per = all_.groupBy("row").agg(F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("docs").alias("docs"))
+    owed = _owed(said).join(materialize(by_hash, "by-hash").hint("merge"), "word")
+    owed = owed.groupBy("slice", "place").agg(F.sum(F.col("n") * F.log("c")).alias("owed"))
+    per = _by_document(said, parts).join(owed, ["slice", "place"], "left")
+    per = per.groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("score") - F.coalesce("owed", F.lit(0.0))).alias("score"), F.sum("begins").alias("docs"))
     out = rows.select("doc_id", "row").join(per, "row", "left")
-    n, s = F.coalesce(F.expr("n div docs"), F.lit(0)).cast("long"), F.coalesce(F.col("score") / F.col("docs"), F.lit(0.0))
+    n, s = F.coalesce(F.expr("n div nullif(docs, 0)"), F.lit(0)).cast("long"), F.coalesce(F.col("score") / F.nullif(F.col("docs"), F.lit(0)), F.lit(0.0))
     return out.select("doc_id", n.alias("n_words"), F.round(s, 6).alias("log_score"), F.when(n > 0, F.round(s / n, 6)).alias("mean_log_score"))
 
 
