@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.common import at_most
+
 #: A row is held out of training if the CRC-32 of its doc_id, as text, leaves this remainder by FOLDS.
 FOLDS, HELD_OUT = 5, 0
 
@@ -15,15 +17,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``most`` rows of either label, in an order that only their doc_ids set.
+    """(text, label) of at most ``most`` documents of either label, in an order that only their doc_ids set.
 
-    Only rows that aren't held out count.  A doc_id with several labels has the largest; null labels count
-    for nothing.
+    Only rows that aren't held out count.  A doc_id with several labels has the largest, one with several
+    texts the smallest; null labels count for nothing.  The sample is chosen among doc_ids alone; then the texts
+    of those chosen, a number that ``most`` bounds, are fetched.
     """
-    known = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
-    found = []
-    for y in (0, 1):
-        found += rows.where(F.col("y") == y).orderBy("h", "doc_id", "text").limit(most).select("h", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: r["h"])]
+    spark = docs.sparkSession
+    known = labels.where(F.col(column).isin(0, 1)).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
+    step = F.floor(-F.log2((F.shiftrightunsigned("h", 1) + 1) / F.lit(2.0**63)) * 16)  # small hashes first
+    chosen = [r for y in (0, 1) for r in at_most(known.where(F.col("y") == y), step, most).collect()]
+    if not chosen:
+        return []
+    wanted = spark.createDataFrame([(r["doc_id"], r["y"], r["h"]) for r in chosen], known.select("doc_id", "y", "h").schema)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).select("h", "text", "y").collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["h"])]

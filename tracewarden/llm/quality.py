@@ -15,7 +15,7 @@ from tracewarden.llm.common import ship
 from tracewarden.llm.learning import held_out, labelled
 
 #: Bits of a feature's hash; rows of either label in the training sample; passes over it.
-BITS, SAMPLE, PASSES = 20, 5000, 3
+BITS, SAMPLE, PASSES = 20, 3000, 3
 #: Step size and regularisation of the updates.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 KEPT = 500_000
@@ -70,7 +70,7 @@ def train(sample: list[tuple[str, int]]) -> np.ndarray:
     for text, y in sample:
         idx, _ = features([text])
         at, times = np.unique(idx, return_counts=True)
-        rows.append((at, times / np.sqrt(len(idx)), y))
+        rows.append((at.astype("i4"), (times / np.sqrt(len(idx))).astype("f4"), y))
     for _ in range(PASSES):
         for at, x, y in rows:
             za, ga = z[at], g2[at]

@@ -11,7 +11,6 @@ score is the largest marginal of its words, and words with a marginal of one hal
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,9 +27,9 @@ from tracewarden.llm.learning import held_out, labelled
 SAMPLE, BITS, LETTERS = 3000, 18, (4, 5, 6)
 #: A mark tells if it stands between so many different pairs of words in toxic documents of the sample (copies of one
 #: document have the same pairs), and so many times as likely there as elsewhere.
-LEAST, TIMES = 8, 60.0
-#: Words in a training window; passes; step size; weight decay.
-WINDOW, STEPS, RATE, DECAY = 24, 80, 0.3, 1e-5
+LEAST, TIMES = 5, 60.0
+#: Words in a training window; windows of a text; passes; step size; weight decay.
+WINDOW, PER_TEXT, STEPS, RATE, DECAY = 24, 2, 80, 0.3, 1e-5
 KEPT, BLOCK = 500_000, 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -53,18 +52,43 @@ def slots(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(m) >> (64 - BITS) for m in marks(word)]
 
 
-def telling(sample: list[tuple[str, int]]) -> set[str]:
-    """The marks that tell toxic documents of the sample from others."""
-    n, elsewhere, between = Counter(y for _, y in sample), Counter(), defaultdict(set)
-    for text, y in sample:
-        found = _WORD.findall(text.lower())
-        if not y:
-            elsewhere.update({m for w in set(found) for m in marks(w)})
-            continue
-        for before, w, after in zip(["", *found], found, [*found[1:], ""], strict=False):
-            for m in marks(w):
-                between[m].add((before, after))
-    return {m for m, t in between.items() if len(t) >= LEAST and len(t) / n[1] >= TIMES * (elsewhere[m] + 0.5) / (n[0] + 1)}
+class Sample:
+    """The words of labelled texts as numbers, and the hashes of each word's marks (0 where it has fewer)."""
+
+    def __init__(self, sample: list[tuple[str, int]]):
+        number: dict[str, int] = {}
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], "i4") for t, _ in sample]
+        self.toxic = np.array([y for _, y in sample], bool)
+        self.marks = np.zeros((len(number), 1 + len(LETTERS)), "u8")
+        for i, w in enumerate(number):
+            h = [xxhash.xxh64_intdigest(m) for m in marks(w)]
+            self.marks[i, : len(h)] = h
+
+    def telling(self) -> np.ndarray:
+        """The marks that tell toxic documents from others, sorted."""
+        bad = [t.astype("u8") for t, y in zip(self.texts, self.toxic, strict=True) if y and len(t)]
+        none = np.array([1 << 32], "u8")
+        words = np.concatenate(bad).astype("i8")
+        before = np.concatenate([np.concatenate([none, t[:-1]]) for t in bad])
+        after = np.concatenate([np.concatenate([t[1:], none]) for t in bad])
+        place = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (after * np.uint64(0xC2B2AE3D27D4EB4F))
+        found, support = [], []
+        for c in range(self.marks.shape[1]):
+            m = self.marks[words, c]
+            _, first = np.unique(m ^ (place * np.uint64(0x165667B19E3779F9)), return_index=True)
+            m, n = np.unique(m[first], return_counts=True)
+            found.append(m[n >= LEAST])
+            support.append(n[n >= LEAST])
+        found, support = np.concatenate(found), np.concatenate(support)
+        found, at = np.unique(found, return_index=True)
+        support, elsewhere = support[at], np.zeros(len(found), "i8")
+        for t, y in zip(self.texts, self.toxic, strict=True):
+            if not y and len(t) and len(found):
+                m = np.unique(self.marks[np.unique(t)])
+                i = np.minimum(np.searchsorted(found, m), len(found) - 1)
+                elsewhere[i[found[i] == m]] += 1
+        n1, n0 = self.toxic.sum(), (~self.toxic).sum()
+        return found[(found > 0) & (support / n1 >= TIMES * (elsewhere + 0.5) / (n0 + 1))]
 
 
 def _forward_backward(e: np.ndarray, live: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,28 +115,28 @@ def train(sample: list[tuple[str, int]]) -> Field | None:
     """None without rows of both labels."""
     if len({y for _, y in sample}) < 2:
         return None
-    known = telling(sample)
-    words = [_WORD.findall(text.lower()) for text, _ in sample]
-    toxic = {w for found, (_, y) in zip(words, sample, strict=True) if y for w in found if any(m in known for m in marks(w))}
-    alike = {m for w in toxic for m in marks(w)}
+    data = Sample(sample)
+    if not any(len(t) for t, y in zip(data.texts, data.toxic, strict=True) if y):
+        return None
+    known = data.telling()
+    toxic = np.isin(data.marks, known).any(1)
+    alike = np.isin(data.marks, np.setdiff1d(data.marks[toxic], [0])).any(1)
     windows = []
-    for i, (found, (_, y)) in enumerate(zip(words, sample, strict=True)):
-        if not found:
+    for i, (text, y) in enumerate(zip(data.texts, data.toxic, strict=True)):
+        if not len(text):
             continue
-        tags = [int(y and w in toxic) for w in found]
+        tags = toxic[text] if y else np.zeros(len(text), bool)
         # around toxic words, in other documents around words that share a mark with one, else anywhere
-        at = [j for j, w in enumerate(found) if (tags[j] if y else not alike.isdisjoint(marks(w)))][:4] or [i * 7919 % len(found)]
+        at = np.flatnonzero(tags if y else alike[text])[:PER_TEXT].tolist() or [i * 7919 % len(text)]
         for j in at:
             lo = max(0, j - WINDOW // 2)
-            windows.append((found[lo : lo + WINDOW], tags[lo : lo + WINDOW]))
+            windows.append((text[lo : lo + WINDOW], tags[lo : lo + WINDOW]))
     n, width = len(windows), 1 + len(LETTERS)
-    idx = np.full((n, WINDOW, width), 1 << BITS)
+    idx = np.full((n, WINDOW, width), 1 << BITS, "i4")
     gold, live = np.zeros((n, WINDOW)), np.zeros((n, WINDOW), bool)
-    for i, (ws, tags) in enumerate(windows):
-        live[i, : len(ws)], gold[i, : len(ws)] = True, tags
-        for j, w in enumerate(ws):
-            s = slots(w)
-            idx[i, j, : len(s)] = s
+    slot = np.where(data.marks > 0, data.marks >> np.uint64(64 - BITS), np.uint64(1 << BITS)).astype("i4")
+    for i, (text, tags) in enumerate(windows):
+        live[i, : len(text)], gold[i, : len(text)], idx[i, : len(text)] = True, tags, slot[text]
     w, bias = np.zeros((1 << BITS) + 1), -3.0
     step, first = np.zeros((2, 2)), np.zeros(2)
     seen = [(gold[:, :-1] == a) & (gold[:, 1:] == b) & live[:, 1:] for a in (0, 1) for b in (0, 1)]
