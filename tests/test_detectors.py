@@ -175,3 +175,20 @@ def test_detectors_can_be_added(spark):
         assert audit.findings(files).where("rule_id = 'CRED_001'").count() == 2
     finally:
         del audit.REGISTRY["extra"]
+
+
+def test_literals():
+    import re
+
+    from tracewarden.functions.rules import OBFUSCATION
+    from tracewarden.functions.text import literal
+    from tracewarden.plans.derived import SNIPPETS
+
+    words = {r.id: literal(r.patterns[0]) for r in OBFUSCATION}
+    assert words["OBFS_001"] == "eval" and words["OBFS_010"] == "__builtins__" and words["OBFS_006"] == words["OBFS_016"] == words["OBFS_027"] == ""
+    assert sum(map(bool, words.values())) >= 24
+    lines = SNIPPETS + [t for files, _, _ in CASES.values() for text in files.values() for t in text.split("\n")]
+    for r in OBFUSCATION:
+        for line in lines:
+            if re.search(r.patterns[0], line, re.DOTALL):
+                assert words[r.id] in line

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,16 @@ def first_match(line: Column, pattern: str) -> Column:
     return F.when(line.rlike(pattern), cut(F.regexp_extract(line, pattern, 0)))
 
 
+def literal(pattern: str) -> str:
+    """A word that every match of the pattern contains, or "": the longest outside of groups, classes and alternatives."""
+    plain = re.sub(r"\[[^\]]*\]", " ", re.sub(r"\\.", " ", pattern))
+    while (shorter := re.sub(r"\([^()]*\)", " ", plain)) != plain:
+        plain = shorter
+    plain = re.sub(r"[. ][*+?]*", " ", re.sub(r"\{[^}]*\}", " ", plain))
+    words = [] if re.search(r"[|?*()]", plain) else re.findall(r"[A-Za-z0-9_]{4,}", plain)
+    return max(words, key=len, default="")
+
+
 def any_of(line: Column, patterns: list[str]) -> Column:
     """Whether any of the patterns occurs, tried in order and only as far as needed."""
     hit = line.rlike(patterns[0])

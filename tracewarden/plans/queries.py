@@ -229,11 +229,11 @@ def status_log(spark, d):
 
 def audit_reports(spark, d):
     """The whole audit of the derived corpus: the verdict on each skill."""
-    return audit.audit(derived.corpus(spark, d))[1]
+    return audit.audit(derived.corpus(spark, d).persist())[1]  # every detector reads the files
 
 
 def audit_documents(spark, d):
-    files = derived.corpus(spark, d)
+    files = derived.corpus(spark, d).persist()
     return fs.documents(skills(files), audit.findings(files))
 
 
