@@ -5,9 +5,10 @@ one comparison together.  The sketch of a class has ``SKETCHES`` values; each co
 smallest-hashed k-mers of ``K`` words, labelled with their occurrence number and kept in text order, so that
 two texts share a value with a probability that follows their edit similarity rather than their sets alone.
 
-Classes that share a value meet in a bucket.  A bucket is never expanded into pairs: its members are held
-against one anchor, then, as long as a bucket holds members of several components, against other anchors.
-A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
+Classes that share a value meet in a bucket.  Its members are held against one anchor, then, while it holds
+members of several components, against two others.  In buckets that are mixed even then all members of
+different components are compared, in pairs of blocks, so every pair that shares a value is either compared
+or already in one component.  A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
 alignment confined to the band of that width.  Components of links are the groups.
 """
 
@@ -25,9 +26,13 @@ from pyspark.sql import functions as F
 from tracewarden.llm import graph
 from tracewarden.llm.common import materialize, packed, ship
 
-K, SKETCHES, MINIMA, SIMILAR = 5, 32, 2, 0.8
-#: Rounds of comparison with anchors: the first with the smallest member of a bucket, others with a pseudorandom one.
+K, MINIMA, SIMILAR = 5, 2, 0.8
+#: Values of a sketch.  Of pairs with one word in five replaced at random places, 94 in 100 share one of 96 (65 one of 32).
+SKETCHES = 96
+#: Rounds of comparison with anchors, before the rest is compared in blocks: the first with the smallest member of a bucket, others with a pseudorandom one.
 ROUNDS = 3
+#: Members and words of a block in which the rest is compared; numbers to which a text's words are folded before.
+MEMBERS, HEAVY, FOLD = 512, 1 << 21, 256
 #: Words whose hashes one worker keeps; k-mers hashed at once.
 KEPT, BLOCK = 500_000, 1 << 14
 
@@ -148,27 +153,38 @@ def similar(a: np.ndarray, b: np.ndarray, share: float = SIMILAR) -> bool:
     return distance(a, b, most) <= most
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, sketch, words) for each row: node stands for the word sequence, words are packed 32-bit hashes."""
+def worded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, words) for each row: node stands for the word sequence, words are packed 32-bit hashes."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                nodes, values, packed = [], [], []
+                nodes, packed = [], []
                 for text in part.column(2).to_pylist():
                     w = word_hashes(text)
                     nodes.append(xxhash.xxh64_intdigest(w.tobytes(), 7) - (1 << 63))
-                    values.append(sketch(w))
                     packed.append(w.astype("<u4").tobytes())
-                sizes = np.cumsum([0] + [len(v) for v in values]).astype("i4")
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), lists, pa.array(packed, pa.binary())], ["doc_id", "text_hash", "node", "sketch", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "text_hash", "node", "words"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, sketch array<long>, words binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, words binary")
+
+
+def sketched(classes: DataFrame) -> DataFrame:
+    """(bucket, node): a row for each sketch value of each of ``classes`` (node, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                values = [sketch(np.frombuffer(w.as_buffer(), "<u4").astype("u8")) for w in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], ["bucket", "node"])
+
+    return classes.select("node", "words").mapInArrow(run, "bucket long, node long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,6 +202,62 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _links_within(node: np.ndarray, root: np.ndarray, block: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all similar pairs whose roots differ, those within a block only if there is but one."""
+    root, one = root.copy(), (block == block[0]).all()
+    size = np.array([len(w) for w in words], "i8")
+    folded = np.stack([np.bincount(w % FOLD, minlength=FOLD) for w in words]).astype("i4")
+    out = []
+    for i in range(len(node) - 1):
+        rest = slice(i + 1, None)
+        most = np.floor((1 - SIMILAR) * np.maximum(size[i], size[rest]) + 1e-9)
+        at = np.flatnonzero((root[rest] != root[i]) & (np.abs(size[rest] - size[i]) <= most) & (one | (block[rest] != block[i])))
+        if not len(at):
+            continue
+        # an edit changes the number of at most two folded words by one
+        at = at[np.abs(folded[rest][at] - folded[i]).sum(axis=1) <= 2 * most[at]] + i + 1
+        for k in at.tolist():
+            if root[k] != root[i] and similar(words[i], words[k]):
+                out.append((int(node[i]), int(node[k])))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def _compared(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among all members of different components in each bucket of ``held`` (bucket, node, root) that has several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                node, root, block, words = zip(*rows, strict=True)
+                links = _links_within(np.array(node), np.array(root), np.array(block), [np.frombuffer(w.as_buffer(), "<u4") for w in words])
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in (3, 4, 5)), batch.column(6), strict=True):
+                if key != now:
+                    yield from finish()
+                    now, rows = key, []
+                rows.append(row)
+        yield from finish()
+
+    mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rest = held.join(materialize(mixed, "mixed").hint("merge"), "bucket")
+    rest = materialize(rest.join(classes.select("node", "size").hint("merge"), "node"), "rest")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / HEAVY)).cast("int")
+    sizes = materialize(rest.groupBy("bucket").agg(blocks.alias("blocks")), "blocks")
+    rest = rest.join(sizes.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
+    rest = rest.join(classes.select("node", "words").hint("merge"), "node").select("bucket", "i", "j", "node", "root", "block", "words")
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, class_id, kept): a row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -194,12 +266,12 @@ def groups(docs: DataFrame) -> DataFrame:
     marked.  Null texts and texts without words form one group.  Texts of fewer than K words are one
     k-mer, so only equal ones group.  An empty table gives an empty result.
     """
-    rows = materialize(sketched(docs), "sketched")
-    classes = materialize(rows.groupBy("node").agg(F.min_by("sketch", "text_hash").alias("sketch"), F.min_by("words", "text_hash").alias("words")), "classes")
-    slots = classes.select("node", F.posexplode("sketch").alias("_j", "_v")).select("node", F.xxhash64("_j", "_v").alias("bucket"))
-    sizes = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("anchor")).where("n > 1")
-    first = materialize(sizes.select("bucket", "anchor"), "anchors")
-    members = materialize(slots.join(first.hint("merge"), "bucket").select("bucket", "node", "anchor"), "members")
+    rows = materialize(worded(docs), "worded")
+    classes = rows.groupBy("node").agg(F.min_by("words", "text_hash").alias("words"))
+    classes = materialize(classes.withColumn("size", (F.octet_length("words") / 4).cast("long")), "classes")
+    by_bucket = Window.partitionBy("bucket")
+    slots = sketched(classes).withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn("anchor", F.min("node").over(by_bucket))
+    members = materialize(slots.where("n > 1").select("bucket", "node", "anchor"), "members")
     roots = graph.no_roots(docs.sparkSession)
     for turn in range(ROUNDS):
         if turn:
@@ -213,6 +285,8 @@ def groups(docs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("node", "anchor").alias("a"), F.least("node", "anchor").alias("b")).distinct()
         links = materialize(_verified(materialize(pairs, "pairs"), classes), "links")
         roots = graph.merge(roots, links)
+    held = materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
+    roots = graph.merge(roots, materialize(_compared(held, classes), "links"))
     out = materialize(graph.rooted(rows.select("doc_id", "text_hash", "node"), "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
     best = materialize(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("best")), "best")
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
