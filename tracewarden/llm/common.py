@@ -71,15 +71,16 @@ def release(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
-def at_most(df: DataFrame, step: Column, most: int) -> DataFrame:
-    """The rows of the highest steps, at most ``most``; rows of one step are in or out together.
+def at_most(df: DataFrame, step: Column, most: int, size: Column | None = None, room: int = 0) -> DataFrame:
+    """The rows of the highest steps, at most ``most`` and, if there is a ``size``, at most ``room`` in all; rows of one step are in or out together.
 
     The driver sees one count for each step; a limit with an order would send it ``most`` rows from every task.
     """
-    least, n = None, 0
-    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        n += r["count"]
-        if n > most:
+    least, n, filled = None, 0, 0
+    per = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if size is None else size).alias("size"))
+    for r in sorted(per.collect(), key=lambda r: -r["step"]):
+        n, filled = n + r["n"], filled + r["size"]
+        if n > most or filled > room > 0:
             break
         least = r["step"]
     return df.where(F.lit(False)) if least is None else df.where(step >= least)

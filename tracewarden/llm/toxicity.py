@@ -25,14 +25,22 @@ from tracewarden.llm.learning import held_out, labelled
 
 #: Rows of either label in the training sample; bits of a mark's hash; lengths of first letters that are marks.
 SAMPLE, BITS, LETTERS = 3000, 18, (4, 5, 6)
-#: A mark tells if it stands between so many different pairs of words in toxic documents of the sample (copies of one
-#: document have the same pairs), and so many times as likely there as elsewhere.
-LEAST, TIMES = 5, 60.0
+#: A mark tells if so many toxic documents of the sample hold it, it is so many times as likely in one as in another document,
+#: and the chance that any mark looks like that by accident is at most CHANCE.
+LEAST, TIMES, CHANCE = 5, 60.0, 0.01
+#: Hashes by which copies of a document are known to be such.
+ORIGINS = 3
 #: Words in a training window; windows of a text; passes; step size; weight decay.
 WINDOW, PER_TEXT, STEPS, RATE, DECAY = 24, 2, 80, 0.3, 1e-5
 KEPT, BLOCK = 500_000, 64
 
 _WORD = re.compile(r"[^\W_]+")
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], "u8")
+
+
+def lowered(text: str | None) -> str:
+    """Lower case, character by character, so that places are those of the text itself."""
+    return (text or "").replace("\u0130", "i").lower()
 
 
 class Field(NamedTuple):
@@ -57,38 +65,56 @@ class Sample:
 
     def __init__(self, sample: list[tuple[str, int]]):
         number: dict[str, int] = {}
-        self.texts = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], "i4") for t, _ in sample]
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(lowered(t))], "i4") for t, _ in sample]
         self.toxic = np.array([y for _, y in sample], bool)
         self.marks = np.zeros((len(number), 1 + len(LETTERS)), "u8")
         for i, w in enumerate(number):
             h = [xxhash.xxh64_intdigest(m) for m in marks(w)]
             self.marks[i, : len(h)] = h
 
+    def origins(self, which: np.ndarray) -> np.ndarray:
+        """(ORIGINS, texts): for each text the smallest hash of its runs of three words under several hashes; most copies of a text agree in one."""
+        out = np.zeros((ORIGINS, len(which)), "u8")
+        for j, i in enumerate(which):
+            t = self.texts[i].astype("u8")
+            h = (t[:-2] * _MIX[0] + t[1:-1] * _MIX[1] + t[2:]) * _MIX[2] if len(t) > 2 else t
+            for k in range(ORIGINS):
+                x = (h ^ _MIX[k] ^ (h >> np.uint64(29))) * _MIX[(k + 1) % 3]
+                out[k, j] = (x ^ (x >> np.uint64(32))).min() if len(x) else 0
+        return out
+
     def telling(self) -> np.ndarray:
-        """The marks that tell toxic documents from others, sorted."""
-        bad = [t.astype("u8") for t, y in zip(self.texts, self.toxic, strict=True) if y and len(t)]
-        none = np.array([1 << 32], "u8")
-        words = np.concatenate(bad).astype("i8")
-        before = np.concatenate([np.concatenate([none, t[:-1]]) for t in bad])
-        after = np.concatenate([np.concatenate([t[1:], none]) for t in bad])
-        place = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (after * np.uint64(0xC2B2AE3D27D4EB4F))
+        """The marks that tell toxic documents from others, sorted: by the documents that hold them, copies counted once."""
+        bad, good = np.flatnonzero(self.toxic), np.flatnonzero(~self.toxic)
+        origin = self.origins(bad)
+        n1, n0 = min(len(np.unique(o)) for o in origin), len(good)
         found, support = [], []
         for c in range(self.marks.shape[1]):
-            m = self.marks[words, c]
-            _, first = np.unique(m ^ (place * np.uint64(0x165667B19E3779F9)), return_index=True)
-            m, n = np.unique(m[first], return_counts=True)
-            found.append(m[n >= LEAST])
-            support.append(n[n >= LEAST])
+            held = [np.unique(self.marks[np.unique(self.texts[i]), c]) for i in bad]
+            mark, doc = np.concatenate(held), np.repeat(np.arange(len(bad)), [len(h) for h in held])
+            m, at, n = np.unique(mark, return_inverse=True, return_counts=True)
+            keep = ((n >= LEAST) & (m > 0))[at]
+            mark, doc = mark[keep], doc[keep]
+            least = None
+            for o in origin:
+                _, first = np.unique(mark * _MIX[2] ^ o[doc], return_index=True)
+                names, n = np.unique(mark[first], return_counts=True)
+                least = n if least is None else np.minimum(least, n)
+            found.append(names[least >= LEAST])
+            support.append(least[least >= LEAST])
         found, support = np.concatenate(found), np.concatenate(support)
         found, at = np.unique(found, return_index=True)
         support, elsewhere = support[at], np.zeros(len(found), "i8")
-        for t, y in zip(self.texts, self.toxic, strict=True):
-            if not y and len(t) and len(found):
-                m = np.unique(self.marks[np.unique(t)])
-                i = np.minimum(np.searchsorted(found, m), len(found) - 1)
-                elsewhere[i[found[i] == m]] += 1
-        n1, n0 = self.toxic.sum(), (~self.toxic).sum()
-        return found[(found > 0) & (support / n1 >= TIMES * (elsewhere + 0.5) / (n0 + 1))]
+        for i in good if len(found) else ():
+            m = np.unique(self.marks[np.unique(self.texts[i])])
+            at = np.minimum(np.searchsorted(found, m), len(found) - 1)
+            elsewhere[at[found[at] == m]] += 1
+        # a bound of the chance that a mark which is as likely in other documents is so rare in them, times the marks tried
+        both, share = support + elsewhere, n0 / max(1, n0 + n1)
+        at = elsewhere / both if len(found) else elsewhere
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odds = both * (np.where(at > 0, at * np.log(at / share), 0) + (1 - at) * np.log((1 - at) / (1 - share)))
+        return found[(support * n0 >= TIMES * elsewhere * n1) & (odds >= np.log(max(1, len(found)) / CHANCE))]
 
 
 def _forward_backward(e: np.ndarray, live: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +255,7 @@ class Tagger:
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
         """(scores, spans) of whole texts."""
-        found = [_WORD.findall((t or "").lower()) for t in texts]
+        found = [_WORD.findall(lowered(t)) for t in texts]
         p = self.marginals(found)
         sizes = np.array([len(f) for f in found], "i8")
         ends = np.cumsum(sizes)
@@ -240,7 +266,7 @@ class Tagger:
         spans = []
         for i, text in enumerate(texts):
             hit = np.flatnonzero(p[ends[i] - sizes[i] : ends[i]] >= 0.5) if score[i] >= 0.5 else ()
-            at = [m.span() for m in _WORD.finditer(text.lower())] if len(hit) else []
+            at = [m.span() for m in _WORD.finditer(lowered(text))] if len(hit) else []
             spans.append([{"start": at[k][0], "end": at[k][1]} for k in hit])
         return score, spans
 
@@ -250,7 +276,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
 
     The field learns ``column`` of ``labels`` from at most ``sample`` rows of either label that are not held
     out.  Texts without words, null ones too, score 0 and have no spans; so do all if there are no labels
-    of both kinds.  spans are character offsets in the lower-cased text; row_hash, if asked for, is
+    of both kinds.  spans are character offsets in the text; row_hash, if asked for, is
     xxhash64 of doc_id and text.  Repeated rows and null doc_ids
     each give a row; an empty table gives none.
     """
