@@ -345,23 +345,54 @@ def tricky():
     return ["".join(r.choice(parts) for _ in range(r.randrange(0, 25))) for _ in range(600)] + [None, "", " ", "\n", "x" * 3000, "word " * 3000]
 
 
+def fuzzed(path, n, seed):
+    """Texts of pieces of the vocabulary, runs, contractions, special strings, and letters of all planes."""
+    from tokenizers import Tokenizer
+
+    vocab = sorted(Tokenizer.from_file(path).get_vocab())
+    r = random.Random(seed)
+    odd = ["'s", "'re", "'l", "'ll", "\u2019", "<|endoftext|>", "<|startoftext|>", "<|", "\u03a3", "\u0130", "e\u0301", "\u0301", "\u200b", "\xa0", "\x85", "\x1c", "\x0b", "\u2028", "\u3000", "\ufeff", "\u0345", "\u1715", "\ua7cb", "\ua7d2", "\u212a", "1", "\xbd", "\u0663"]
+    made = (
+        lambda: r.choice(odd),
+        lambda: r.choice(vocab).replace("</w>", r.choice(["", " "])),
+        lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(1, 14))),
+        lambda: chr(r.choice([r.randrange(32, 0x3000), r.randrange(0xA000, 0xD7FF), r.randrange(0xE000, 0x1FFFF)])),
+        lambda: r.choice(" \n\t"),
+        lambda: r.choice("aeiou!#$%*-=_.") * r.randrange(1, 40),
+    )
+    return ["".join(r.choice(made)() for _ in range(r.randrange(1, 30))) for _ in range(n)]
+
+
 def test_token_counts_equal_the_library(spark, odd, none):
     from tokenizers import Tokenizer
 
     path = catalog.vocabulary("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    texts = tricky()
+    texts = tricky() + fuzzed(path, 3000, 7)
     want = [len(e.ids) for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     m = tokencounts.Machine(path)
-    assert m.count(texts) == want
-    for chunk in (1, 2, 7, 64):
-        assert m.count(texts, chunk) == want
-    a, b, c = m.maps(["ab c", "de", "f g h"])
-    left = m.compose([(m.compose([(a, b)])[0], c)])[0]
-    assert left == m.compose([(a, m.compose([(b, c)])[0])])[0]
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokencounts.count_tokens(odd, path, 100).collect())
-    lens = [len(lib.encode(t or "", add_special_tokens=False).ids) for _, t, _ in ODD]
-    assert got == Counter((i, len((t or "").encode()), n, n > 100) for (i, t, _), n in zip(ODD, lens, strict=True))
+    assert m.counts(texts) == want
+    assert len(m.states) < len(m.go) and all(to < len(m.states) for to, _ in m.go.values()) and any(n <= 0 for _, n in m.go.values())
+    m.states.extend([()] * tokencounts.STATES)  # too many: it starts anew
+    assert m.counts(texts[-500:]) == want[-500:] and len(m.states) < tokencounts.STATES
+    r = random.Random(3)
+    for t, n in r.sample(list(zip(texts, want, strict=True)), 400):
+        k = r.randrange(1, 30)
+        maps = tokencounts.chunk_maps(m, [(t or "")[i : i + k] for i in range(0, max(1, len(t or "")), k)])
+        cut = r.randrange(len(maps) + 1)
+        halves = [tokencounts.composed(m, h) for h in (maps[:cut], maps[cut:]) if h]
+        assert tokencounts.composed(m, halves) == tokencounts.composed(m, maps)
+        assert tokencounts.finished(m, tokencounts.composed(m, maps)) == n
+    rows = odd.unionByName(docs(spark, [(100 + k, t, "s") for k, t in enumerate(texts[-60:])]))
+    lens = [(r["doc_id"], r["text"] or "") for r in rows.collect()]
+    want = Counter((i, len(t.encode()), n, n > 100) for i, t in lens for n in [len(lib.encode(t, add_special_tokens=False).ids)])
+    old, tokencounts.RUN = tokencounts.RUN, 3
+    try:
+        for chunk, long in ((1 << 15, 1 << 16), (7, 20), (300, -1)):  # none, some and all dealt in chunks
+            got = tokencounts.count_tokens(rows, path, 100, chunk, long).collect()
+            assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
+    finally:
+        tokencounts.RUN = old
     assert tokencounts.count_tokens(none, path).isEmpty()
 
 
