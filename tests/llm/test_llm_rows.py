@@ -316,23 +316,25 @@ def test_near_duplicates(spark, none):
 
 
 def test_lm_scores(spark, none):
-    rows = [(i, t, s) for i, t, s in ODD] + [(50 + k, prose(k % 7, 20 + k), "s") for k in range(30)] + [(80, "alpha0 beta1 " * 9, "s")]
-    old, lm_scores.TOP_BITS, begin, lm_scores.BEGIN = lm_scores.TOP_BITS, 4, lm_scores.BEGIN, np.uint64(16)
+    rows = [(i, t, s) for i, t, s in ODD] + [(50 + k, prose(k % 7, 20 + k), "s") for k in range(30)] + [(80, "alpha0 beta1 " * 9, "s"), (81, "only here only here", "s")]
+    got = lm_scores.score(docs(spark, rows)).collect()
+    old, lm_scores.TOP_BITS, lm_scores.TOGETHER = (lm_scores.TOP_BITS, lm_scores.TOGETHER), 4, 3
     try:
-        few = {(r["doc_id"], r["n_words"], r["log_score"]) for r in lm_scores.score(docs(spark, rows)).collect()}
+        few = lm_scores.score(docs(spark, rows)).collect()
+        assert len(lm_scores.top_words(lm_scores.unigrams(docs(spark, rows)))) <= 16
     finally:
-        lm_scores.TOP_BITS, lm_scores.BEGIN = old, begin
-    got = lm_scores.score(docs(spark, rows)).collect()
+        lm_scores.TOP_BITS, lm_scores.TOGETHER = old
     w = [near_duplicates._WORD.findall((t or "").lower()) for _, t, _ in rows]
     c1, c2 = Counter(x for t in w for x in t), Counter(p for t in w for p in itertools.pairwise(t))
     n = sum(c1.values())
     want = []
     for (i, _, _), t in zip(rows, w, strict=True):
+        own = Counter(itertools.pairwise(t))
         s = math.log(c1[t[0]] / n) if t else 0.0
-        s += sum(math.log(c2[p] / c1[p[0]]) if c2[p] >= 2 else math.log(0.4 * c1[p[1]] / n) for p in itertools.pairwise(t))
+        s += sum(math.log((c2[p] - own[p]) / c1[p[0]]) if c2[p] > own[p] else math.log(0.4 * c1[p[1]] / n) for p in itertools.pairwise(t))
         want.append((i, len(t), round(s, 4)))
-    assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 4)) for r in got) == Counter(want)
-    assert {(a, b, round(c, 4)) for a, b, c in few} == set(want)
+    for x in (got, few):
+        assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 4)) for r in x) == Counter(want)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in got) and lm_scores.score(none).isEmpty()
 
 
@@ -448,9 +450,9 @@ def plain_targets(sizes):
     return out
 
 
-def check_mix(spark, rows):
+def check_mix(spark, rows, shard_slots=mixing.SHARD_SLOTS):
     d = docs(spark, rows)
-    got = mixing.mix_report(d).collect()
+    got = mixing.mix_report(d, 0, shard_slots).collect()
     size = lambda t: len(__import__("re").findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, size(t)) for i, t, _ in rows)
     sizes = Counter()
@@ -459,7 +461,8 @@ def check_mix(spark, rows):
     target = plain_targets(sizes)
     want = Counter((i, size(t), sizes[s], round(target[s], 6)) for i, t, s in rows)
     assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == want
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert all(0 <= r["taken"] <= 3 * r["size"] and (r["taken"] > 0) == (r["first_shard"] is not None) for r in got)
+    shards = -(-sum(target.values()) // (mixing.BLOCK_WORDS * shard_slots))
     by, near = Counter(), {}
     for r in got:
         by[r["source_size"], r["target"]] += r["taken"]
@@ -467,24 +470,54 @@ def check_mix(spark, rows):
         near[sizes[s], target[s]] = near.get((sizes[s], target[s]), 0) + target[s]
     for (n, t), total in by.items():
         [w] = [v for (a, b), v in near.items() if a == n and abs(b - t) < 1e-6 * max(1, t)]
-        assert abs(total - w) <= mixing.BLOCK_WORDS * max(1, round(w / max(t, 1e-9)))
-    assert Counter(map(tuple, mixing.mix_report(d).collect())) == Counter(map(tuple, got))
-    mixed = mixing.mixed_documents(d)
+        assert abs(total - w) <= mixing.BLOCK_WORDS * (max(1, round(w / max(t, 1e-9))) + (4 * math.sqrt(shards) if shards > 1 else 0))
+    assert Counter(map(tuple, mixing.mix_report(d, 0, shard_slots).collect())) == Counter(map(tuple, got))
+    mixed = mixing.mixed_documents(d, 0, shard_slots)
     assert mixed.columns == d.columns
-    out = Counter()
+    out, cut, slots = Counter(), Counter(), Counter()
     for r in mixed.collect():
         out[r["doc_id"]] += size(r["text"])
         assert r["n_chars"] == len(r["text"])
+    for r in mixing.mixed_blocks(d, 0, shard_slots).collect():
+        cut[r["doc_id"]] += size(r["text"])
+        slots[r["shard"], r["slot"]] += size(r["text"])
     taken = Counter()
     for r in got:
         taken[r["doc_id"]] += r["taken"]
-    assert +out == +taken
+    assert +out == +taken == +cut
+    assert all(n <= mixing.BLOCK_WORDS for n in slots.values()) and all(n <= shard_slots for n in Counter(k for k, _ in slots).values())
+    return got, Counter(k for k, _ in slots)
+
+
+def test_draw(spark):
+    d = docs(spark, [(k, prose(k, 300), f"s{k % 7}") for k in range(210)])
+    src = mixing.source_targets(mixing.sized(d)).persist()
+    want = {r["_src"]: r["_slots"] for r in src.collect()}
+    totals = []
+    for seed in range(6):
+        n = mixing.draw_counts(src, 64, seed).collect()
+        per = Counter()
+        for r in n:
+            per[r["shard"]] += r["n"]
+            assert r["n"] < 64 * want[r["_src"]] / sum(want.values()) + 7
+        assert sum(per.values()) == sum(want.values()) and sorted(per)[-1] == len(per) - 1 and all(per[k] == 64 for k in range(len(per) - 1))
+        totals.append({s: sum(r["n"] for r in n if r["_src"] == s) for s in want})
+        slots = mixing.draw_slots(src, 64, seed).groupBy("shard", "_src").count().collect()
+        full = {s for s in want if totals[-1][s] <= 3 * next(r["_blocks"] for r in src.collect() if r["_src"] == s)}
+        assert {(r["shard"], r["_src"], r["count"]) for r in slots if r["_src"] in full} == {(r["shard"], r["_src"], r["n"]) for r in n if r["_src"] in full}
+    assert len({tuple(t.items()) for t in totals}) > 1  # the draw decides how much of a source is taken
+    assert all(abs(np.mean([t[s] for t in totals]) - want[s]) < 6 for s in want)
+    blocks = [{(r["_src"], r["_block"], r["pass"]) for r in mixing.draw_slots(src, 64, seed).collect()} for seed in (0, 1)]
+    assert blocks[0] != blocks[1]
 
 
 def test_mix(spark, none):
     r = random.Random(4)
     check_mix(spark, ODD)
-    check_mix(spark, [(k, prose(k, r.randrange(0, 400)), r.choice(["a", "a", "a", "b", "c", "Z", "é", None])) for k in range(300)])
+    many = [(k, prose(k, r.randrange(0, 400)), r.choice(["a", "a", "a", "b", "c", "Z", "é", None])) for k in range(300)]
+    check_mix(spark, many)
+    _, shards = check_mix(spark, many, 64)
+    assert len(shards) > 10
     check_mix(spark, [(1, "only", "a"), (2, prose(1, 5000), "b")])
     check_mix(spark, [(1, None, "a"), (2, "", None)])
-    assert mixing.mix_report(none).isEmpty() and mixing.mixed_documents(none).isEmpty()
+    assert mixing.mix_report(none).isEmpty() and mixing.mixed_documents(none).isEmpty() and mixing.mixed_blocks(none).isEmpty()

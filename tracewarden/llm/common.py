@@ -5,13 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.session import ship
 
-__all__ = ["NOT_WORD", "at_most", "materialize", "new_path", "packed", "release", "shared_dir", "shingles", "ship", "table", "words"]
+__all__ = ["NOT_WORD", "at_most", "materialize", "new_path", "packed", "release", "setting", "shared_dir", "shingles", "ship", "table", "words"]
 
 #: Fixed value: lower-cased runs of letters and digits are the words of every operator on shingles.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -65,6 +67,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries that run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Removes the files of a ``materialize``d table that nothing reads any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

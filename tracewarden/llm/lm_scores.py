@@ -1,16 +1,18 @@
-"""Stupid-backoff scores of documents under the bigram counts of the whole corpus.
-
-S(w | v) = c(v w) / c(v) where the bigram v w occurs at least ``LEAST`` times in the corpus, else BACKOFF c(w) / N; the
-first word of a document has c(w) / N.  A document's score is the sum of the logarithms.  (A bigram seen once is
-seen only in the document that is being scored; counting it would let a text vouch for itself.)
-
-Counts and scores meet in one hash join.  Unigrams are counted first.  The most frequent words, a list of
-bounded length, get numbers and go to all tasks with their counts.  Then every occurrence of a bigram is sent once, as
-8 or 16 bytes, to the partition of its bigram, or of its second word if that is not among the top: there
-all occurrences of the bigram meet, so its count is known, and all of a rarer second word, so its count is known
-too.  Each partition returns sums by document, which meet by slices of documents.  What is left, the counts of rarer first words of bigrams that
-repeat, is joined with the unigram table.  No key that is frequent enough to be a hot one is dealt by itself: top
-words are spread by their bigrams, and packed rows carry a whole slice of documents each.
+"""Stupid-backoff scores of documents under the n-gram counts of the corpus they are in.
+
+S(w | v) = c-(v w) / c(v) where the bigram v w occurs in another document too, else BACKOFF c(w) / N; the first word of
+a document has c(w) / N.  c counts a word in all documents, N all words, and c- a bigram in all documents but the one
+that is scored: with its own counts in, a text would vouch for itself and no score would ever back off.  A document's
+score is the sum of the logarithms, all bigrams backed off, corrected for those that aren't:
+
+    sum of ln c(w) - n ln N + (n - 1) ln BACKOFF  +  sum over bigrams found of ln c-(v w) - ln c(v) - ln c(w) + ln N - ln BACKOFF
+
+N-grams are exploded with their numbers in each document and partitioned by hash; there the table of counts is an
+aggregate over the n-grams of a partition, joined back to them on the n-gram, and sums by document leave.  The most
+frequent words, a list of bounded length, are broadcast with their counts; pairs of them are written as one number.
+Other words are n-grams of order one in the same tables; as parts of bigrams that were found their counts are joined
+from the table of words.  A document has one row for an n-gram however often it holds it, so no n-gram has more rows
+than there are documents, and bigrams of a frequent word are spread by both words.
 """
 
 from __future__ import annotations
@@ -23,26 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import at_most, materialize, ship
+from tracewarden.llm.common import at_most, materialize, setting, ship
 from tracewarden.llm.near_duplicates import _WORD
 
-LEAST, BACKOFF = 2, 0.4
-#: Bits of a top word's number; documents in a slice; distinct words that a counting task holds before it emits them.
-TOP_BITS, SLICE, HELD = 15, 1500, 400_000
+BACKOFF = 0.4
+#: Bits of a top word's number; distinct words that a counting task holds before it emits them; documents whose n-grams are exploded together.
+TOP_BITS, HELD, TOGETHER = 16, 400_000, 256
 KEPT = 500_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Marks a word that is not a top word; the number that stands for the begin of a document.
-RARE, BEGIN = np.uint64(1 << 63), np.uint64(1 << TOP_BITS)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "u8")
+#: First words of what is no bigram: a word by itself, and a document, whose number of words and sum over top words it carries.
+WORD, DOCUMENT = -1, -2
 
 
 def word_key(word: str) -> int:
+    """63 bits of a word's hash, with the highest bit set in numpy's unsigned form: negative as a long, so no top word's number."""
     return xxhash.xxh64_intdigest(word) | 1 << 63
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view("i8"))
-
-
 class _Keys(dict):
     """Number of a top word, or the hash of another."""
 
@@ -64,8 +63,8 @@ def unigrams(docs: DataFrame) -> DataFrame:
         seen: dict[str, int] = {}
 
         def emit() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_key, seen), "u8", len(seen))
-            out = pa.RecordBatch.from_arrays([_signed(keys), pa.array(np.fromiter(seen.values(), "i8", len(seen)))], ["word", "c"])
+            keys = np.fromiter(map(word_key, seen), "u8", len(seen)).view("i8")
+            out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(seen.values(), "i8", len(seen)))], ["word", "c"])
             seen.clear()
             return out
 
@@ -89,185 +88,123 @@ def top_words(words: DataFrame, most: int | None = None) -> list:
     return sorted(at_most(words, F.floor(F.log2("c") * 16), most or 1 << TOP_BITS).select("word", "c").collect())
 
 
-def _packed(docs: DataFrame, top: dict[int, int], parts: int) -> DataFrame:
-    """(part, kind, slice, places, sizes, keys): the bigrams of a slice of documents that go to a partition, by document.
+_PACKED = "part int, rows array<long>, times array<int>, pairs array<int>, firsts array<long>, seconds array<long>, sums array<double>"
 
-    kind is 0 for bigrams with a top second word and 1 for others; places are the documents' numbers in
-    the slice.  A row of kind 2 has the documents' keys.  A slice is named by a hash of these, so a
-    repeated task names it alike.
-    """
-    bits = np.uint64(63 - TOP_BITS)
-    half = np.uint64((1 << int(bits) - 1) - 1)
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _Keys(top)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                cut = batch.slice(lo, SLICE)
-                rows = cut.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                name = xxhash.xxh64_intdigest(rows) - (1 << 63)
-                found = [_WORD.findall((t or "").lower()) for t in cut.column(1).to_pylist()]
-                sizes = np.array([len(f) for f in found], "i8")
-                if not sizes.sum():
-                    continue
-                out = [(name % parts, 2, name, b"", b"", rows)]
-                w = np.fromiter((k for f in found for k in map(keys.__getitem__, f)), "u8", int(sizes.sum()))
-                v = np.roll(w, 1)
-                v[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
-                doc = np.repeat(np.arange(len(sizes), dtype="u2"), sizes)
-                is_rare = w >= RARE
-                # a top second word: its number, then the first word's number or, marked, as much of its hash as fits
-                first = np.where(v >= RARE, (half + np.uint64(1)) | (v & half), v)
-                for rare, mine in ((0, ~is_rare), (1, is_rare)):
-                    if not mine.any():
-                        continue
-                    key = w[mine] if rare else (w[mine] << bits) | first[mine]
-                    mixed = key * _ODD
-                    part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype("i4")
-                    order = np.argsort(part, kind="stable")
-                    part, d, key, other = part[order], doc[mine][order], key[order], v[mine][order]
-                    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                    for x, y in zip(begins, np.append(begins[1:], len(part)), strict=True):
-                        at, n = np.unique(d[x:y], return_counts=True)
-                        out.append((int(part[x]), rare, name, at.tobytes(), n.astype("<u4").tobytes(), key[x:y].tobytes() + (other[x:y].tobytes() if rare else b"")))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "kind", "slice", "places", "sizes", "keys"])
-
-    return docs.select("row", "text").mapInArrow(run, "part int, kind int, slice long, places binary, sizes binary, keys binary")
-
-
-#: What a partition says of a slice: its documents' keys (kind 2), or sums for documents (kind 0), or (kind 1) of which rare
-#: first words, by their hashes, how many more logarithms of the count are to be taken off.
-_SAID = "kind int, slice long, places binary, n binary, score binary, begins binary, words binary"
-
-
-def _sums(packed: DataFrame, top: dict[int, int], counts: np.ndarray, total: int) -> DataFrame:
-    bits = np.uint64(63 - TOP_BITS)
-    half = np.uint64((1 << int(bits) - 1) - 1)
-    log_top = np.log(np.append(counts, 1).astype("f8"))
-    log_total, log_back = np.log(max(total, 1)), np.log(BACKOFF)
-    names = [f.split()[0] for f in _SAID.split(", ")]
-    types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-
-    def tally(key: np.ndarray) -> np.ndarray:
-        """How often each entry's key occurs."""
-        order = np.argsort(key)
-        s = key[order]
-        edges = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        n = np.empty(len(key), "i4")
-        n[order] = np.repeat(np.diff(np.append(edges, len(s))), np.diff(np.append(edges, len(s))))
-        return n
-
-    def scored(rare: bool, key: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each entry: its score, whether it begins a document, whether its first word's count is owing, that word's hash."""
-        if rare:
-            c2 = tally((key * _ODD) ^ (other * np.uint64(0xC2B2AE3D27D4EB4F)))
-            second, begin, unnumbered, word = np.log(tally(key)), other == BEGIN, other >= RARE, other
-        else:
-            c2 = tally(key)
-            word = key & ((np.uint64(1) << bits) - np.uint64(1))
-            second, begin, unnumbered = log_top[(key >> bits).astype("i8")], word == BEGIN, word > half
-        known = (c2 >= LEAST) & ~begin
-        number = np.where(unnumbered, 0, word).astype("i8")
-        score = np.where(known, np.log(c2) - np.where(unnumbered, 0.0, log_top[number]), second - log_total + np.where(begin, 0.0, log_back))
-        return score, begin, known & unnumbered, word & half
+def _once(doc: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, v, w, times): distinct n-grams of each document, in the order of documents."""
+    order = np.lexsort((w, v, doc))
+    doc, v, w = doc[order], v[order], w[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(first)
+    return doc[at], v[at], w[at], np.diff(np.append(at, len(doc)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for part, kind, name, places, sizes, keys in zip(*(batch.column(i) for i in range(6)), strict=True):
-                if kind.as_py() == 2:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((2, name.as_py(), b"", b"", b"", b"", keys.as_py()), types, strict=True)], names)
-                    continue
-                held.setdefault((part.as_py(), kind.as_py()), []).append((name.as_py(), np.frombuffer(places.as_buffer(), "<u2"), np.frombuffer(sizes.as_buffer(), "<u4"), np.frombuffer(keys.as_buffer(), "<u8")))
-        for part, kind in list(held):
-            got = held.pop((part, kind))
-            n = [len(g[3]) // (1 + kind) for g in got]
-            score, begin, owing, word = scored(bool(kind), np.concatenate([g[3][:k] for g, k in zip(got, n, strict=True)]), np.concatenate([g[3][k:] for g, k in zip(got, n, strict=True)]) if kind else None)
-            lo, out = 0, []
-            for (name, places, sizes, _), k in zip(got, n, strict=True):
-                hi = lo + k
-                edges = (np.cumsum(sizes) - sizes).astype("i8")
-                out.append((0, name, places.tobytes(), sizes.tobytes(), np.add.reduceat(score[lo:hi], edges).tobytes(), np.add.reduceat(begin[lo:hi].astype("u4"), edges).astype("<u4").tobytes(), b""))
-                if owing[lo:hi].any():
-                    mine = owing[lo:hi]
-                    both, times = np.unique(np.stack([np.repeat(places, sizes)[mine].astype("u8"), word[lo:hi][mine]], 1), axis=0, return_counts=True)
-                    out.append((1, name, both[:, 0].astype("<u2").tobytes(), times.astype("<u4").tobytes(), b"", b"", both[:, 1].tobytes()))
-                lo = hi
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return packed.mapInArrow(run, _SAID)
-
-
-def _owed(said: DataFrame) -> DataFrame:
-    """(slice, place, word, n) of rows of kind 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, places, n, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                at = np.frombuffer(places, "<u2")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, "i8")), pa.array(at.astype("i4")), pa.array(np.frombuffer(words, "<u8").astype("i8")), pa.array(np.frombuffer(n, "<u4").astype("i8"))], ["slice", "place", "word", "n"])
 
-    return said.where("kind = 1").select("slice", "places", "n", "words").mapInArrow(run, "slice long, place int, word long, n long")
-
-
-def _by_document(said: DataFrame, parts: int) -> DataFrame:
-    """(slice, place, row, n, score, begins) of the documents of each slice."""
+def _packed(rows: DataFrame, top: dict[int, int], counts: np.ndarray, parts: int) -> DataFrame:
+    """The n-grams of ``rows`` (row, text), those of several documents for one partition in one row: number in document, and two top words as one number or first and second word."""
+    shared = rows.sparkSession.sparkContext.broadcast((top, np.log(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, sums = None, None, None
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, now, "i8")), pa.array(np.arange(k, dtype="i4")), pa.array(rows), pa.array(sums[0].astype("i8")), pa.array(sums[1]), pa.array(sums[2].astype("i8"))], ["slice", "place", "row", "n", "score", "begins"])
-
+        known, logs = shared.value
+        keys = _Keys(known)
+        lists = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]
+        names = ["part", "rows", "times", "pairs", "firsts", "seconds", "sums"]
         for batch in batches:
-            for kind, name, places, n, score, begins, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if name != now:
-                    yield from finish()
-                    now, rows, sums = name, np.empty(0, "i8"), np.zeros((3, SLICE))
-                if kind == 2:
-                    rows = np.frombuffer(words, "<i8")
-                    sums = np.concatenate([sums, np.zeros((3, max(0, len(rows) - sums.shape[1])))], 1)[:, : max(len(rows), 1)]
-                else:
-                    at = np.frombuffer(places, "<u2")
-                    sums[0, at] += np.frombuffer(n, "<u4")
-                    sums[1, at] += np.frombuffer(score, "f8")
-                    sums[2, at] += np.frombuffer(begins, "<u4")
-        yield from finish()
-
-    dealt = said.where("kind <> 1").repartition(parts, "slice").sortWithinPartitions("slice", F.desc("kind"))
-    return dealt.mapInArrow(run, "slice long, place int, row long, n long, score double, begins long")
+            for lo in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(lo, TOGETHER)
+                row = part.column(0).to_numpy()
+                found = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
+                n = np.array([len(f) for f in found], "i8")
+                w = np.fromiter((k for f in found for k in map(keys.__getitem__, f)), "u8", int(n.sum())).view("i8")
+                doc = np.repeat(np.arange(len(n)), n)
+                common = w >= 0
+                sums = np.bincount(doc[common], logs[w[common]], len(n))
+                second = np.ones(len(w), bool)
+                second[(np.cumsum(n) - n)[n > 0]] = False
+                at = np.flatnonzero(second)
+                some = np.flatnonzero(n)
+                made = [(*_once(doc[at], w[at - 1], w[at]), None)]
+                d, v, x, times = _once(doc[~common], np.full((~common).sum(), WORD), w[~common])
+                made.append((d, v, x, times, None))
+                made.append((some, np.full(len(some), DOCUMENT), row[some], n[some], sums[some]))
+                for d, v, x, times, more in made:
+                    two = (v >= 0) & (x >= 0)
+                    h = (v.view("u8") * _ODD[0] ^ x.view("u8")) * _ODD[1]
+                    goes = ((h >> np.uint64(33)) % np.uint64(parts)).astype("i4")
+                    for kind in (True, False):
+                        pick = np.flatnonzero(two == kind)
+                        if not len(pick):
+                            continue
+                        pick = pick[np.argsort(goes[pick], kind="stable")]
+                        g = goes[pick]
+                        cut = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).astype("i4")
+                        none = pa.nulls(len(cut) - 1)
+                        column = lambda x, t, cut=cut: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, t.value_type))
+                        pairs = column((v[pick] << TOP_BITS | x[pick]).astype("u4").view("i4"), lists[2]) if kind else none.cast(lists[2])
+                        firsts, seconds = (none.cast(t) if kind else column(y[pick], t) for y, t in ((v, lists[3]), (x, lists[4])))
+                        value = none.cast(lists[5]) if more is None else column(more[pick], lists[5])
+                        yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), column(row[d[pick]], lists[0]), column(times[pick], lists[1]), pairs, firsts, seconds, value], names)
+
+    return rows.select("row", "text").mapInArrow(run, _PACKED)
+
+
+def exploded(packed: DataFrame) -> DataFrame:
+    """(part, row, times, v, w, sum): an n-gram of a document a row."""
+    low = (1 << TOP_BITS) - 1
+    two = F.transform(F.arrays_zip("rows", "times", "pairs"), lambda x: F.struct(
+        x["rows"].alias("row"), x["times"].alias("times"), F.shiftrightunsigned(x["pairs"], TOP_BITS).cast("long").alias("v"), x["pairs"].bitwiseAND(F.lit(low)).cast("long").alias("w"), F.lit(None).cast("double").alias("sum")
+    ))
+    sums = F.coalesce("sums", F.array().cast("array<double>")).alias("sums")
+    other = F.transform(F.arrays_zip("rows", "times", "firsts", "seconds", sums), lambda x: F.struct(
+        x["rows"].alias("row"), x["times"].alias("times"), x["firsts"].alias("v"), x["seconds"].alias("w"), x["sums"].alias("sum")
+    ))
+    return packed.select("part", F.inline(F.when(F.col("pairs").isNotNull(), two).otherwise(other)))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Words are lower-cased runs of letters and digits, counted over all rows, repeated ones each time.  Null
-    texts and texts without words have 0 words, a score of 0 and a null mean.  Null doc_ids each give a row; an
-    empty table gives none.  Scores are rounded to six places.
+    Words are lower-cased runs of letters and digits, counted over all rows, repeated ones each time: a row that
+    is repeated is another document to its copies.  A bigram that only one row holds is backed off there, however
+    often it does.  Null texts and texts without words have 0 words, a score of 0 and a null mean.  Null doc_ids each
+    give a row; an empty table gives none.  Scores are rounded to six places.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     words = materialize(unigrams(docs), "unigrams")
-    total = words.agg(F.sum("c")).first()[0] or 0
+    total = words.agg(F.sum("c")).first()[0] or 1
     best = top_words(words)
-    top = {r["word"] & (1 << 64) - 1: i for i, r in enumerate(best)}
-    counts = np.ones(int(BEGIN), "i8")
-    counts[: len(best)] = [r["c"] for r in best]
-    dealt = _packed(rows, top, parts).repartitionById(parts, "part")
-    said = materialize(_sums(dealt, top, counts, total), "said")
-    half = (1 << 63 - TOP_BITS - 1) - 1
-    by_hash = words.select(F.col("word").bitwiseAND(F.lit(half)).alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
-    owed = _owed(said).join(materialize(by_hash, "by-hash").hint("merge"), "word")
-    owed = owed.groupBy("slice", "place").agg(F.sum(F.col("n") * F.log("c")).alias("owed"))
-    per = _by_document(said, parts).join(owed, ["slice", "place"], "left")
-    per = per.groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("score") - F.coalesce("owed", F.lit(0.0))).alias("score"), F.sum("begins").alias("docs"))
+    counts = np.array([r["c"] for r in best], "f8")
+    packed = _packed(rows, {r["word"] & (1 << 64) - 1: i for i, r in enumerate(best)}, counts, parts).repartition(parts, "part")
+    grams = exploded(packed)
+    table = grams.groupBy("part", "v", "w").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("held"))
+    # nothing is asked of bigrams that only one document holds
+    table = table.where((F.col("held") > 1) | F.col("v").isin(WORD, DOCUMENT))
+    asked = grams.join(table.hint("merge"), ["part", "v", "w"])
+    numbers = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.log(counts))], "word long, ln double")
+    for k in ("v", "w"):
+        asked = asked.join(F.broadcast(numbers.select(F.col("word").alias(k), F.col("ln").alias(f"ln_{k}"))), k, "left")
+    is_word, is_doc, found = F.col("v") == WORD, F.col("v") == DOCUMENT, F.col("c") > F.col("times")
+    gain = F.log(F.col("c") - F.col("times")) - F.coalesce("ln_v", F.lit(0.0)) - F.coalesce("ln_w", F.lit(0.0)) + float(np.log(total) - np.log(BACKOFF))
+    base = F.col("sum") - F.col("times") * float(np.log(total)) + (F.col("times") - 1) * float(np.log(BACKOFF))
+    value = F.when(is_doc, base).when(is_word, F.col("times") * F.log("c")).when(found, F.col("times") * gain)
+    # words of bigrams that were found whose counts aren't broadcast: a document owes their logarithms
+    owed = F.when(~is_doc & ~is_word & found, F.array_compact(F.array(F.when(F.col("v") < 0, F.col("v")), F.when(F.col("w") < 0, F.col("w")))))
+    said = asked.select("row", "times", is_doc.alias("is_doc"), value.alias("score"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(owed, F.array().cast("array<long>")))).alias("word"))
+    here = F.col("word").isNull()
+    said = said.groupBy("row", "word").agg(
+        F.sum(F.when(here & F.col("is_doc"), F.col("times"))).alias("n"), F.count_if(here & F.col("is_doc")).alias("docs"), F.sum(F.when(here, F.col("score"))).alias("score"), F.sum(F.when(~here, F.col("times"))).alias("times")
+    )
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # rows of a part are together, and so are those of an n-gram
+        said = materialize(said, "lm-sums")
+    debts = said.where("word is not null").select("row", "word", "times").join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("c")).alias("debt"))
+    per = said.where("word is null").select("row", "n", "docs", "score").join(debts, "row", "left")
     out = rows.select("doc_id", "row").join(per, "row", "left")
-    n, s = F.coalesce(F.expr("n div nullif(docs, 0)"), F.lit(0)).cast("long"), F.coalesce(F.col("score") / F.nullif(F.col("docs"), F.lit(0)), F.lit(0.0))
+    n = F.coalesce(F.expr("n div nullif(docs, 0)"), F.lit(0)).cast("long")
+    s = F.coalesce((F.col("score") - F.coalesce("debt", F.lit(0.0))) / F.nullif(F.col("docs"), F.lit(0)), F.lit(0.0))
     return out.select("doc_id", n.alias("n_words"), F.round(s, 6).alias("log_score"), F.when(n > 0, F.round(s / n, 6)).alias("mean_log_score"))
 
 
@@ -277,10 +214,11 @@ with r as (
 ), w as (select row, unnest(ws) as w, unnest(range(len(ws))) as i from r
 ), c1 as (select w, count(*) as c from w group by 1
 ), b as (select row, i, w, lag(w) over (partition by row order by i) as v from w
-), c2 as (select v, w, count(*) as c from b where v is not null group by 1, 2
+), own as (select row, v, w, count(*) as n from b where v is not null group by all
+), c2 as (select v, w, sum(n) as c from own group by all
 ), s as (
-  select b.row, count(*) as n, sum(case when c2.c >= {LEAST} then ln(c2.c) - ln(cv.c) else ln(cw.c) - ln((select count(*) from w)) + case when b.v is null then 0 else ln({BACKOFF}) end end) as s
-  from b join c1 cw on cw.w = b.w left join c1 cv on cv.w = b.v left join c2 on c2.v = b.v and c2.w = b.w group by 1
+  select b.row, count(*) as n, sum(case when c2.c > own.n then ln(c2.c - own.n) - ln(cv.c) else ln(cw.c) - ln((select count(*) from w)) + case when b.v is null then 0 else ln({BACKOFF}) end end) as s
+  from b join c1 cw on cw.w = b.w left join c1 cv on cv.w = b.v left join own on own.row = b.row and own.v = b.v and own.w = b.w left join c2 on c2.v = b.v and c2.w = b.w group by 1
 )
 select doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 6) as mean_log_score from r left join s using (row)
 """
