@@ -106,13 +106,27 @@ def test_decontamination(spark, odd, none):
 
 
 def test_licences(spark, odd, none):
-    mit = next(t for k, t in licences.KNOWN if k == "MIT" and len(t) > 300)
+    mit = dict(licences.known_texts())["MIT"].split("\n\n", 1)[1]
     rows = [(1, "Copyright (c) 2020 Me\nAll rights reserved.\n\n" + mit.upper().replace(", ", ",\n"), "s"), (2, "Hello.\nReleased under the MIT Licence!\nreleased UNDER the mit license\nBye", "s"), (3, "licensed under the apache license version 2.0 and more", "s"), (4, "Licensed under the Apache Licence, ver. 2.0", "s")]
-    got = {(r["doc_id"], r["license"]): (r["whole"], r["n_lines"]) for r in licences.scan(docs(spark, rows).unionByName(odd)).collect()}
-    assert got == {(1, "MIT"): (True, 0), (2, "MIT"): (False, 2), (4, "Apache-2.0"): (True, 1)}
+    notice = next(t for k, t in licences.NOTICES if k == "MPL-2.0" and len(t) > 100)
+    rows.append((5, "Some code.\n\n" + notice.replace(" form", "\nform").replace(" a copy", "\r\na copy") + "\n \n\nMore.", "s"))
+    got = {(r["doc_id"], r["license"]): (r["whole"], r["n_paragraphs"], r["n_lines"]) for r in licences.scan(docs(spark, rows).unionByName(odd)).collect()}
+    assert got == {(1, "MIT"): (True, 1, 0), (2, "MIT"): (False, 0, 2), (4, "Apache-2.0"): (True, 0, 1), (5, "MPL-2.0"): (False, 1, 0)}
     assert licences.scan(none).isEmpty()
 
 
+def test_each_licence(spark):
+    """Each known text is found under its name, wrapped anew, in other spelling, with a line of copyright before it; with a word changed it isn't."""
+    files = {k: t for k, t in licences.known_texts() if len(t) > 500}
+    assert {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MPL-1.1", "CC0-1.0", "GFDL-1.3"} <= set(files)
+    rows = []
+    for n, (_, t) in enumerate(sorted(files.items())):
+        rows.append((2 * n, "Copyright 2001 Someone\n\n" + t.replace("license", "licence").replace("\n\n", "\r\n\r\n\r\n").upper(), "s"))
+        rows.append((2 * n + 1, t.replace(" and ", " nd ", 1), "s"))
+    got = {(r["doc_id"], r["license"]) for r in licences.scan(docs(spark, rows)).where("whole").collect()}
+    assert got == {(2 * n, k) for n, k in enumerate(sorted(files))}
+
+
 # ---- 3
 
 
