@@ -5,7 +5,8 @@ import json
 import pytest
 
 from tracewarden.operators import findings as fs
-from tracewarden.operators.corpus import from_texts, skills
+from tracewarden.operators import line_rules, manifests
+from tracewarden.operators.corpus import from_texts, lines, skills
 from tracewarden.plans import audit
 
 SKILL = "# my-unique-skill-name\n\nDoes something useful.\n"
@@ -192,3 +193,17 @@ def test_literals():
         for line in lines:
             if re.search(r.patterns[0], line, re.DOTALL):
                 assert words[r.id] in line
+
+
+def test_digits_of_other_scripts(spark):
+    """\u0661\u0662 is twelve; lines with such addresses are judged like others and end no audit."""
+    found = line_rules.raw_addresses(lines(from_texts(spark.createDataFrame([("s", "a.py", "http://\u0661\u0662.1.1.1\nhttp://\u0661\u0660.1.1.1\nhttp://999.1.1.1")], "skill_id string, file_path string, content string"))))
+    assert [r["line_number"] for r in found.orderBy("line_number").collect()] == [1, 3]
+
+
+def test_json_to_its_end(spark):
+    """A package.json is one JSON value and nothing after it."""
+    good, bad = '{"dependencies": {"ctx": "1"}}', [" trailing", ' {"a": 1}', " ]", " }", ', {"a": 1}', ', "y": 1']
+    rows = [(f"s{i}", "package.json", good + tail) for i, tail in enumerate(["", "\n \n", *bad])]
+    found = manifests.npm(from_texts(spark.createDataFrame(rows, "skill_id string, file_path string, content string")))
+    assert sorted(r["skill_id"] for r in found.where("rule_id = 'DEP_001'").collect()) == ["s0", "s1"]

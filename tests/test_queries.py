@@ -41,4 +41,4 @@ def test_registered():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["skill_id", "passed", "risk_score", "risk_level", "total_findings"] and df.count() == 40
+    assert df.columns == ["skill_id", "passed", "risk_score", "risk_level", "total_findings"] and df.count() == 38

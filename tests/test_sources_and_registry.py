@@ -33,13 +33,13 @@ def tree(tmp_path):
 def test_tree_and_archive(spark, tmp_path):
     skilltree.register(spark)
     root = tree(tmp_path)
-    files = spark.read.format("skilltree").option("maxFile", 1000).load(root).withColumn("skill_id", F.element_at(F.split("skill_id", "/"), -1)).persist()
+    files = spark.read.format("skilltree").option("maxFile", 5000).load(root).withColumn("skill_id", F.element_at(F.split("skill_id", "/"), -1)).persist()
     rows = {(r["skill_id"], r["file_path"]): r for r in files.collect()}
     assert rows["a", ".env"]["content"] == "eval(x)\ufffd\ufffd\n" and rows["a", ".env"]["suffix"] == ""
     assert rows["a", ".hidden/_u.py"]["depth"] == 2
     assert rows["a", "link"]["is_symlink"] and rows["a", "link"]["content"] is None
     assert rows["a", "SKILL.md"]["content"] == "# Nice name\nno network\n"
-    assert ("z", "../evil.py") not in rows and ("z", "/abs.py") not in rows and rows["z", "big.txt"]["content"] is None
+    assert ("z", "../evil.py") not in rows and ("z", "/abs.py") not in rows and rows["z", "big.txt"]["content"] == "y" * 2000
     found, reports = audit.audit(files)
     got = {}
     for r in found.collect():
@@ -54,6 +54,44 @@ def test_tree_and_archive(spark, tmp_path):
     assert one.where("is_file").count() == 4
 
 
+def test_skills_that_cannot_be_read_fail_alone(spark, tmp_path):
+    skilltree.register(spark)
+    root = tree(tmp_path)
+    bad = tmp_path / "in"
+    (bad / "noise.zip").write_bytes(b"PK\x03\x04 this is no archive")
+    (bad / "void.zip").write_bytes(b"")
+    with zipfile.ZipFile(bad / "nested.zip", "w") as z:
+        z.writestr("a/b/SKILL.md", "# x\n")
+    with zipfile.ZipFile(bad / "sum.zip", "w") as z:
+        z.writestr("SKILL.md", "# a title\n" * 30)
+    raw = bytearray((bad / "sum.zip").read_bytes())
+    raw[60] ^= 1
+    (bad / "sum.zip").write_bytes(bytes(raw))
+    with zipfile.ZipFile(bad / "locked.zip", "w") as z:
+        z.writestr("SKILL.md", "x")
+    raw = bytearray((bad / "locked.zip").read_bytes())
+    for at in (raw.index(b"PK\x03\x04") + 6, raw.index(b"PK\x01\x02") + 8):
+        raw[at] |= 1  # as if encrypted
+    (bad / "locked.zip").write_bytes(bytes(raw))
+    (bad / "large").mkdir()
+    (bad / "large" / "f.txt").write_text("z" * 6000)
+    files = spark.read.format("skilltree").option("maxFile", 5000).option("skillsPerTask", 3).load(root).withColumn("skill_id", F.element_at(F.split("skill_id", "/"), -1)).persist()
+    failed = {r["skill_id"]: r["error"] for r in skilltree.failed(files).collect()}
+    assert set(failed) == {"noise", "void", "sum", "locked", "large"}
+    assert [r["file_path"] for r in files.where("skill_id = 'large'").collect()] == ["."]
+    assert {r["file_path"] for r in files.where("skill_id = 'nested'").collect()} == {".", "a", "a/b", "a/b/SKILL.md"}
+    found, reports = audit.audit(files)
+    subs = spark.createDataFrame([(f"u-{k}", k, "AUDITING") for k in ("a", "z", "noise", "large", "nested")], "id string, skillId string, status string")
+    at = str(tmp_path / "registry")
+    done = registry.store(at, subs, reports, found, skilltree.failed(files), F.lit(dt.datetime(2024, 1, 1)))
+    status = {r["skillId"]: r["status"] for r in done.collect()}
+    assert status == {"a": "REJECTED", "z": "REJECTED", "noise": "REJECTED", "large": "REJECTED", "nested": "REJECTED"}
+    stored = registry.load(spark, at, "audit_reports")
+    assert {r["skillId"] for r in stored.collect()} == {"a", "z", "nested"} and registry.load(spark, at, "findings").count() == found.where("skill_id in ('a', 'z', 'nested')").count()
+    registry.append(stored, at, "audit_reports")
+    assert registry.load(spark, at, "audit_reports").count() == 6
+
+
 def test_levels(spark):
     want = {0: "none", 5: "low", 10: "low", 11: "medium", 30: "medium", 31: "high", 60: "high", 61: "critical"}
     df = spark.createDataFrame([(k,) for k in want], "s int")

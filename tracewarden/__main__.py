@@ -23,6 +23,10 @@ def main(args: list[str]) -> int:
     spark = session("audit", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"})
     skilltree.register(spark)
     files = spark.read.format("skilltree").option("single", "true").load(os.path.abspath(args[0])).persist()
+    bad = skilltree.failed(files).first()
+    if bad is not None:
+        print(json.dumps({"error": bad["error"]}))
+        return 1
     found = audit.findings(files).persist()
     print(fs.documents(skills(files), found).first()["report"])
     return 0

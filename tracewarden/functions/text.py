@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the characters that end a line (CR LF counts as one end).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
+#: Decimal digits of all scripts, and those that they stand for.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode)) if unicodedata.category(c) == "Nd")
+DIGITS = DIGITS, "".join(str(unicodedata.digit(c)) for c in DIGITS)
+
 
 def rx(pattern: str, *, ignore_case: bool = False, dot_all: bool = False, multiline: bool = False) -> str:
     """A Java pattern with Unicode classes; ``multiline`` anchors only after a line feed."""

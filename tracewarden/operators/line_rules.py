@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import rules as R
-from tracewarden.functions.text import any_of, cut, first_match, literal, rx, strip
+from tracewarden.functions.text import DIGITS, any_of, cut, first_match, literal, rx, strip
 from tracewarden.operators.corpus import lines, readable
 from tracewarden.operators.findings import COLUMNS, exploded, finding, first_of_each, no_findings
 from tracewarden.session import ship
@@ -128,7 +128,7 @@ def credentials(files: DataFrame) -> DataFrame:
 
 def private_address(url: Column) -> Column:
     """Whether an http(s) URL with a dotted quad points to a private or loopback address."""
-    part = [F.regexp_extract(url, rx(R.RAW_IP), i).cast("int") for i in (1, 2)]
+    part = [F.translate(F.regexp_extract(url, rx(R.RAW_IP), i), *DIGITS).try_cast("int") for i in (1, 2)]
     return (part[0] == 10) | (part[0] == 127) | ((part[0] == 172) & part[1].between(16, 31)) | ((part[0] == 192) & (part[1] == 168))
 
 

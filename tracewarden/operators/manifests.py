@@ -60,8 +60,12 @@ def requirements(files: DataFrame) -> DataFrame:
 def npm(files: DataFrame) -> DataFrame:
     """package.json outside node_modules: three sections merged, later ones win, first places stay; lines are places in the merged map."""
     rows = readable(files).where("name = 'package.json'").where(~F.concat_ws("/", F.col("skill_id").cast("string"), "file_path").contains("node_modules"))
-    section = "map<string,string>"
-    parsed = F.from_json("content", f"dependencies {section}, devDependencies {section}, optionalDependencies {section}", {"allowSingleQuotes": "false"})
+    sections = ", ".join(f"{k}: map<string,string>" for k in ("dependencies", "devDependencies", "optionalDependencies"))
+    strict = {"allowSingleQuotes": "false"}
+    # a parser stops after the first value; inside a list and inside an object, what follows it makes the text invalid
+    listed = F.from_json(F.concat(F.lit("["), "content", F.lit("]")), f"array<struct<{sections}>>", strict)
+    held = F.from_json(F.concat(F.lit('{"x":'), "content", F.lit("}")), f"struct<x: struct<{sections}>>", strict)
+    parsed = F.when((F.size(listed) == 1) & held["x"].isNotNull(), listed[0])
     none = F.array().cast("array<struct<key:string,value:string>>")
     rows = rows.withColumn("_j", parsed)
     pairs = F.concat(*(F.coalesce(F.map_entries(F.col(f"_j.{k}")), none) for k in ("dependencies", "devDependencies", "optionalDependencies")))

@@ -7,11 +7,12 @@ completedAt); findings(id, reportId, detector, severity, ruleId, description, fi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.text import strip
 
+TABLES = ("skills", "submissions", "audit_reports", "findings")
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 RENAMED = {"rule_id": "ruleId", "file_path": "filePath", "line_number": "lineNumber"}
 
@@ -74,6 +75,40 @@ def settled(submissions: DataFrame, reports: DataFrame, failed: DataFrame | None
     return out.withColumn("status", status).select(*submissions.columns)
 
 
+def _at(where: str, table: str, options: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """The format and options of a table: below a folder, or by its name in a database if ``where`` is a JDBC URL."""
+    if where.startswith("jdbc:"):
+        return "jdbc", {**options, "url": where, "dbtable": table}
+    return "parquet", {**options, "path": f"{where.rstrip('/')}/{table}"}
+
+
+def append(rows: DataFrame, where: str, table: str, **options: str) -> None:
+    """Adds rows to a table of the registry: of Parquet files in a folder, or of a database (user, password, driver as options)."""
+    kind, told = _at(where, table, options)
+    rows.write.format(kind).mode("append").options(**told).save()
+
+
+def load(spark: SparkSession, where: str, table: str, **options: str) -> DataFrame:
+    """A table of the registry; of a database, ``partitionColumn``, bounds and ``numPartitions`` as options split the reading."""
+    kind, told = _at(where, table, options)
+    return spark.read.format(kind).options(**told).load()
+
+
+def store(where: str, submissions: DataFrame, reports: DataFrame, findings: DataFrame, failed: DataFrame | None = None, now: Column | None = None, **options: str) -> DataFrame:
+    """Appends an audit's reports and findings, and returns the submissions with their new status.
+
+    A submission is one skill's; skills in ``failed`` (skill_id, error) are REJECTED without a report, and hold up no others.
+    """
+    bad = None
+    if failed is not None:
+        bad = submissions.join(failed.select(F.col("skill_id").alias("skillId")).distinct(), "skillId").select("id")
+        reports = reports.join(failed.select("skill_id").distinct(), "skill_id", "left_anti")
+    made = report_rows(reports, submissions, now)
+    append(made, where, "audit_reports", **options)
+    append(finding_rows(findings, made), where, "findings", **options)
+    return settled(submissions, made, bad)
+
+
 def current_status(events: DataFrame) -> DataFrame:
     """(submission_id, status): the latest of each submission's status events (submission_id, status, ts, seq)."""
     return events.groupBy("submission_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.operators.corpus import from_texts
 
-SKILLS = 40
+#: Customers whose orders make one skill: skills grow with the tables, files don't.
+EACH = 4
 PATHS = ["main.py", "lib/helper.js", "docs/guide.md", "run.sh", "src/view.tsx", "data/blob.so", "conf/app.yaml"]
 #: Lines of files: for every rule at least one that it finds and one that it nearly finds.
 SNIPPETS = [
@@ -50,7 +51,7 @@ def _joined(rows: DataFrame) -> DataFrame:
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose lines are snippets, one for each order."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    rows = o.select("o_orderkey", F.concat(F.lit("s"), (F.col("o_custkey") % SKILLS).cast("string")).alias("skill_id"), _pick(PATHS, F.col("o_orderkey")).alias("file_path"), _pick(SNIPPETS, F.col("o_orderkey") * 7 + F.col("o_custkey")).alias("line"))
+    rows = o.select("o_orderkey", F.concat(F.lit("s"), F.expr(f"o_custkey div {EACH}").cast("string")).alias("skill_id"), _pick(PATHS, F.col("o_orderkey")).alias("file_path"), _pick(SNIPPETS, F.col("o_orderkey") * 7 + F.col("o_custkey")).alias("line"))
     w = Window.partitionBy("skill_id", "file_path").orderBy("o_orderkey")
     return from_texts(_joined(rows.withColumn("line_no", F.row_number().over(w))))
 
@@ -65,7 +66,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         mine = F.col("o_orderkey") % n == i
         path = F.when(mine, name).otherwise(path)
         line = F.when(mine, _pick(values, F.col("o_orderkey") * 3 + F.col("o_custkey"))).otherwise(line)
-    rows = o.select("o_orderkey", F.concat(F.lit("s"), (F.col("o_custkey") % SKILLS).cast("string")).alias("skill_id"), path.alias("file_path"), line.alias("line"))
+    rows = o.select("o_orderkey", F.concat(F.lit("s"), F.expr(f"o_custkey div {EACH}").cast("string")).alias("skill_id"), path.alias("file_path"), line.alias("line"))
     w = Window.partitionBy("skill_id", "file_path").orderBy("o_orderkey")
     out = _joined(rows.withColumn("line_no", F.row_number().over(w)))
     s = _skills(spark, sf_dir)
@@ -74,7 +75,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % SKILLS).alias("k")).distinct()
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr(f"c_custkey div {EACH}").alias("k")).distinct()
     return k.withColumn("skill_id", F.concat(F.lit("s"), F.col("k").cast("string")))
 
 
@@ -92,7 +93,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of trees, some links, some deep, some skills without regular files."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k, depth = F.col("o_custkey") % SKILLS, (F.col("o_orderkey") % 14).cast("int") + 1
+    k, depth = F.expr(f"o_custkey div {EACH}"), (F.col("o_orderkey") % 14).cast("int") + 1
     link, folder = F.col("o_orderkey") % 11 == 0, k % 8 == 7
     path = F.concat(F.repeat(F.lit("d/"), depth - 1), F.lit("f"), F.col("o_orderkey").cast("string"))
     rows = o.select(F.concat(F.lit("s"), k.cast("string")).alias("skill_id"), path.alias("file_path"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("").alias("suffix"), depth.alias("depth"), (~link & ~folder).alias("is_file"), link.alias("is_symlink"), F.when(link, F.concat(F.lit("/t/"), F.col("o_orderkey").cast("string"))).alias("symlink_target"), F.lit(None).cast("string").alias("content"))

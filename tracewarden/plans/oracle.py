@@ -25,16 +25,16 @@ def _any(column: str, patterns, flags: str = "") -> str:
 SUFFIX = "lower(regexp_extract(split_part(file_path, '/', -1), '^.+(\\.[^.]+)$', 1))"
 CODE = f"""code as (
   select skill_id, file_path, row_number() over (partition by skill_id, file_path order by o_orderkey) as line_no, line, {SUFFIX} as suffix
-  from (select o_orderkey, 's' || (o_custkey % {D.SKILLS}) as skill_id, {_list(D.PATHS)}[o_orderkey % {len(D.PATHS)} + 1] as file_path, {_list(D.SNIPPETS)}[(o_orderkey * 7 + o_custkey) % {len(D.SNIPPETS)} + 1] as line from orders)
+  from (select o_orderkey, 's' || (o_custkey // {D.EACH}) as skill_id, {_list(D.PATHS)}[o_orderkey % {len(D.PATHS)} + 1] as file_path, {_list(D.SNIPPETS)}[(o_orderkey * 7 + o_custkey) % {len(D.SNIPPETS)} + 1] as line from orders)
 )"""
 _m = list(D.MANIFESTS.items())
 MANIFEST = f"""manifest as (
   select skill_id, file_path, row_number() over (partition by skill_id, file_path order by o_orderkey) as line_no, line, trim(line) as s
-  from (select o_orderkey, 's' || (o_custkey % {D.SKILLS}) as skill_id,
+  from (select o_orderkey, 's' || (o_custkey // {D.EACH}) as skill_id,
     case o_orderkey % {len(_m)} {' '.join(f'when {i} then {q(k)}' for i, (k, _) in enumerate(_m))} end as file_path,
     case o_orderkey % {len(_m)} {' '.join(f'when {i} then {_list(v)}[(o_orderkey * 3 + o_custkey) % {len(v)} + 1]' for i, (_, v) in enumerate(_m))} end as line from orders)
 )"""
-SKILLS = f"""skill as (select distinct c_custkey % {D.SKILLS} as k, 's' || (c_custkey % {D.SKILLS}) as skill_id from customer),
+SKILLS = f"""skill as (select distinct c_custkey // {D.EACH} as k, 's' || (c_custkey // {D.EACH}) as skill_id from customer),
 skill_md as (select skill_id, {_list(D.NAMES)}[(k * 3) % {len(D.NAMES)} + 1] as title, {_list(D.PHRASES)}[k % {len(D.PHRASES)} + 1] as phrase from skill where k % 10 <> 9)"""
 #: Lines that are left of a file once its final line is empty: an empty last line is none.
 WIDE, TEXT, PROSE = (f"suffix in {_in(x)}" for x in (R.WIDE_SUFFIXES, R.TEXT_SUFFIXES, R.PROSE_SUFFIXES))
@@ -83,7 +83,6 @@ FINDINGS = f"""found as (
   select l_suppkey % 50 as skill_id, {_list(R.DETECTORS)}[l_partkey % 5 + 1] as detector,
     case when l_returnflag = 'A' then 'critical' when l_returnflag = 'N' then 'high' when l_linestatus = 'F' then 'medium' else 'low' end as severity,
     'R' || (l_partkey % 5) as rule_id, 'f' || (l_partkey % 40) as file_path, cast(l_orderkey % 50 as integer) as line_number, l_orderkey || '/' || l_linenumber as match, l_orderkey, l_linenumber from lineitem),
-few as (select * from found where l_orderkey % 97 = skill_id % 7),
 fifty as (select distinct s_suppkey % 60 as skill_id from supplier)"""
 LEVEL = lambda s: f"case when {s} = 0 then 'none' when {s} <= 10 then 'low' when {s} <= 30 then 'medium' when {s} <= 60 then 'high' else 'critical' end"
 SCORE = "cast(floor(o_totalprice) as bigint) % 90"
@@ -91,7 +90,7 @@ REGISTRY = f"""rep as (select o_orderkey as id, o_custkey as skill, {SCORE} as s
 newest as (select * from (select *, row_number() over (partition by skill order by ts desc, id desc) as n from rep) where n = 1),
 sub as (select o_orderkey as id, o_custkey as skill, case o_orderstatus when 'F' then 'COMPLETE' when 'P' then 'REJECTED' else 'PENDING' end as status, o_orderdate as ts from orders),
 last_sub as (select * from (select *, row_number() over (partition by skill order by ts desc, id desc) as n from sub) where n = 1),
-fnd as (select l_orderkey as report, count(*) as n, string_agg(l_linenumber || l_returnflag, ',' order by l_linenumber, l_returnflag, l_linestatus) as rules from lineitem where l_linenumber <= 2 group by 1)"""
+fnd as (select l_orderkey as report, count(*) as n, string_agg(l_linenumber || l_returnflag, ',' order by l_linenumber, l_returnflag, l_linestatus) as rules from lineitem group by 1)"""
 
 
 def _exfiltration() -> str:
@@ -168,14 +167,14 @@ select skill_id, rule_id, severity, file_path, cast(ln as integer) as line_numbe
         "dep_conda": f"with {MANIFEST} " + _short(_dep("lower(trim(split_part(ltrim(s, '- '), '=', 1)))", conda, "inside and s like '-%' and pkg <> '' and pkg not like '#%'", "line_no"), line="ln"),
         "dep_runtime": f"with {CODE} select skill_id, 'DEP_007' as rule_id, 'high' as severity, file_path, cast(line_no as integer) as line_number, left(trim(line), 80) as match from code where (file_path like '%.py' or file_path like '%.js') and regexp_matches(line, {q(R.RUNTIME_PIP)})",
         "credential_lines": f"with {CODE}, rows_ as (select skill_id, file_path, line_no, line from code where {WIDE} union all select 'd' || doc_id, 'a.txt', i, l from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)) " + _short(_credentials("rows_")),
-        "preflight": f"""with e as (select 's' || (o_custkey % {D.SKILLS}) as skill_id, repeat('d/', cast(o_orderkey % 14 as bigint)) || 'f' || o_orderkey as file_path, o_orderkey % 14 + 1 as depth, o_orderkey % 11 = 0 as link, o_custkey % {D.SKILLS} % 8 = 7 as folder, o_orderkey from orders)
+        "preflight": f"""with e as (select 's' || (o_custkey // {D.EACH}) as skill_id, repeat('d/', cast(o_orderkey % 14 as bigint)) || 'f' || o_orderkey as file_path, o_orderkey % 14 + 1 as depth, o_orderkey % 11 = 0 as link, o_custkey // {D.EACH} % 8 = 7 as folder, o_orderkey from orders)
 select skill_id, 'RUN_001' as rule_id, 'high' as severity, file_path, 'Symlink detected — potential path traversal risk' as description, '/t/' || o_orderkey as match from e where link
 union all select skill_id, 'RUN_002', 'medium', '.', 'Skill directory contains no scannable files', 'empty' from e group by skill_id having not bool_or(not link and not folder)
 union all select skill_id, 'RUN_003', 'low', min(file_path), 'Excessive directory nesting depth (' || arg_min(depth, file_path) || ' levels) — potential zip bomb', cast(arg_min(depth, file_path) as varchar) from e where depth > 10 group by skill_id""",
         "dedupe_first": f"with {FINDINGS} select skill_id, file_path, line_number, rule_id, match from (select *, row_number() over (partition by skill_id, file_path, line_number, rule_id order by l_orderkey, l_linenumber) as n from found) where n = 1",
-        "risk_score": f"with {FINDINGS}, s as (select skill_id, cast(sum(case severity when 'critical' then 40 when 'high' then 20 when 'medium' then 10 else 5 end) as bigint) as sc, count(*) as n from few group by 1) select skill_id, coalesce(n, 0) = 0 as passed, coalesce(sc, 0) as risk_score, {LEVEL('coalesce(sc, 0)')} as risk_level, coalesce(n, 0) as total_findings from fifty left join s using (skill_id)",
+        "risk_score": f"with {FINDINGS}, s as (select skill_id, cast(sum(case severity when 'critical' then 40 when 'high' then 20 when 'medium' then 10 else 5 end) as bigint) as sc, count(*) as n from found group by 1) select skill_id, coalesce(n, 0) = 0 as passed, coalesce(sc, 0) as risk_score, {LEVEL('coalesce(sc, 0)')} as risk_level, coalesce(n, 0) as total_findings from fifty left join s using (skill_id)",
         "risk_level": f"select distinct o_orderkey % 71 as score, {LEVEL('o_orderkey % 71')} as risk_level from orders",
-        "summary_by_detector": f"with {FINDINGS}, d as (select unnest({_list(R.DETECTORS)}) as detector) select s.skill_id, d.detector, count(f.severity) = 0 as passed, count(f.severity) as findings, " + ", ".join(f"count(*) filter (where f.severity = '{x}') as {x}" for x in R.WEIGHTS) + " from fifty s cross join d left join few f on f.skill_id = s.skill_id and f.detector = d.detector group by 1, 2",
+        "summary_by_detector": f"with {FINDINGS}, d as (select unnest({_list(R.DETECTORS)}) as detector) select s.skill_id, d.detector, count(f.severity) = 0 as passed, count(f.severity) as findings, " + ", ".join(f"count(*) filter (where f.severity = '{x}') as {x}" for x in R.WEIGHTS) + " from fifty s cross join d left join found f on f.skill_id = s.skill_id and f.detector = d.detector group by 1, 2",
         "severity_pivot": f"with {FINDINGS} select skill_id, " + ", ".join(f"count(*) filter (where severity = '{x}') as {x}" for x in R.WEIGHTS) + " from found group by 1",
         "latest_report": f'with {REGISTRY} select skill as "skillId", id, score as "riskScore", level as "riskLevel", passed from newest',
         "directory_listing": f'with {REGISTRY} select c_custkey as id, c_name as name, score as "riskScore", level as "riskLevel", passed from customer left join newest on skill = c_custkey',
@@ -190,5 +189,6 @@ union all select skill_id, 'RUN_003', 'low', min(file_path), 'Excessive director
  select c_custkey as id, ['  a ', 'a skill', ' ok ', null][c_custkey % 4 + 1] as name, ['too short', 'long enough text', '   spaces    '][c_custkey % 3 + 1] as description, ['x', 'an author'][c_custkey % 2 + 1] as author, ['https://x.example/y', 'ftp://x', 'nothing', null, 'HTTP://X.EXAMPLE'][c_custkey % 5 + 1] as url from customer)""",
         "uuid_filter": "select c_custkey, case when c_custkey % 3 = 0 then upper(u) else u end as uuid from (select c_custkey, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) as u from (select c_custkey, md5(c_name) as m from customer)) where c_custkey % 3 <> 1",
         "rate_limit_window": "select user_id as ip, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests, count(*) > 5 as over from events group by 1, 2",
+        "rate_limit_all": "select 'all' as ip, strftime(time_bucket(interval '15 minutes', ts - to_days(cast(date_diff('day', date '2024-01-01', cast(ts as date)) as integer))), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests, count(*) > 100 as over from events group by 2",
         "status_log": "select user_id as submission_id, arg_max(['PENDING', 'AUDITING', 'COMPLETE', 'REJECTED'][event_id % 4 + 1], (ts, event_id)) as status from events group by 1",
     }

@@ -13,6 +13,7 @@ from tracewarden.operators import findings as fs
 from tracewarden.operators import line_rules, manifests, registry, skill_rules
 from tracewarden.operators.corpus import from_texts, lines, readable, skills
 from tracewarden.plans import audit, derived
+from tracewarden.session import staged
 from tracewarden.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,16 +121,12 @@ def dedupe_first(spark, d):
     return fs.first_of_each(_order_findings(spark, d), F.struct("l_orderkey", "l_linenumber")).select("skill_id", "file_path", "line_number", "rule_id", "match")
 
 
-def _few(spark, d):
-    return _order_findings(spark, d).where("l_orderkey % 97 = skill_id % 7")
-
-
 def _fifty(spark, d):
     return _t(spark, d, "supplier").select((F.col("s_suppkey") % 60).alias("skill_id")).distinct()
 
 
 def risk_score(spark, d):
-    return fs.reports(_fifty(spark, d), _few(spark, d))
+    return fs.reports(_fifty(spark, d), _order_findings(spark, d))
 
 
 def risk_level(spark, d):
@@ -138,7 +135,7 @@ def risk_level(spark, d):
 
 
 def summary_by_detector(spark, d):
-    return fs.summary(_fifty(spark, d), _few(spark, d))
+    return fs.summary(_fifty(spark, d), _order_findings(spark, d))
 
 
 def severity_pivot(spark, d):
@@ -153,7 +150,7 @@ def _registry(spark, d):
     subs = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("skillId"), status.alias("status"), F.col("o_orderdate").alias("createdAt"))
     score = (F.floor("o_totalprice") % 90).cast("long")
     reports = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("submissionId"), F.col("o_custkey").alias("skillId"), score.alias("riskScore"), fs.risk_level(score).alias("riskLevel"), (F.col("o_orderstatus") == "F").alias("passed"), F.col("o_orderdate").alias("completedAt"))
-    found = _t(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("reportId"), F.lit("f").alias("filePath"), F.col("l_linenumber").alias("lineNumber"), F.col("l_returnflag").alias("ruleId"), F.lit("x").alias("detector"), F.col("l_linestatus").alias("severity"), F.lit("x").alias("description"), F.lit("m").alias("match"))
+    found = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("reportId"), F.lit("f").alias("filePath"), F.col("l_linenumber").alias("lineNumber"), F.col("l_returnflag").alias("ruleId"), F.lit("x").alias("detector"), F.col("l_linestatus").alias("severity"), F.lit("x").alias("description"), F.lit("m").alias("match"))
     return c, subs, reports, found
 
 
@@ -222,6 +219,15 @@ def rate_limit_window(spark, d):
     return limits.requests_per_window(e, "1 hour").select("ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", (F.col("requests") > 5).alias("over"))
 
 
+def rate_limit_all(spark, d):
+    """The limit of all requests, 100 in 15 minutes; the requests of all days count as one address's on one day."""
+    day = F.col("ts") - F.make_dt_interval(days=F.date_diff(F.col("ts"), F.lit("2024-01-01").cast("date")))
+    e = _t(spark, d, "events").select(F.lit("all").alias("ip"), day.alias("ts"))
+    window, most = limits.ALL_REQUESTS
+    n = limits.requests_per_window(e, window)
+    return n.select("ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", (F.col("requests") > most).alias("over"))
+
+
 def status_log(spark, d):
     e = _t(spark, d, "events").select((F.col("user_id")).alias("submission_id"), F.element_at(F.array(*map(F.lit, ["PENDING", "AUDITING", "COMPLETE", "REJECTED"])), (F.col("event_id") % 4 + 1).cast("int")).alias("status"), "ts", F.col("event_id").alias("seq"))
     return registry.current_status(e)
@@ -229,18 +235,18 @@ def status_log(spark, d):
 
 def audit_reports(spark, d):
     """The whole audit of the derived corpus: the verdict on each skill."""
-    return audit.audit(derived.corpus(spark, d).persist())[1]  # every detector reads the files
+    return audit.audit(staged(derived.corpus(spark, d)))[1]  # every detector reads the files
 
 
 def audit_documents(spark, d):
-    files = derived.corpus(spark, d).persist()
+    files = staged(derived.corpus(spark, d))
     return fs.documents(skills(files), audit.findings(files))
 
 
 def queries() -> dict[str, Query]:
     named = [
         line_explode, regex_rules_obfs, ast_calls, first_pattern_wins, whole_file_rule, exfil_lookahead, network_raw_ip, network_ordered, network_domain, permission_violation, typosquat_names, dep_runtime, credential_lines, preflight, dedupe_first,
-        risk_score, risk_level, summary_by_detector, severity_pivot, latest_report, directory_listing, skill_detail, badge, directory_totals, risk_badges, detector_labels, submission_status, validate_submission, uuid_filter, rate_limit_window, status_log, audit_reports, audit_documents,
+        risk_score, risk_level, summary_by_detector, severity_pivot, latest_report, directory_listing, skill_detail, badge, directory_totals, risk_badges, detector_labels, submission_status, validate_submission, uuid_filter, rate_limit_window, rate_limit_all, status_log, audit_reports, audit_documents,
     ]
     deps = {"dep_requirements": manifests.requirements, "dep_npm": manifests.npm, "dep_setup": manifests.setup_py, "dep_pyproject": manifests.pyproject, "dep_pipfile": manifests.pipfile, "dep_conda": manifests.conda}
     return {f.__name__: f for f in named} | {k: _dep(v) for k, v in deps.items()}

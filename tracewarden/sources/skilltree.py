@@ -1,10 +1,14 @@
 """A data source for trees of skills: folders and ZIP archives, entries that file sources hide included.
 
 ``spark.read.format("skilltree").load(path)``: every folder and every .zip directly below ``path`` is a skill
-(with option ``single`` = true, ``path`` itself is one).  Links are reported and not followed.  Limits, as
-options in bytes: ``maxZip`` (50 MB), ``maxFile`` and ``maxTotal`` of what an archive unpacks to; a file
-beyond them has null content, as has one that can't be read.  Members of archives with absolute or ``..``
-paths are left out.
+(with option ``single`` = true, ``path`` itself is one).  Links are reported and not followed.  Members of archives with
+absolute or ``..`` paths are left out; the folders that members lie in are entries.
+
+A skill that can't be read whole is an error of its own, and no other's: its row for the path "." says in ``error``
+what is wrong, and it has no other rows.  Errors are archives that are corrupt, encrypted or larger than ``maxZip``
+(50 MB), folders that can't be listed, files of more than ``maxFile`` bytes (1 GB, what a row can hold) and archives that
+unpack to more than ``maxTotal`` (4 GB).  A file of a folder that can't be opened has null content.  ``skillsPerTask``
+(8) skills are read by one task.
 """
 
 from __future__ import annotations
@@ -12,13 +16,14 @@ from __future__ import annotations
 import os
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "skill_id string, file_path string, name string, suffix string, depth int, is_file boolean, is_symlink boolean, symlink_target string, content string"
+SCHEMA = "skill_id string, file_path string, name string, suffix string, depth int, is_file boolean, is_symlink boolean, symlink_target string, content string, error string"
 
 
 def _suffix(name: str) -> str:
@@ -30,14 +35,18 @@ def _text(raw: bytes | None) -> str | None:
     return None if raw is None else raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _row(skill: str, path: str, is_file: bool, target: str | None = None, raw: bytes | None = None) -> tuple:
+def _row(skill: str, path: str, is_file: bool, target: str | None = None, raw: bytes | None = None, error: str | None = None) -> tuple:
     name = path.rsplit("/", 1)[-1]
-    return (skill, path, name, _suffix(name), 0 if path == "." else len(path.split("/")), is_file, target is not None, target, _text(raw))
+    return (skill, path, name, _suffix(name), 0 if path == "." else len(path.split("/")), is_file, target is not None, target, _text(raw), error)
 
 
 class Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class TooLarge(Exception):
+    pass
 
 
 class SkillTreeReader(DataSourceReader):
@@ -45,20 +54,32 @@ class SkillTreeReader(DataSourceReader):
         self.path = options["path"].removeprefix("file://")
         self.single = str(options.get("single", "false")).lower() == "true"
         self.max_zip = int(options.get("maxzip", 50 << 20))
-        self.max_file = int(options.get("maxfile", 16 << 20))
-        self.max_total = int(options.get("maxtotal", 256 << 20))
+        self.max_file = int(options.get("maxfile", 1 << 30))
+        self.max_total = int(options.get("maxtotal", 4 << 30))
+        self.per_task = int(options.get("skillspertask", 8))
 
     def partitions(self) -> list[Part]:
         if self.single:
-            return [Part(self.path)]
+            return [Part([self.path])]
         with os.scandir(self.path) as found:
-            return [Part(e.path) for e in sorted(found, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) or e.name.endswith(".zip")]
+            paths = sorted(e.path for e in found if e.is_dir(follow_symlinks=False) or e.name.endswith(".zip"))
+        return [Part(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        return self._archive(partition.path) if partition.path.endswith(".zip") else self._tree(partition.path)
-
-    def _tree(self, root: str) -> Iterator[tuple]:
-        yield _row(root, ".", False)
+        for path in partition.paths:
+            zipped = path.endswith(".zip") and os.path.isfile(path)
+            skill = path.removesuffix(".zip") if zipped else path
+            error = None
+            try:
+                for _ in self._archive(path, skill, False) if zipped else self._tree(path, False):  # looks, reads no contents of folders
+                    pass
+            except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error, TooLarge) as e:
+                error = f"{type(e).__name__}: {e}"
+            yield _row(skill, ".", False, error=error)
+            if error is None:
+                yield from self._archive(path, skill, True) if zipped else self._tree(path, True)
+
+    def _tree(self, root: str, whole: bool) -> Iterator[tuple]:
         todo = [root]
         while todo:
             with os.scandir(todo.pop()) as found:
@@ -71,37 +92,46 @@ class SkillTreeReader(DataSourceReader):
                     yield _row(root, path, False)
                     todo.append(e.path)
                 else:
-                    raw = None
-                    try:
-                        if e.stat().st_size <= self.max_file:
-                            with open(e.path, "rb") as f:
-                                raw = f.read()
-                    except OSError:
-                        raw = None
-                    yield _row(root, path, True, None, raw)
-
-    def _archive(self, at: str) -> Iterator[tuple]:
-        skill = at.removesuffix(".zip")
-        yield _row(skill, ".", False)
+                    if e.stat().st_size > self.max_file:
+                        raise TooLarge(f"{path} is larger than {self.max_file} bytes")
+                    yield _row(root, path, True, None, self._read(e.path) if whole else None)
+
+    def _read(self, path: str) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def _archive(self, at: str, skill: str, whole: bool) -> Iterator[tuple]:
         if os.path.getsize(at) > self.max_zip:
-            return
-        left = self.max_total
+            raise TooLarge(f"archive is larger than {self.max_zip} bytes")
+        left, folders = self.max_total, set()
         with zipfile.ZipFile(at) as z:
             for m in z.infolist():
                 path = PurePosixPath(m.filename)
                 if path.is_absolute() or ".." in path.parts or not path.parts:
                     continue
+                for above in [*reversed(path.parents), *([path] if m.is_dir() else [])]:
+                    if above.parts and above not in folders:
+                        folders.add(above)
+                        yield _row(skill, str(above), False)
+                if m.is_dir():
+                    continue
+                left -= m.file_size
+                if m.file_size > self.max_file or left < 0:
+                    raise TooLarge(f"{path} unpacks to more than the limit")
                 if stat.S_ISLNK(m.external_attr >> 16):
-                    yield _row(skill, str(path), False, z.read(m).decode("utf-8", "replace") if m.file_size < 4096 else "")
-                elif m.is_dir():
-                    yield _row(skill, str(path), False)
+                    yield _row(skill, str(path), False, z.read(m).decode("utf-8", "replace"))
                 else:
-                    raw = None
-                    if m.file_size <= min(self.max_file, left):
-                        with z.open(m) as f:
-                            raw = f.read(min(self.max_file, left) + 1)
-                        left -= len(raw)
-                    yield _row(skill, str(path), True, None, raw)
+                    with z.open(m) as f:  # reads all, so that a bad check sum shows at once
+                        raw = f.read(m.file_size + 1)
+                    yield _row(skill, str(path), True, None, raw if whole else None)
+
+
+def failed(files: DataFrame) -> DataFrame:
+    """(skill_id, error): the skills that couldn't be read."""
+    return files.where("error is not null").select("skill_id", "error")
 
 
 class SkillTree(DataSource):
