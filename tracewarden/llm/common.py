@@ -64,7 +64,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 @contextmanager
@@ -78,10 +80,12 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def release(df: DataFrame) -> None:
-    """Removes the files of a ``materialize``d table that nothing reads any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, f)
+def release(*dfs: DataFrame) -> None:
+    """Removes the files of ``materialize``d tables that nothing reads any more."""
+    for df in dfs:
+        path = getattr(df, "stored_at", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def at_most(df: DataFrame, step: Column, most: int, size: Column | None = None, room: int = 0) -> DataFrame:

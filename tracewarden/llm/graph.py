@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialize
+from tracewarden.llm.common import materialize, release
 
 ROOTS = "node long, root long"
 
@@ -30,14 +30,18 @@ def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         ends = rooted(rooted(links.select("a", "b"), "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
         hung = ends.select(F.greatest("ra", "rb").alias("node"), F.least("ra", "rb").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
-        hung = materialize(hung, "hung")
+        table = materialize(hung, "hung")
+        hung = table
         if hung.isEmpty():
+            release(table)
             return roots
         while True:
             up = hung.select(F.col("node").alias("root"), F.col("root").alias("up"))
             next_ = materialize(hung.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "hung")
-            hung = next_.select("node", "root")
+            release(table)
+            table, hung = next_, next_.select("node", "root")
             if next_.where("moved").isEmpty():
                 break
         kept = rooted(roots.withColumnRenamed("root", "at"), "at", hung, "root").select("node", "root")
-        roots = materialize(kept.unionByName(hung), "roots")
+        old, roots = roots, materialize(kept.unionByName(hung), "roots")
+        release(table, old)

@@ -15,7 +15,7 @@ alignment confined to the band of that width.  Components of links are the group
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm import graph
-from tracewarden.llm.common import materialize, packed, ship
+from tracewarden.llm.common import materialize, packed, release, ship
 
 K, MINIMA, SIMILAR = 5, 2, 0.8
 #: Values of a sketch.  Of pairs with one word in five replaced at random places, 94 in 100 share one of 96 (65 one of 32).
@@ -33,6 +33,8 @@ SKETCHES = 96
 ROUNDS = 3
 #: Members and words of a block in which the rest is compared; numbers to which a text's words are folded before.
 MEMBERS, HEAVY, FOLD = 512, 1 << 21, 256
+#: Words of a text up to which an alignment has one mask of all rows for each word.
+MASKED = 4096
 #: Words whose hashes one worker keeps; k-mers hashed at once.
 KEPT, BLOCK = 500_000, 1 << 14
 
@@ -105,6 +107,40 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return value.view("i8")
 
 
+def _masks(a: np.ndarray, top: int, mask: int) -> Callable[[int, int], int]:
+    """Where a word is in rows s to s + top, as bits: from one mask of all rows for each word, whose sizes grow with the square of the text."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+
+    def at(w: int, s: int) -> int:
+        x = places.get(w, 0)
+        return (x >> s if s >= 0 else x << -s) & mask
+
+    return at
+
+
+def _windows(a: np.ndarray, top: int) -> Callable[[int, int], int]:
+    """The same from sorted rows of each word, for long texts: memory in proportion to the text."""
+    order = np.argsort(a, kind="stable")
+    words, begin = np.unique(a[order], return_index=True)
+    ends = np.append(begin[1:], len(a))
+    rows = {w: order[i:k] for w, i, k in zip(words.tolist(), begin.tolist(), ends.tolist(), strict=True)}
+
+    def at(w: int, s: int) -> int:
+        r = rows.get(w)
+        if r is None:
+            return 0
+        r = r[np.searchsorted(r, s) : np.searchsorted(r, s + top, "right")] - s
+        if len(r) <= 8:
+            return sum(1 << i for i in r.tolist())
+        bits = np.zeros(top + 1, "u1")
+        bits[r] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    return at
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance in words if at most ``most``, else ``most + 1``: bit-parallel alignment of the band of diagonals -most .. most."""
     m, n = len(a), len(b)
@@ -112,17 +148,13 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return most + 1
     if not m or not n:
         return max(m, n)
-    places: dict[int, int] = {}
-    for i, w in enumerate(a.tolist()):
-        places[w] = places.get(w, 0) | 1 << i
     top = 2 * most
     mask = (1 << top + 1) - 1
+    at_row = _masks(a, top, mask) if m <= MASKED else _windows(a, top)
     up, down = mask ^ ((1 << most) - 1), 0  # where the column goes up or down from row to row
     at = min(most, m)
     for j, w in enumerate(b.tolist(), 1):
-        x = places.get(w, 0)
-        s = j - most - 1
-        x = (x >> s if s >= 0 else x << -s) & mask
+        x = at_row(w, j - most - 1)
         diag = ((((x & up) + up) ^ up) | x | down) & mask
         right, left = (down | ~(diag | up)) & mask, diag & up
         if j + most <= m:
@@ -273,21 +305,30 @@ def groups(docs: DataFrame) -> DataFrame:
     slots = sketched(classes).withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn("anchor", F.min("node").over(by_bucket))
     members = materialize(slots.where("n > 1").select("bucket", "node", "anchor"), "members")
     roots = graph.no_roots(docs.sparkSession)
+    spent: list[DataFrame] = []
     for turn in range(ROUNDS):
         if turn:
             held = materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
+            spent.append(held)
             by = F.xxhash64("bucket", "node", F.lit(turn))
             mixed = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), by).alias("at"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
             mixed = materialize(mixed.select("bucket", F.col("at.node").alias("anchor"), F.col("at.root").alias("anchor_root")), "anchors")
+            spent.append(mixed)
             pairs = held.join(mixed.hint("merge"), "bucket").where("root <> anchor_root").select("node", "anchor")
         else:
             pairs = members.where("node <> anchor").select("node", "anchor")
         pairs = pairs.select(F.greatest("node", "anchor").alias("a"), F.least("node", "anchor").alias("b")).distinct()
-        links = materialize(_verified(materialize(pairs, "pairs"), classes), "links")
+        pairs = materialize(pairs, "pairs")
+        links = materialize(_verified(pairs, classes), "links")
         roots = graph.merge(roots, links)
+        release(pairs, links, *spent)
+        spent.clear()
     held = materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
-    roots = graph.merge(roots, materialize(_compared(held, classes), "links"))
+    links = materialize(_compared(held, classes), "links")
+    roots = graph.merge(roots, links)
+    release(members, classes, held, links)
     out = materialize(graph.rooted(rows.select("doc_id", "text_hash", "node"), "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
+    release(rows, roots)
     best = materialize(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("best")), "best")
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     return out.join(best.hint("merge"), "root").select("doc_id", "text_hash", F.col("best.doc_id").alias("class_id"), chosen.alias("kept"))
