@@ -59,3 +59,26 @@ def test_pipeline(spark):
     again = tokenfiles.round_trip(kept[4], catalog.vocabulary("byte_bpe_50k.json"), 2)
     assert Counter(map(tuple, kept[5].collect())) == Counter(map(tuple, again.collect()))
     assert Counter(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == Counter(map(tuple, kept[5].collect()))
+
+
+ODD = [(1, None, None), (2, "", "a"), (3, "  \n\t ", "a"), (4, "one two\nthree  four", "b"), (4, "one two\nthree  four", "b"), (None, "five", None), (None, None, "b"), (7, "some words to go on with " * 3000, "a"), (9, "a" * 70000, "b")]
+
+
+@pytest.mark.parametrize("rows", [ODD, [], ODD[:1] * 3])
+def test_stages_on_odd_rows(spark, rows):
+    """Null ids, texts and sources, empty and very long texts, repeated rows, no rows, columns with clashing names: each stage keeps the columns, and what it must."""
+    d = spark.createDataFrame([(i, t, s, len(t or ""), "x", "y", "z") for i, t, s in rows], "doc_id long, text string, source string, n_chars long, d string, _src string, row_hash string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, DATA)
+        if name == "token files":
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _, _ in rows)
+            continue
+        assert out.columns == d.columns
+        kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        if name in ("toxicity", "decontamination"):
+            assert kept == Counter((i, t) for i, t, _ in rows)
+        elif name == "near-duplicates":
+            texts = {" ".join((t or "").split()) for _, t, _ in rows}
+            assert len(kept) == len(texts)
+        else:
+            assert {k[0] for k in kept} <= {i for i, t, _ in rows if (t or "").strip()}

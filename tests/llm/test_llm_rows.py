@@ -267,6 +267,52 @@ def test_spans(spark, labelled_docs):
     assert len(found) > 100 and sum(w.startswith("vile") for w in found) / len(found) > 0.95
 
 
+def test_quality_against_plain_python():
+    """Training and scores against the same rule on dictionaries, feature by feature."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+    odd = int(quality._ODD)
+
+    def grams(text):
+        t = [xxhash.xxh64_intdigest(x) for x in __import__("re").findall(r"[^\W_]+|[^\w\s]+|_+", text.lower())]
+        t = [int(quality._SAME) if i and t[i - 1] == x else x for i, x in enumerate(t)]
+        out = Counter([0])
+        for i, x in enumerate(t):
+            out[(x * odd & mask) >> (64 - quality.BITS)] += 1
+            if i:
+                p = ((t[i - 1] * odd & mask) + x & mask) * odd & mask
+                out[(p ^ (p >> 31)) >> (64 - quality.BITS)] += 1
+            else:
+                out[0] += 1
+        return out
+
+    r = random.Random(11)
+    sample = [(" ".join(r.choice(["good", "fine", "text"] if k % 2 else ["bad!!", "junk", "junk", "_"]) for _ in range(r.randrange(0, 15))), k % 2) for k in range(40)]
+    z, g2 = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(g2[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for text, y in sample:
+            f = grams(text)
+            n = math.sqrt(sum(f.values()))
+            g = {i: (1 / (1 + math.exp(-sum(weight(j) * c / n for j, c in f.items()))) - y) * c / n for i, c in f.items()}
+            for i, x in g.items():
+                z[i] += x - (math.sqrt(g2[i] + x * x) - math.sqrt(g2[i])) / quality.ALPHA * weight(i)
+                g2[i] += x * x
+    w = quality.train(sample)
+    assert {int(i) for i in np.flatnonzero(w)} == {i for i in z if weight(i)} and all(abs(w[i] - weight(i)) < 1e-4 for i in z)
+    texts = [t for t, _ in sample] + ["", None, "never seen words"]
+    got = quality.scores(texts, w)
+    for t, s in zip(texts, got, strict=True):
+        f = grams(t or "")
+        assert abs(s - 1 / (1 + math.exp(-sum(weight(i) * c for i, c in f.items()) / math.sqrt(sum(f.values()))))) < 1e-4
+
+
 # ---- 5
 
 
@@ -486,6 +532,18 @@ def test_token_files(spark, odd, none):
     assert tokenfiles.round_trip(none, path, 2).isEmpty()
 
 
+def test_token_files_of_one_hot_id(spark, tmp_path):
+    """Rows of one doc_id fill several parts, in order; files that ``parts`` doesn't name are no part of the data set."""
+    path = catalog.vocabulary("byte_bpe_50k.json")
+    d = docs(spark, [(7, prose(k, 5), "s") for k in range(200)] + [(k, "x", "s") for k in (1, 2, 9, 10)])
+    at = f"file://{tmp_path}/files"
+    parts = tokenfiles.write(d, at, path, 2).collect()
+    assert len(parts) > 2
+    (tmp_path / "files" / "part-000001-lost.ids").write_bytes(b"zz")
+    got = sorted(tokenfiles.read_digests(spark, at, path, 2).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1, 2] + [7] * 200 + [9, 10] and sum(p["docs"] for p in parts) == 204
+
+
 # ---- 10
 
 

@@ -18,42 +18,52 @@ def vocabulary(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, by exact containment of its shingles."""
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that are a document's whole text, a paragraph or a line."""
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors."""
     return embedding_duplicates.link(table(spark, sf_dir, "embeddings"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all texts, and the spans that make it."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document, and whether it stays."""
     return near_duplicates.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backed-off logarithms of all texts under the corpus's n-gram counts."""
     return lm_scores.score(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all texts."""
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as token files, read back."""
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 

@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (local tests) a temporary folder becomes that setting.
+    Only where the session names none and has no other machine (local tests) a temporary folder becomes that setting.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tracewarden-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

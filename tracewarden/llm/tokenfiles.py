@@ -2,14 +2,16 @@
 
 A data set is a folder of parts, in ascending order of (doc_id, hash of the text), null doc_ids first:
 
-* ``part-NNNNNN.ids``: the ids of all the part's documents on end, unsigned little-endian integers of 2
+* ``part-NNNNNN-*.ids``: the ids of all the part's documents on end, unsigned little-endian integers of 2
   bytes where the vocabulary fits them, else 4;
-* ``part-NNNNNN.off``: one unsigned 64-bit offset more than documents, counted in ids from the part's begin;
-* ``part-NNNNNN.doc``: the doc_ids as signed 64-bit integers, then one byte each, 1 for a null doc_id;
-* ``parts/``: Parquet with part, docs, tokens, base; base, the ids in all earlier parts, is their prefix sum.
-
-Parts are written under a temporary name and renamed, so a repeated or lost task leaves no half file.  The
-folder must be one that driver and executors share; where it is mounted, parts are memory-mapped.
+* ``part-NNNNNN-*.off``: one unsigned 64-bit offset more than documents, counted in ids from the part's begin;
+* ``part-NNNNNN-*.doc``: the doc_ids as signed 64-bit integers, then one byte each, 1 for a null doc_id;
+* ``parts/``: Parquet with part, file, docs, tokens, base; file is the name of the part's files without their endings,
+  base, the ids in all earlier parts, is their prefix sum.
+
+Every attempt of a task writes files of its own; those that ``parts`` names are the data set, so lost and repeated tasks
+do no harm and nothing is renamed.  The folder must be one that driver and executors share; where it is mounted, parts
+are memory-mapped.
 """
 
 from __future__ import annotations
@@ -97,10 +99,10 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 
 
 def _slots(docs: DataFrame, n: int) -> tuple[list[int], bool]:
-    """n - 1 bounds that part doc_ids evenly, and whether any is null."""
+    """n - 1 bounds that part rows evenly by doc_id, a frequent doc_id as often as its rows fill parts, and whether any is null."""
     at = [i / n for i in range(1, n)] or [0.5]
     row = docs.agg(F.percentile_approx("doc_id", at, 20 * n).alias("b"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).first()
-    return sorted(set(row["b"] or []))[: max(0, n - 1)], bool(row["nulls"])
+    return sorted(row["b"] or [])[: max(0, n - 1)], bool(row["nulls"])
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -111,7 +113,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     """Encodes ``docs`` (doc_id long, text) into a new data set at ``folder`` and returns its parts table.
 
     A null text counts as empty (its ids are the end id alone); rows with the same doc_id follow one
-    another by the hash of their texts; an empty table gives a data set without parts; other columns are
+    another by the hash of their texts, over several parts if they are many; an empty table gives a data set without parts; other columns are
     ignored.  Texts are encoded where they are read; one shuffle deals their packed ids to the parts,
     whose bounds are quantiles of doc_id (null doc_ids are dealt by hash, to parts of their own).
     """
@@ -129,14 +131,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
                 part = batch.slice(lo, 256)
                 ids, tie = part.column(0), part.column(2).to_numpy(zero_copy_only=False)
                 known = np.array(ids.is_valid())
-                spread = ((tie.astype("i8").view("u8") ^ np.uint64(1 << 63)) // np.uint64((1 << 64) // n + 1)).astype("i8")
-                slot = np.where(known, first + np.searchsorted(edges, np.array(ids.fill_null(0)), "right"), spread)
+                place = (tie.astype("i8").view("u8") ^ np.uint64(1 << 63)) / 2.0**64  # of the text among all, by its hash
+                at = np.array(ids.fill_null(0))
+                low, high = np.searchsorted(edges, at, "left"), np.searchsorted(edges, at, "right")
+                slot = np.where(known, first + low + np.minimum((place * (high - low + 1)).astype("i8"), high - low), np.minimum((place * n).astype("i8"), n - 1))
                 yield pa.RecordBatch.from_arrays([pa.array(slot.astype("i4")), ids, part.column(2), pa.array(enc.encode(part.column(1).to_pylist()), pa.binary())], ["part", "doc_id", "tie", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         width = np.dtype(encoder(tokenizer, end_id).kind).itemsize
-        now, out, temp, sizes, names, empty, done = None, None, "", [], [], [], []
+        now, out, file, sizes, names, empty, done = None, None, "", [], [], [], []
 
         def close() -> None:
             if now is None:
@@ -144,26 +148,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
             out.close()
             offsets = np.concatenate([[0], np.cumsum(np.array(sizes, "u8"))]).astype("<u8")
             for kind, data in (("off", offsets.tobytes()), ("doc", np.array(names, "<i8").tobytes() + np.array(empty, "u1").tobytes())):
-                with fs.open_output_stream(f"{temp}.{kind}") as f:
+                with fs.open_output_stream(f"{root}/{file}.{kind}") as f:
                     f.write(data)
-            for kind in ("doc", "off", "ids"):
-                fs.move(f"{temp}.{kind}", f"{root}/part-{now:06d}.{kind}")
-            done.append((now, len(sizes), int(offsets[-1])))
+            done.append((now, file, len(sizes), int(offsets[-1])))
 
         for batch in batches:
             for part, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if part != now:
                     close()
                     now, sizes, names, empty = part, [], [], []
-                    temp = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(f"{temp}.ids")
+                    file = f"part-{part:06d}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(f"{root}/{file}.ids")
                 out.write(ids)
                 sizes.append(len(ids) // width)
                 names.append(doc or 0)
                 empty.append(doc is None)
         close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "docs", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "docs", "tokens"])
 
     # the folder exists before any task writes to it
     jvm = spark.sparkContext._jvm
@@ -172,18 +174,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     rows = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     packed = rows.mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
     dealt = packed.repartitionById(n + first, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
-    parts = materialize(dealt.mapInArrow(store, "part int, docs long, tokens long"), "token-parts")
+    parts = materialize(dealt.mapInArrow(store, "part int, file string, docs long, tokens long"), "token-parts")
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts.withColumn("base", F.sum("tokens").over(order) - F.col("tokens")).write.parquet(f"{folder}/parts")
     return spark.read.parquet(f"{folder}/parts")
 
 
-def part_arrays(folder: str, part: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def part_arrays(folder: str, file: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, doc_ids, null flags) of one part: memory-mapped where the folder is mounted, else read."""
     fs, root = _open(folder)
 
     def raw(name: str, dtype: str) -> np.ndarray:
-        at = f"{root}/part-{part:06d}.{name}"
+        at = f"{root}/{file}.{name}"
         size = fs.get_file_info(at).size
         if not size:
             return np.empty(0, dtype)
@@ -206,8 +208,8 @@ def read_digests(spark: SparkSession, folder: str, tokenizer: str, end_id: int |
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoder(tokenizer, end_id).kind
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, off, names, null = part_arrays(folder, part, kind)
+            for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                ids, off, names, null = part_arrays(folder, file, kind)
                 for lo in range(0, len(names), 4096):
                     hi = min(lo + 4096, len(names))
                     cut = off[lo : hi + 1].astype("i8")
@@ -216,7 +218,7 @@ def read_digests(spark: SparkSession, folder: str, tokenizer: str, end_id: int |
                     yield pa.RecordBatch.from_arrays([doc, pa.array(base + cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("part", "base").repartitionById(n, "part").mapInArrow(read, schema)
+    return parts.select("part", "file", "base").repartitionById(n, "part").mapInArrow(read, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
