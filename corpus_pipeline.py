@@ -1,4 +1,14 @@
-"""A chain of training-text operators over ``documents``, each stage written as Parquet and read back."""
+"""A chain of training-text operators over ``documents``, each stage written as Parquet and read back.
+
+All stages but the last keep the columns of their documents, whatever their names.  Null ids, texts and sources, empty
+and very long texts, repeated rows and empty tables are rows like others:
+
+* toxicity: null texts and texts without words score 0 and stay; rows with the same doc_id and text share one fate;
+* near-duplicates: all texts without words are one group; one row of each group stays, so repeated rows become one;
+* decontamination: texts of fewer than five words hold no item and stay;
+* mixing: rows without words are taken by no slot and go; a null source is a source of its own;
+* token files: a null text is the end id alone; null doc_ids come first.
+"""
 
 from __future__ import annotations
 
