@@ -425,12 +425,12 @@ def test_near_duplicates(spark, none):
 def test_lm_scores(spark, none):
     rows = [(i, t, s) for i, t, s in ODD] + [(50 + k, prose(k % 7, 20 + k), "s") for k in range(30)] + [(80, "alpha0 beta1 " * 9, "s"), (81, "only here only here", "s")]
     got = lm_scores.score(docs(spark, rows)).collect()
-    old, lm_scores.TOP_BITS, lm_scores.TOGETHER = (lm_scores.TOP_BITS, lm_scores.TOGETHER), 4, 3
+    old, lm_scores.TOP_BITS, lm_scores.TOGETHER, lm_scores.BROADCAST = (lm_scores.TOP_BITS, lm_scores.TOGETHER, lm_scores.BROADCAST), 4, 3, 40
     try:
         few = lm_scores.score(docs(spark, rows)).collect()
-        assert len(lm_scores.top_words(lm_scores.unigrams(docs(spark, rows)))) <= 16
+        assert len(lm_scores.top_words(lm_scores.unigrams(docs(spark, rows)))) <= 40
     finally:
-        lm_scores.TOP_BITS, lm_scores.TOGETHER = old
+        lm_scores.TOP_BITS, lm_scores.TOGETHER, lm_scores.BROADCAST = old
     w = [near_duplicates._WORD.findall((t or "").lower()) for _, t, _ in rows]
     c1, c2 = Counter(x for t in w for x in t), Counter(p for t in w for p in itertools.pairwise(t))
     n = sum(c1.values())

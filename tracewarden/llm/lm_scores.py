@@ -8,8 +8,8 @@ score is the sum of the logarithms, all bigrams backed off, corrected for those
     sum of ln c(w) - n ln N + (n - 1) ln BACKOFF  +  sum over bigrams found of ln c-(v w) - ln c(v) - ln c(w) + ln N - ln BACKOFF
 
 N-grams are exploded with their numbers in each document and partitioned by hash; there the table of counts is an
-aggregate over the n-grams of a partition, joined back to them on the n-gram, and sums by document leave.  The most
-frequent words, a list of bounded length, are broadcast with their counts; pairs of them are written as one number.
+aggregate over the n-grams of a partition, joined back to them on the n-gram, and sums by document leave.  The counts
+of the most frequent words, a list of bounded length, are broadcast; pairs of the first of them are written as one number.
 Other words are n-grams of order one in the same tables; as parts of bigrams that were found their counts are joined
 from the table of words.  A document has one row for an n-gram however often it holds it, so no n-gram has more rows
 than there are documents, and bigrams of a frequent word are spread by both words.
@@ -29,9 +29,9 @@ from tracewarden.llm.common import at_most, materialize, setting, ship
 from tracewarden.llm.near_duplicates import _WORD
 
 BACKOFF = 0.4
-#: Bits of a top word's number; distinct words that a counting task holds before it emits them; documents whose n-grams are exploded together.
-TOP_BITS, HELD, TOGETHER = 16, 400_000, 256
-KEPT = 500_000
+#: Bits of a top word's number; words whose counts are broadcast, the top words among them; distinct words that a counting task holds before it emits them; documents whose n-grams are exploded together.
+TOP_BITS, BROADCAST, HELD, TOGETHER = 16, 1 << 18, 300_000, 256
+KEPT = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "u8")
 #: First words of what is no bigram: a word by itself, and a document, whose number of words and sum over top words it carries.
 WORD, DOCUMENT = -1, -2
@@ -43,17 +43,20 @@ def word_key(word: str) -> int:
 
 
 class _Keys(dict):
-    """Number of a top word, or the hash of another."""
+    """(key, logarithm of the count) of a word: a top word's key is its number, another's its hash; words whose counts aren't broadcast have None."""
 
-    def __init__(self, top: dict[int, int]):
-        self.top = top
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray, bits: int):
+        self.numbers = 1 << bits
+        self.known = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+        self.logs = logs
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) > KEPT:
             self.clear()
-        k = word_key(word)
-        self[word] = k = self.top.get(k, k)
-        return k
+        k = word_key(word) - (1 << 64)
+        i = self.known.get(k)
+        self[word] = out = (k, np.nan) if i is None else (i if i < self.numbers else k, self.logs[i])
+        return out
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -80,12 +83,12 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 def top_words(words: DataFrame, most: int | None = None) -> list:
-    """The most frequent words, at most ``most`` (2^TOP_BITS); nearly equal counts are in or out together.
+    """The most frequent words, at most ``most`` (BROADCAST), in the order of their counts; nearly equal counts are in or out together.
 
     More than ``most`` words are as frequent as any that is left out, so it has at most one in ``most`` of all
     occurrences.
     """
-    return sorted(at_most(words, F.floor(F.log2("c") * 16), most or 1 << TOP_BITS).select("word", "c").collect())
+    return sorted(at_most(words, F.floor(F.log2("c") * 16), most or BROADCAST).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
 
 
 _PACKED = "part int, rows array<long>, times array<int>, pairs array<int>, firsts array<long>, seconds array<long>, sums array<double>"
@@ -101,13 +104,12 @@ def _once(doc: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ..
     return doc[at], v[at], w[at], np.diff(np.append(at, len(doc)))
 
 
-def _packed(rows: DataFrame, top: dict[int, int], counts: np.ndarray, parts: int) -> DataFrame:
+def _packed(rows: DataFrame, hashes: np.ndarray, logs: np.ndarray, parts: int) -> DataFrame:
     """The n-grams of ``rows`` (row, text), those of several documents for one partition in one row: number in document, and two top words as one number or first and second word."""
-    shared = rows.sparkSession.sparkContext.broadcast((top, np.log(counts)))
+    shared = rows.sparkSession.sparkContext.broadcast((hashes, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = shared.value
-        keys = _Keys(known)
+        keys = _Keys(*shared.value, TOP_BITS)
         lists = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]
         names = ["part", "rows", "times", "pairs", "firsts", "seconds", "sums"]
         for batch in batches:
@@ -116,10 +118,11 @@ def _packed(rows: DataFrame, top: dict[int, int], counts: np.ndarray, parts: int
                 row = part.column(0).to_numpy()
                 found = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
                 n = np.array([len(f) for f in found], "i8")
-                w = np.fromiter((k for f in found for k in map(keys.__getitem__, f)), "u8", int(n.sum())).view("i8")
+                both = np.array([k for f in found for k in map(keys.__getitem__, f)], [("key", "i8"), ("log", "f8")])
+                w, logs = both["key"].copy(), both["log"].copy()
                 doc = np.repeat(np.arange(len(n)), n)
-                common = w >= 0
-                sums = np.bincount(doc[common], logs[w[common]], len(n))
+                common = ~np.isnan(logs)
+                sums = np.bincount(doc[common], logs[common], len(n))
                 second = np.ones(len(w), bool)
                 second[(np.cumsum(n) - n)[n > 0]] = False
                 at = np.flatnonzero(second)
@@ -139,11 +142,11 @@ def _packed(rows: DataFrame, top: dict[int, int], counts: np.ndarray, parts: int
                         pick = pick[np.argsort(goes[pick], kind="stable")]
                         g = goes[pick]
                         cut = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).astype("i4")
-                        none = pa.nulls(len(cut) - 1)
                         column = lambda x, t, cut=cut: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, t.value_type))
-                        pairs = column((v[pick] << TOP_BITS | x[pick]).astype("u4").view("i4"), lists[2]) if kind else none.cast(lists[2])
-                        firsts, seconds = (none.cast(t) if kind else column(y[pick], t) for y, t in ((v, lists[3]), (x, lists[4])))
-                        value = none.cast(lists[5]) if more is None else column(more[pick], lists[5])
+                        empty = lambda t, cut=cut: pa.ListArray.from_arrays(pa.array(np.zeros_like(cut)), pa.array([], t.value_type))
+                        pairs = column((v[pick] << TOP_BITS | x[pick]).astype("u4").view("i4"), lists[2]) if kind else empty(lists[2])
+                        firsts, seconds = (empty(t) if kind else column(y[pick], t) for y, t in ((v, lists[3]), (x, lists[4])))
+                        value = empty(lists[5]) if more is None else column(more[pick], lists[5])
                         yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), column(row[d[pick]], lists[0]), column(times[pick], lists[1]), pairs, firsts, seconds, value], names)
 
     return rows.select("row", "text").mapInArrow(run, _PACKED)
@@ -151,15 +154,11 @@ def _packed(rows: DataFrame, top: dict[int, int], counts: np.ndarray, parts: int
 
 def exploded(packed: DataFrame) -> DataFrame:
     """(part, row, times, v, w, sum): an n-gram of a document a row."""
-    low = (1 << TOP_BITS) - 1
-    two = F.transform(F.arrays_zip("rows", "times", "pairs"), lambda x: F.struct(
-        x["rows"].alias("row"), x["times"].alias("times"), F.shiftrightunsigned(x["pairs"], TOP_BITS).cast("long").alias("v"), x["pairs"].bitwiseAND(F.lit(low)).cast("long").alias("w"), F.lit(None).cast("double").alias("sum")
-    ))
-    sums = F.coalesce("sums", F.array().cast("array<double>")).alias("sums")
-    other = F.transform(F.arrays_zip("rows", "times", "firsts", "seconds", sums), lambda x: F.struct(
-        x["rows"].alias("row"), x["times"].alias("times"), x["firsts"].alias("v"), x["seconds"].alias("w"), x["sums"].alias("sum")
-    ))
-    return packed.select("part", F.inline(F.when(F.col("pairs").isNotNull(), two).otherwise(other)))
+    each = packed.select("part", F.inline(F.arrays_zip("rows", "times", "pairs", "firsts", "seconds", "sums")))
+    two = F.col("pairs").isNotNull()
+    v = F.when(two, F.shiftrightunsigned("pairs", TOP_BITS).cast("long")).otherwise(F.col("firsts"))
+    w = F.when(two, F.col("pairs").bitwiseAND(F.lit((1 << TOP_BITS) - 1)).cast("long")).otherwise(F.col("seconds"))
+    return each.select("part", F.col("rows").alias("row"), "times", v.alias("v"), w.alias("w"), F.col("sums").alias("sum"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -177,14 +176,15 @@ def score(docs: DataFrame) -> DataFrame:
     words = materialize(unigrams(docs), "unigrams")
     total = words.agg(F.sum("c")).first()[0] or 1
     best = top_words(words)
-    counts = np.array([r["c"] for r in best], "f8")
-    packed = _packed(rows, {r["word"] & (1 << 64) - 1: i for i, r in enumerate(best)}, counts, parts).repartition(parts, "part")
+    hashes, logs = np.array([r["word"] for r in best], "i8"), np.log(np.array([r["c"] for r in best], "f8"))
+    packed = _packed(rows, hashes, logs, parts).repartitionById(parts, "part")
     grams = exploded(packed)
     table = grams.groupBy("part", "v", "w").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("held"))
     # nothing is asked of bigrams that only one document holds
     table = table.where((F.col("held") > 1) | F.col("v").isin(WORD, DOCUMENT))
-    asked = grams.join(table.hint("merge"), ["part", "v", "w"])
-    numbers = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.log(counts))], "word long, ln double")
+    asked = grams.join(table.hint("shuffle_hash"), ["part", "v", "w"])
+    keys = np.where(np.arange(len(best)) < 1 << TOP_BITS, np.arange(len(best)), hashes)
+    numbers = materialize(spark.createDataFrame(list(zip(keys.tolist(), logs.tolist(), strict=True)), "word long, ln double"), "lm-top")
     for k in ("v", "w"):
         asked = asked.join(F.broadcast(numbers.select(F.col("word").alias(k), F.col("ln").alias(f"ln_{k}"))), k, "left")
     is_word, is_doc, found = F.col("v") == WORD, F.col("v") == DOCUMENT, F.col("c") > F.col("times")
@@ -192,7 +192,7 @@ def score(docs: DataFrame) -> DataFrame:
     base = F.col("sum") - F.col("times") * float(np.log(total)) + (F.col("times") - 1) * float(np.log(BACKOFF))
     value = F.when(is_doc, base).when(is_word, F.col("times") * F.log("c")).when(found, F.col("times") * gain)
     # words of bigrams that were found whose counts aren't broadcast: a document owes their logarithms
-    owed = F.when(~is_doc & ~is_word & found, F.array_compact(F.array(F.when(F.col("v") < 0, F.col("v")), F.when(F.col("w") < 0, F.col("w")))))
+    owed = F.when(~is_doc & ~is_word & found, F.array_compact(F.array(F.when(F.col("ln_v").isNull(), F.col("v")), F.when(F.col("ln_w").isNull(), F.col("w")))))
     said = asked.select("row", "times", is_doc.alias("is_doc"), value.alias("score"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(owed, F.array().cast("array<long>")))).alias("word"))
     here = F.col("word").isNull()
     said = said.groupBy("row", "word").agg(
