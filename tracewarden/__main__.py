@@ -1,4 +1,7 @@
-"""python -m tracewarden FOLDER: audits one skill and prints its report as one line of JSON."""
+"""python -m tracewarden FOLDER: audits one skill and prints its report as one line of JSON.
+
+The texts of errors are fixed values.
+"""
 
 from __future__ import annotations
 

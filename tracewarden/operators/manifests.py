@@ -1,4 +1,7 @@
-"""Dependency detector: six kinds of manifests and pip calls in code.  Quirks of the rules are kept on purpose."""
+"""Dependency detector: six kinds of manifests and pip calls in code.  Quirks of the rules are kept on purpose.
+
+Rule names and texts of findings are fixed values.
+"""
 
 from __future__ import annotations
 

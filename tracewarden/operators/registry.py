@@ -3,6 +3,7 @@
 skills(id, name, description, author, repositoryUrl, submittedAt); submissions(id, skillId, status,
 paymentStatus, createdAt, updatedAt); audit_reports(id, submissionId, skillId, riskScore, riskLevel, passed,
 completedAt); findings(id, reportId, detector, severity, ruleId, description, filePath, lineNumber, match).
+Names of tables, fields and states, and texts of complaints, are fixed values.
 """
 
 from __future__ import annotations

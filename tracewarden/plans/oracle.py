@@ -72,6 +72,15 @@ def _private(u: str) -> str:
     return f"({one} in (10, 127) or ({one} = 172 and {two} between 16 and 31) or ({one} = 192 and {two} = 168))"
 
 
+#: The lines of the corpus that parse as Python and call something that tells, with what is to be said of each, read off the rules by hand.
+AST = ", ".join("({}, {}, {}, {})".format(*map(q, row)) for row in (
+    ("result = eval (code)", "OBFS_AST_001", "critical", "eval(...)"),
+    ("exec(code)", "OBFS_AST_001", "critical", "exec(...)"),
+    ("exec(open(__file__).read())", "OBFS_AST_001", "critical", "exec(...)"),
+    ("m = __import__('os')", "OBFS_AST_002", "high", "__import__(...)"),
+    ("__import__('os').system('ls')", "OBFS_AST_002", "high", "__import__(...)"),
+    ("base64 . b64decode(data)", "OBFS_AST_003", "high", "base64.b64decode(...)"),
+))
 PAGES = f"rows_ as (select skill_id, file_path, line_no, line from code where {WIDE} union all select 'p' || page_id, 'url.txt', 1, url from pages where url <> '')"
 
 
@@ -151,6 +160,7 @@ select skill_id, rule_id, severity, file_path, cast(ln as integer) as line_numbe
     return {
         "line_explode": "select doc_id, cast(i as bigint) as line_no, cast(length(l) as bigint) as n_chars, md5(l) as digest from (select doc_id, unnest(ls) as l, unnest(range(1, len(ls) + 1)) as i from (select doc_id, case when p[-1] = '' then p[:-2] else p end as ls from (select doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') as p from documents)))",
         "regex_rules_obfs": f"with {CODE} " + _short(_obfuscation(f"(select * from code where {TEXT})"), "left(m, 80)"),
+        "ast_calls": f"with {CODE}, told as (select * from (values {AST}) t(line, rule_id, severity, match)) select skill_id, rule_id, severity, 'l' || line_no || '.py' as file_path, cast(1 as integer) as line_number, match from code join told using (line) where suffix = '.py'",
         "first_pattern_wins": f"with {CODE}, rows_ as (select skill_id, file_path, line_no, line from code where {PROSE} union all select 'c' || conv_id, turn || '.md', i, l from (select conv_id, turn, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from conversations)) " + _short(_injection("rows_")),
         "whole_file_rule": f"with {CODE} select distinct skill_id, 'INJECT_005' as rule_id, 'high' as severity, file_path, 1 as line_number, {q(R.FRONT_MATTER_RULE[3])} as match from code where {PROSE} and (" + " or ".join(f"regexp_matches(line, {q(p)}{', ' + q('i') if i else ''})" for p, i in R.FRONT_MATTER) + ")",
         "exfil_lookahead": _exfiltration(),
