@@ -51,3 +51,12 @@ def test_pairs_at_the_threshold_share_a_value():
         assert near_duplicates.similar(x, y)
         met += bool((near_duplicates.sketch(x) == near_duplicates.sketch(y)).any())
     assert met >= 0.85 * 200
+
+
+def test_pairs_are_compared_in_their_first_bucket():
+    words = [np.array([1, 2, 3, 4, 5, 6], "u4")] * 3
+    ids, apart = np.arange(3), np.arange(3)
+    block = np.zeros(3, int)
+    assert near_duplicates._links_within(ids, apart, block, words, [[], [], []]) == [(0, 1), (0, 2)]
+    assert near_duplicates._links_within(ids, apart, block, words, [[8], [8], [9]]) == [(0, 2), (1, 2)]
+    assert near_duplicates._links_within(ids, apart, block, words, [[8, 9], [8, 9], [9]]) == []

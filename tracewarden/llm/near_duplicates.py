@@ -234,8 +234,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _links_within(node: np.ndarray, root: np.ndarray, block: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all similar pairs whose roots differ, those within a block only if there is but one."""
+def _links_within(node: np.ndarray, root: np.ndarray, block: np.ndarray, words: list[np.ndarray], earlier: list[list[int]]) -> list[tuple[int, int]]:
+    """Links that join all similar pairs whose roots differ, those within a block only if there is but one.
+
+    Pairs that share an ``earlier`` bucket are compared there.
+    """
+    shared: dict[int, int] = {}
+    for i, own in enumerate(earlier):
+        for b in own:
+            shared[b] = shared.get(b, 0) | 1 << i
     root, one = root.copy(), (block == block[0]).all()
     size = np.array([len(w) for w in words], "i8")
     folded = np.stack([np.bincount(w % FOLD, minlength=FOLD) for w in words]).astype("i4")
@@ -243,7 +250,11 @@ def _links_within(node: np.ndarray, root: np.ndarray, block: np.ndarray, words:
     for i in range(len(node) - 1):
         rest = slice(i + 1, None)
         most = np.floor((1 - SIMILAR) * np.maximum(size[i], size[rest]) + 1e-9)
-        at = np.flatnonzero((root[rest] != root[i]) & (np.abs(size[rest] - size[i]) <= most) & (one | (block[rest] != block[i])))
+        met = 0
+        for b in earlier[i]:
+            met |= shared[b]
+        new = np.unpackbits(np.frombuffer(met.to_bytes(len(node) // 8 + 1, "little"), "u1"), bitorder="little")[i + 1 : len(node)] == 0
+        at = np.flatnonzero(new & (root[rest] != root[i]) & (np.abs(size[rest] - size[i]) <= most) & (one | (block[rest] != block[i])))
         if not len(at):
             continue
         # an edit changes the number of at most two folded words by one
@@ -263,14 +274,15 @@ def _compared(held: DataFrame, classes: DataFrame) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                node, root, block, words = zip(*rows, strict=True)
-                links = _links_within(np.array(node), np.array(root), np.array(block), [np.frombuffer(w.as_buffer(), "<u4") for w in words])
+                node, root, block, own, words = zip(*rows, strict=True)
+                earlier = [[b for b in o if b < now[0]] for o in own]
+                links = _links_within(np.array(node), np.array(root), np.array(block), [np.frombuffer(w.as_buffer(), "<u4") for w in words], earlier)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in (3, 4, 5)), batch.column(6), strict=True):
+            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), batch.column(7), strict=True):
                 if key != now:
                     yield from finish()
                     now, rows = key, []
@@ -280,12 +292,14 @@ def _compared(held: DataFrame, classes: DataFrame) -> DataFrame:
     mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = held.join(materialize(mixed, "mixed").hint("merge"), "bucket")
     rest = materialize(rest.join(classes.select("node", "size").hint("merge"), "node"), "rest")
+    own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / HEAVY)).cast("int")
     sizes = materialize(rest.groupBy("bucket").agg(blocks.alias("blocks")), "blocks")
     rest = rest.join(sizes.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-    rest = rest.join(classes.select("node", "words").hint("merge"), "node").select("bucket", "i", "j", "node", "root", "block", "words")
+    texts = materialize(own.join(classes.select("node", "words").hint("merge"), "node"), "rest-texts")
+    rest = rest.join(texts.hint("merge"), "node").select("bucket", "i", "j", "node", "root", "block", "own", "words")
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
