@@ -28,8 +28,8 @@ def test_against_sql(spark, name):
     assert sorted(norm(r) for r in df.select(*names).collect()) == sorted(map(norm, cur.fetchall()))
 
 
-def test_ten_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.queries()) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
@@ -37,6 +37,8 @@ def test_all_rows(spark, name):
     rows = catalog.queries()[name](spark, DATA)
     key = "vec_id" if "vec_id" in rows.columns else "doc_id"
     source = table(spark, DATA, "embeddings" if key == "vec_id" else "documents")
+    if "piece" in rows.columns:
+        rows = rows.where("piece = 0")
     assert Counter(r[key] for r in rows.select(key).collect()) == Counter(r[key] for r in source.select(key).collect())
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontamination, embedding_duplicates, licences, lm_scores, mixing, near_duplicates, quality, tokencounts, tokenfiles, toxicity
+from tracewarden.llm import decontamination, embedding_duplicates, filter_audit, licences, lm_scores, mixing, near_duplicates, packing, quality, source_divergence, tokencounts, tokenfiles, toxicity
 from tracewarden.llm.common import table
 
 
@@ -67,9 +67,24 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the vocabularies of each language's sources diverge, and by which terms."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all their orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts packed into sequences of 4096 tokens."""
+    return packing.pack_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op3_embedding_near_dedup, op4_toxicity, op5_minhash_near_dedup, op6_quality, op7_lm_scores, op8_token_counts, op9_token_files, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licences, op3_embedding_near_dedup, op4_toxicity, op5_minhash_near_dedup, op6_quality, op7_lm_scores, op8_token_counts, op9_token_files, op10_mix, op11_source_divergence, op12_filter_audit, op13_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontamination.ORACLE, "op2_licences": licences.oracle(), "op7_lm_scores": lm_scores.ORACLE}
+    return {"op1_decontaminate": decontamination.ORACLE, "op2_licences": licences.oracle(), "op7_lm_scores": lm_scores.ORACLE, "op11_source_divergence": source_divergence.ORACLE, "op12_filter_audit": filter_audit.oracle()}

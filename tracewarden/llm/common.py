@@ -61,11 +61,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """``df`` written once as Parquet, with the writer's ``options``, to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
