@@ -192,8 +192,9 @@ def divergence(docs: DataFrame, shards: int | None = None) -> DataFrame:
     value = F.when(F.col("ways") == 1, F.col("terms") * (_apart(F.col("p"), F.col("q0")) - base)).otherwise(F.col("terms") * F.coalesce(base, F.lit(0)))
     met = met.select("lang", "source", "item", "ways", value.alias("value")).groupBy("lang", "source", "item", "ways").agg(F.sum("value").alias("value"))
     both = F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))
+    shared = sums.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))  # of all shards, before each is turned
     turned = lambda rows, ways: rows.select("lang", F.explode(ways).alias("e"), "value").select("lang", "e.source", "e.item", "value")
-    pairs = turned(met, F.when(F.col("ways") == 1, both).otherwise(F.slice(both, 1, 1))).unionByName(turned(sums.where("part = 'pair'"), both))
+    pairs = turned(met, F.when(F.col("ways") == 1, both).otherwise(F.slice(both, 1, 1))).unionByName(turned(shared, both))
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     ranked = pairs.unionByName(sums.where("part = 'term'"))
     best = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
