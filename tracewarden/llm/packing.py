@@ -17,13 +17,17 @@ The plan is a table of slots: the n-th piece of a length, counted over all tasks
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,58 +38,89 @@ from tracewarden.llm.common import materialize, ship
 SIZE = 4096
 #: Lengths among which a turn chooses; how fast a worth falls; what a whole sequence's length is worth beyond its share; shares of coverage from which the rest is tried by best fit.
 CANDIDATES, FALL, PREMIUM, SHARES = 160, 0.1, 0.01, (0.5, 0.7, 0.8, 0.9, 1.0)
-#: Characters of segments that one worker remembers (some 20 bytes each with their ids); longest of them; bytes of text encoded at once.
-KEPT, LONGEST, SLICE = 8_000_000, 64, 1 << 21
+#: Characters of segments and words that one worker remembers (some 20 bytes each with their ids); longest of them; bytes of text encoded at once.
+KEPT, LONGEST, SLICE = 14_000_000, 64, 1 << 21
+
+
+def _missing(lists: list[list[str]], known: dict[str, bytes]) -> set[str]:
+    return set().union(*lists).difference(known)
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without cyclic collections, which would look at every list of segments again and again and find nothing."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them for a file of byte-level merges with word ends that drops white space.
 
     Nothing in such a file reaches over white space, so the ids of a text are those of its segments, and one that was seen
-    before costs one look-up.  New segments go to the library many at once.  Characters below U+0300 are in normal form
-    already and have settled classes, so their segments skip the library's normal form; others get it.
+    before costs one look-up.  Characters below U+0300 are in normal form already and have settled classes, so new segments of
+    these are parted by the file's pattern here, and only words that are new go to the library, many at once; others go there whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
-
-        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.parts = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, end = self.library.get_vocab(), told["model"]["end_of_word_suffix"]
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.ends = np.zeros(len(vocabulary), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
         self.odd = re.compile("[\x1c-\x1f\u0300-\U0010ffff]|<\\|")
         self.gap = re.compile("[ \t\r\n]+")
-        self.mark = "\ue000"  # not plain, so no plain segment has it
-        self.marked = np.array(self.plain.encode(self.mark, add_special_tokens=False).ids, self.kind)
         self.known: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
         self.chars = 0
 
-    def _plain(self, segments: list[str]) -> Iterator[tuple[str, bytes]]:
-        for lo in range(0, len(segments), 1000):
-            some = segments[lo : lo + 1000]
-            ids = np.array(self.plain.encode_batch_fast([f" {self.mark} ".join(s.lower() for s in some)], add_special_tokens=False)[0].ids, self.kind)
-            k, width = len(self.marked), ids.itemsize
-            ends = np.flatnonzero(np.logical_and.reduce([ids[j : len(ids) - k + 1 + j] == self.marked[j] for j in range(k)]))
-            data = ids.tobytes()
-            for s, a, b in zip(some, [0, *((ends + k) * width).tolist()], [*(ends * width).tolist(), len(data)], strict=True):
-                yield s, data[a:b]
+    def _spell(self, words: list[str]) -> None:
+        """Adds the ids of words, each of which ends with the only token that ends a word."""
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts, data = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist(), ids.tobytes()
+            self.spelled.update((w, data[a:b]) for w, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        odd = [s for s in new if self.odd.search(s)]
-        self.known.update(self._plain(sorted(new.difference(odd))))
+        """Adds the ids of segments."""
+        odd = list(filter(self.odd.search, new))
+        plain = new.difference(odd)
+        cut = [self.parts(s.lower()) for s in plain]
+        words = _missing(cut, self.spelled)
+        self._spell(sorted(words))
+        get = self.spelled.__getitem__
+        self.known.update((s, b"".join(map(get, c))) for s, c in zip(plain, cut, strict=True))
         if odd:
             self.known.update((s, np.array(e.ids, self.kind).tobytes()) for s, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        self.chars += sum(map(len, new))
+        self.chars += sum(map(len, new)) + sum(map(len, words))
+        for w in words:
+            if len(w) > LONGEST:  # of use once
+                del self.spelled[w]
+                self.chars -= len(w)
 
     def _cut(self, text: str) -> list[str]:
         return self.gap.split(text) if self.odd.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > KEPT:
-            self.known, self.chars = {}, 0
-        cut = list(map(self._cut, texts))
-        new = set().union(*cut).difference(self.known)
-        self._learn(new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
+            self.known, self.spelled, self.chars = {}, {}, 0
+        with _uncollected():
+            cut = list(map(self._cut, texts))
+            new = _missing(cut, self.known)
+            self._learn(new)
+            out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
         for s in new:
             if len(s) > LONGEST:  # of use once
                 del self.known[s]
