@@ -143,3 +143,106 @@ def test_command_line(spark, tmp_path, capsys):
     assert not d["passed"] and d["risk_level"] == "critical" and {"runner", "credential_detector"} <= set(d["summary"])
     [f] = [f for r in d["results"] if r["detector"] == "permission_scanner" for f in r["findings"]]
     assert f == {"detector": "permission_scanner", "severity": "critical", "rule_id": "PERM_NET_001", "description": "Skill declares no network access but code exhibits network behavior", "file_path": ".hidden/_u.py", "line_number": 1, "match": "undeclared network usage"}
+
+
+def test_urls(spark):
+    from tracewarden.functions import url
+
+    df = spark.createDataFrame([*url.EXAMPLES, (None, False), ("http://exämple.de", True), ("http://名前.example:80/", True)], "u string, ok boolean")
+    assert [r["u"] for r in df.where(url.url_fails(F.col("u")) == F.col("ok")).collect()] == []
+
+
+def small_audit(spark):
+    cols = "skill_id string, detector string, severity string, rule_id string, description string, file_path string, line_number int, match string"
+    f = spark.createDataFrame([("s1", "d", "high", "R", "x", "f.py", 3, "m")] * 2 + [("s2", "d", "low", "R", "x", "f.py", 4, "m")], cols)
+    reports = spark.createDataFrame([("s1", False, 40, "high", 2), ("s2", False, 5, "low", 1), ("s3", True, 0, "none", 0)], "skill_id string, passed boolean, risk_score long, risk_level string, total_findings long")
+    subs = spark.createDataFrame([("u1", "s1", "AUDITING"), ("u2", "s2", "AUDITING"), ("u3", "s3", "AUDITING"), ("u4", "s4", "AUDITING")], "id string, skillId string, status string")
+    return subs, reports, f
+
+
+def check_stored(spark, at, **options):
+    rows = lambda t: registry.load(spark, at, t, **options)
+    assert sorted(r["id"] for r in rows("audit_reports").collect()) == ["u1", "u2", "u3"]
+    found = rows("findings").collect()
+    assert sorted(r["reportId"] for r in found) == ["u1", "u1", "u2"] and len({r["id"] for r in found}) == 3 and all(rows("findings").select(registry.is_uuid(F.col("id")).alias("u")).collect())
+    assert {r["id"]: r["status"] for r in rows("submissions").collect()} == {"u1": "REJECTED", "u2": "REJECTED", "u3": "COMPLETE", "u4": "AUDITING"}
+
+
+def test_an_audit_is_stored_once(spark, tmp_path, monkeypatch):
+    """Twice gives one report; a failure at any point before the commit leaves nothing to be seen, and doing it again completes it."""
+    import pytest
+
+    at = str(tmp_path / "registry")
+    subs, reports, f = small_audit(spark)
+    for t in registry.TABLES:
+        assert registry.load(spark, at, t).isEmpty()
+    assert registry.append(subs, at, "submissions", "s") and not registry.append(subs, at, "submissions", "s")
+    now = F.lit(dt.datetime(2024, 1, 1))
+    whole = registry._shaped
+    for stop in ("findings", "audit_reports", "submission_status", "publish"):
+        def shaped(rows, table):
+            if table == stop:
+                raise OSError("stopped")
+            return whole(rows, table)
+
+        monkeypatch.setattr(registry, "_shaped", shaped)
+        publish = registry._Folder.publish
+        if stop == "publish":
+            monkeypatch.setattr(registry._Folder, "publish", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError, match="stopped"):
+            registry.store(at, subs, reports, f, None, now, "k")
+        monkeypatch.setattr(registry, "_shaped", whole)
+        monkeypatch.setattr(registry._Folder, "publish", publish)
+        assert all(registry.load(spark, at, t).isEmpty() for t in ("findings", "audit_reports", "submission_status"))
+        assert {r["status"] for r in registry.load(spark, at, "submissions").collect()} == {"AUDITING"}
+    for key in ("k", "k", "another", None):
+        done = registry.store(at, subs, reports, f, None, now, key)
+        assert {r["id"]: r["status"] for r in done.collect()}["u3"] == "COMPLETE"
+        check_stored(spark, at)
+    # the rename itself: of two writers with one key the second finds it taken
+    folder = registry._Folder(spark, at)
+    assert folder.publish("race", {}) and not folder.publish("race", {"findings": "nowhere"})
+
+
+def test_a_database(spark, tmp_path):
+    """The same in a database, here the one that comes with Spark's own metastore."""
+    at = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    subs, reports, f = small_audit(spark)
+    registry.create(spark, at, **options)
+    registry.append(subs, at, "submissions", **options)
+    now = F.lit(dt.datetime(2024, 1, 1))
+    # a write that failed after its findings
+    made = registry.report_rows(reports, subs, now)
+    registry.append(registry.finding_rows(f, made), at, "findings", **options)
+    for _ in range(2):
+        registry.store(at, subs, reports, f, None, now, **options)
+        check_stored(spark, at, **options)
+
+
+def test_name_neighbours(spark):
+    import random
+
+    from tracewarden.operators import similar_names
+
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    r = random.Random(1)
+    names = ["", "a", "ab", None, "é", "ée", *("".join(r.choice("abcé") for _ in range(r.randrange(1, 9))) for _ in range(120))]
+    known = [None, "", "b", "abc", *("".join(r.choice("abcé") for _ in range(r.randrange(1, 9))) for _ in range(60)), *names[10:20]]
+    df = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} string")
+    near = similar_names.neighbours(df(names, "name"), df(known, "known"))
+    got = sorted(tuple(x) for x in near.collect())
+    assert got == sorted({(a, b, plain(a, b)) for a in names for b in known if a is not None and b is not None and a != b and plain(a, b) <= 2})
+    assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in near._jdf.queryExecution().executedPlan().toString()
+    skills = spark.createDataFrame([("1", "web-serch"), ("2", "githib"), ("3", "Gmail"), ("4", "csv-procesor-v2"), ("5", "0penclaws"), ("6", None), ("7", "slakc")], "skill_id string, skill_name string")
+    from tracewarden.functions import rules
+
+    want = sorted(tuple(x) for x in skill_rules.look_alikes(skills).collect())
+    assert want and sorted(tuple(x) for x in skill_rules.look_alikes_among(skills, df(rules.KNOWN_SKILLS, "known")).collect()) == want

@@ -65,6 +65,13 @@ def severity_pivot(findings: DataFrame) -> DataFrame:
     return n.select("skill_id", "critical", "high", "medium", (F.col("n") - F.col("critical") - F.col("high") - F.col("medium")).alias("low"))
 
 
+def rollup(findings: DataFrame) -> DataFrame:
+    """(level, detector, severity, findings, skills, weight): totals by detector and severity, by detector, and of all; what a level doesn't part by is null."""
+    level = F.element_at(F.create_map(F.lit(0), F.lit("severity"), F.lit(1), F.lit("detector"), F.lit(3), F.lit("all")), F.grouping_id().cast("int"))
+    sums = [F.count(F.lit(1)).alias("findings"), F.count_distinct("skill_id").alias("skills"), F.coalesce(F.sum(weight(F.col("severity"))), F.lit(0)).cast("long").alias("weight")]
+    return findings.rollup("detector", "severity").agg(level.alias("level"), *sums).select("level", "detector", "severity", "findings", "skills", "weight")
+
+
 def documents(skills: DataFrame, findings: DataFrame) -> DataFrame:
     """(skill_id, report): the JSON document of each skill's audit, results in canonical order."""
     line = F.struct("detector", "severity", "rule_id", "description", "file_path", "line_number", "match")

@@ -9,8 +9,9 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tracewarden.functions import rules as R
 from tracewarden.functions.text import DIGITS, any_of, cut, first_match, literal, rx, strip
@@ -73,7 +74,30 @@ def ast_calls(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["skill_id", "file_path", "rule_id", "name", "line_number", "col"])
 
     source = readable(files, [".py"]).where(F.col("content").rlike("eval|exec|__import__|b64decode|decodebytes"))
-    hits = source.select("skill_id", "file_path", "content").mapInPandas(run, f"skill_id {kind}, file_path string, rule_id string, name string, line_number int, col int")
+    return ast_findings(source.select("skill_id", "file_path", "content").mapInPandas(run, f"skill_id {kind}, file_path string, rule_id string, name string, line_number int, col int"))
+
+
+@udtf(returnType="rule_id string, name string, line_number int, col int", useArrow=False)
+class AstCalls:
+    """``ast_calls(content)`` for SQL: the telling calls of Python source, a row each; none for null and for what doesn't parse.
+
+    Row by row, since Spark refuses table functions with Arrow at the right of a lateral join; ``ast_calls`` above works on batches.
+    """
+
+    def eval(self, content: str) -> Iterator[tuple[str, str, int, int]]:
+        parse = _calls
+        if content is not None:
+            yield from parse(content)
+
+
+def register_ast_calls(spark: SparkSession) -> None:
+    """Makes ``ast_calls`` known to SQL: ``select f.skill_id, f.file_path, a.* from files f, lateral ast_calls(f.content) a``."""
+    ship(spark)
+    spark.udtf.register("ast_calls", AstCalls)
+
+
+def ast_findings(hits: DataFrame) -> DataFrame:
+    """Findings from the calls (skill_id, file_path, rule_id, name, line_number, col) that ``ast_calls`` tells."""
     severity, text, shown = F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat("name", F.lit("(...)"))
     for rule, (s, d) in R.AST.items():
         severity = F.when(F.col("rule_id") == rule, s).otherwise(severity)

@@ -3,17 +3,37 @@
 skills(id, name, description, author, repositoryUrl, submittedAt); submissions(id, skillId, status,
 paymentStatus, createdAt, updatedAt); audit_reports(id, submissionId, skillId, riskScore, riskLevel, passed,
 completedAt); findings(id, reportId, detector, severity, ruleId, description, filePath, lineNumber, match).
-Names of tables, fields and states, and texts of complaints, are fixed values.
+Names of tables, fields and states, and texts of complaints, are fixed values.  submission_status(id, status, updatedAt) has what
+became of submissions later; ``load`` gives submissions with their latest status.
+
+A registry is a folder or a database (``where`` is a path or a JDBC URL).  In a folder every write is a commit: its files go to folders of
+their own, and one small file in ``commits/``, moved there in one step under the commit's key, makes all of them visible at
+once.  A commit that fails before that leaves nothing to be seen, and one whose key is there already does nothing.  In a
+database tables are written one by one, reports after their findings, and rows whose ids are there already are left out, so that a
+write that failed is completed by doing it again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.text import strip
-
-TABLES = ("skills", "submissions", "audit_reports", "findings")
+from tracewarden.functions.url import is_http, url_fails
+
+SCHEMAS = {
+    "skills": "id string, name string, description string, author string, repositoryUrl string, submittedAt timestamp",
+    "submissions": "id string, skillId string, status string, paymentStatus string, createdAt timestamp, updatedAt timestamp",
+    "submission_status": "id string, status string, updatedAt timestamp",
+    "audit_reports": "id string, submissionId string, skillId string, riskScore int, riskLevel string, passed boolean, completedAt timestamp",
+    "findings": "id string, reportId string, detector string, severity string, ruleId string, description string, filePath string, lineNumber int, match string",
+}
+TABLES = tuple(SCHEMAS)
+#: States in the order in which they follow one another.
+STATES = ("PENDING", "AUDITING", "COMPLETE", "REJECTED")
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 RENAMED = {"rule_id": "ruleId", "file_path": "filePath", "line_number": "lineNumber"}
 
@@ -32,9 +52,8 @@ def validated(rows: DataFrame) -> DataFrame:
         .when(n("description") < 10, "description must be at least 10 characters")
         .when(n("author") < 2, "author must be at least 2 characters")
         .when(url == "", "repositoryUrl is required")
-        .when(~url.rlike(r"^\s*[A-Za-z][A-Za-z0-9+.\-]*:.+"), "repositoryUrl must be a valid URL")
-        .when(~url.rlike(r"(?i)^\s*https?:"), "repositoryUrl must be a valid http or https URL")
-        .when(~url.rlike(r"(?i)^\s*https?:[/\\]*[^\s/?#]+"), "repositoryUrl must be a valid URL")
+        .when(url_fails(url), "repositoryUrl must be a valid URL")
+        .when(~is_http(url), "repositoryUrl must be a valid http or https URL")
     )
     return rows.withColumn("error", error)
 
@@ -62,8 +81,13 @@ def report_rows(reports: DataFrame, submissions: DataFrame, now: Column | None =
 def finding_rows(findings: DataFrame, reports: DataFrame) -> DataFrame:
     """findings to append, in the registry's names."""
     r = reports.select(F.col("id").alias("reportId"), F.col("skillId").alias("skill_id"))
-    out = findings.join(r, "skill_id").withColumnsRenamed(RENAMED).drop("skill_id")
-    return out.select(F.uuid().alias("id"), "reportId", "detector", "severity", "ruleId", "description", "filePath", "lineNumber", "match")
+    out = findings.join(r, "skill_id").withColumnsRenamed(RENAMED)
+    columns = ["reportId", "detector", "severity", "ruleId", "description", "filePath", "lineNumber", "match"]
+    # the same finding has the same id whenever it is made; equal findings of a report are told apart by number
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    x = F.md5(F.to_json(F.struct(*columns, nth.alias("nth"))))
+    id_ = F.concat_ws("-", F.substring(x, 1, 8), F.substring(x, 9, 4), F.substring(x, 13, 4), F.substring(x, 17, 4), F.substring(x, 21, 12))
+    return out.select(id_.alias("id"), *columns)
 
 
 def settled(submissions: DataFrame, reports: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -76,38 +100,124 @@ def settled(submissions: DataFrame, reports: DataFrame, failed: DataFrame | None
     return out.withColumn("status", status).select(*submissions.columns)
 
 
-def _at(where: str, table: str, options: dict[str, str]) -> tuple[str, dict[str, str]]:
-    """The format and options of a table: below a folder, or by its name in a database if ``where`` is a JDBC URL."""
-    if where.startswith("jdbc:"):
-        return "jdbc", {**options, "url": where, "dbtable": table}
-    return "parquet", {**options, "path": f"{where.rstrip('/')}/{table}"}
+def _database(where: str) -> bool:
+    return where.startswith("jdbc:")
 
 
-def append(rows: DataFrame, where: str, table: str, **options: str) -> None:
-    """Adds rows to a table of the registry: of Parquet files in a folder, or of a database (user, password, driver as options)."""
-    kind, told = _at(where, table, options)
-    rows.write.format(kind).mode("append").options(**told).save()
+def _shaped(rows: DataFrame, table: str) -> DataFrame:
+    """Rows with the columns of a table, and their types; those that ``rows`` hasn't got are null."""
+    want = rows.sparkSession.createDataFrame([], SCHEMAS[table]).schema
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want))
 
 
-def load(spark: SparkSession, where: str, table: str, **options: str) -> DataFrame:
-    """A table of the registry; of a database, ``partitionColumn``, bounds and ``numPartitions`` as options split the reading."""
-    kind, told = _at(where, table, options)
-    return spark.read.format(kind).options(**told).load()
+class _Folder:
+    """Files of a registry's folder, through Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, where: str):
+        self.spark, self.where, self.jvm = spark, where.rstrip("/"), spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path().getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+
+    def path(self, *below: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join([self.where, *below]))
+
+    def has(self, *below: str) -> bool:
+        return self.fs.exists(self.path(*below))
+
+    def publish(self, key: str, folders: dict[str, str]) -> bool:
+        """Writes the file of a commit under its key in one step; false if there is one."""
+        draft = self.path("drafts", uuid.uuid4().hex)
+        with_ = self.fs.create(draft)
+        with_.write(bytearray(json.dumps({"key": key, "folders": folders}).encode()))
+        with_.close()
+        self.fs.mkdirs(self.path("commits"))
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        try:
+            self.context.rename(draft, self.path("commits", f"{key}.json"), options)
+        except Exception:
+            if self.has("commits", f"{key}.json"):
+                return False
+            raise
+        return True
+
+    def folders(self, table: str) -> list[str]:
+        """The folders that commits name for a table."""
+        if not self.has("commits"):
+            return []
+        told = self.spark.read.schema("key string, folders map<string, string>").json(f"{self.where}/commits")
+        return sorted(r["f"] for r in told.select(F.get(F.array(F.col("folders")[table]), F.lit(0)).alias("f")).where("f is not null").collect())
 
 
-def store(where: str, submissions: DataFrame, reports: DataFrame, findings: DataFrame, failed: DataFrame | None = None, now: Column | None = None, **options: str) -> DataFrame:
-    """Appends an audit's reports and findings, and returns the submissions with their new status.
+def commit(spark: SparkSession, where: str, tables: dict[str, DataFrame], key: str | None = None, **options: str) -> bool:
+    """Adds rows to several tables, in a folder all of them or none; false if a commit with that key has been made."""
+    if _database(where):
+        for table, rows in tables.items():
+            _shaped(rows, table).write.format("jdbc").mode("append").options(**options, url=where, dbtable=table).save()
+        return True
+    at, key = _Folder(spark, where), key or uuid.uuid4().hex
+    if at.has("commits", f"{key}.json"):
+        return False
+    folders = {table: f"{table}/{key}-{uuid.uuid4().hex}" for table in tables}
+    for table, rows in tables.items():
+        _shaped(rows, table).write.parquet(f"{at.where}/{folders[table]}")
+    return at.publish(key, folders)
 
-    A submission is one skill's; skills in ``failed`` (skill_id, error) are REJECTED without a report, and hold up no others.
+
+def append(rows: DataFrame, where: str, table: str, key: str | None = None, **options: str) -> bool:
+    """Adds rows to one table of the registry (user, password, driver as options of a database)."""
+    return commit(rows.sparkSession, where, {table: rows}, key, **options)
+
+
+def create(spark: SparkSession, where: str, **options: str) -> None:
+    """Makes the tables that a database hasn't got yet; a folder needs none."""
+    if _database(where):
+        for table, schema in SCHEMAS.items():
+            spark.createDataFrame([], schema).write.format("jdbc").mode("ignore").options(**options, url=where, dbtable=table).save()
+
+
+def _stored(spark: SparkSession, where: str, table: str, **options: str) -> DataFrame:
+    if _database(where):
+        return spark.read.format("jdbc").options(**options, url=where, dbtable=table).load()
+    at = _Folder(spark, where)
+    folders = at.folders(table)
+    return spark.read.schema(SCHEMAS[table]).parquet(*(f"{at.where}/{f}" for f in folders)) if folders else spark.createDataFrame([], SCHEMAS[table])
+
+
+def load(spark: SparkSession, where: str, table: str, **options: str) -> DataFrame:
+    """A table of the registry; of a database, ``partitionColumn``, bounds and ``numPartitions`` as options split the reading."""
+    rows = _stored(spark, where, table, **options)
+    if table != "submissions":
+        return rows
+    rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("status"))
+    plain = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    later = _stored(spark, where, "submission_status", **plain).groupBy("id").agg(F.max(F.struct(rank.alias("rank"), "updatedAt", "status")).alias("s"))
+    rows = rows.join(later.select(F.col("id").alias("_id"), "s"), F.col("id") == F.col("_id"), "left")
+    return rows.select("id", "skillId", F.coalesce("s.status", "status").alias("status"), "paymentStatus", "createdAt", F.coalesce("s.updatedAt", "updatedAt").alias("updatedAt"))
+
+
+def store(where: str, submissions: DataFrame, reports: DataFrame, findings: DataFrame, failed: DataFrame | None = None, now: Column | None = None, key: str | None = None, **options: str) -> DataFrame:
+    """Stores an audit's reports, their findings and what they make of their submissions, and returns the submissions with that status.
+
+    A submission is one skill's; skills in ``failed`` (skill_id, error) are REJECTED without a report, and hold up no others.  A
+    submission that has a report keeps it: storing an audit twice stores it once.  ``key`` names the write, such as a batch of a
+    stream: in a folder, a second one with the same key does nothing.
     """
-    bad = None
+    spark, bad = submissions.sparkSession, None
+    create(spark, where, **options)
     if failed is not None:
         bad = submissions.join(failed.select(F.col("skill_id").alias("skillId")).distinct(), "skillId").select("id")
         reports = reports.join(failed.select("skill_id").distinct(), "skill_id", "left_anti")
     made = report_rows(reports, submissions, now)
-    append(made, where, "audit_reports", **options)
-    append(finding_rows(findings, made), where, "findings", **options)
-    return settled(submissions, made, bad)
+    done = settled(submissions, made, bad)
+    new = lambda rows, table, id_="id": rows.join(_stored(spark, where, table, **options).select(F.col("id").cast("string").alias(id_)), id_, "left_anti")
+    ended = done.where(F.col("status").isin("COMPLETE", "REJECTED")).select("id", "status", (now if now is not None else F.current_timestamp()).alias("updatedAt"))
+    fresh = new(made, "audit_reports")
+    # of a database, findings that a failed write has left are completed
+    found = new(finding_rows(findings, fresh), "findings") if _database(where) else finding_rows(findings, fresh)
+    commit(spark, where, {"findings": found, "audit_reports": fresh, "submission_status": new(ended, "submission_status")}, key, **options)
+    return done
 
 
 def current_status(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import rules as R
 from tracewarden.functions.text import any_of, lines as text_lines, rx, strip
+from tracewarden.operators import similar_names
 from tracewarden.operators.corpus import lines, readable, root_manifest, skills
 from tracewarden.operators.findings import exploded, finding
 
@@ -89,6 +90,16 @@ def look_alikes(names: DataFrame) -> DataFrame:
     return rows.select("skill_id", "skill_name", "known", "distance")
 
 
+def look_alikes_among(names: DataFrame, known: DataFrame, most: int = similar_names.MOST) -> DataFrame:
+    """``look_alikes`` of a list ``known`` (known) that may be as long as the registry: forms of names meet it by variants, not one by one."""
+    forms = names.where("skill_name is not null").distinct().withColumn("_forms", candidates(F.col("skill_name")))
+    forms = forms.select("skill_id", "skill_name", F.posexplode("_forms").alias("at", "form"))
+    near = similar_names.neighbours(forms.select(F.col("form").alias("name")), known, most).withColumnRenamed("name", "form")
+    near = forms.join(near, "form").groupBy("skill_id", "skill_name", "known").agg(F.min_by("distance", "at").alias("distance"))
+    same = forms.join(known.select(F.col("known").alias("form")).distinct(), "form").select("skill_id", "skill_name", F.col("form").alias("known"))
+    return near.join(same, ["skill_id", "skill_name", "known"], "left_anti").select("skill_id", "skill_name", "known", "distance")
+
+
 def names(files: DataFrame) -> DataFrame:
     all_ = skill_names(files)
     root = F.lit("SKILL.md").alias("file_path")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from tracewarden.functions import rules as R
+from tracewarden.functions import url
 from tracewarden.plans import derived as D
 
 
@@ -18,6 +21,16 @@ def _in(values: list[str]) -> str:
     return "(" + ", ".join(map(q, values)) + ")"
 
 
+def _bools(values) -> str:
+    return "[" + ", ".join("true" if x else "false" for x in values) + "]"
+
+
+#: Windows of an hour anchored at each user's first request, followed one by one.
+ANCHORED = """e as (select user_id as ip, ts, count(*) as n from events group by 1, 2),
+nxt as (select a.ip, a.ts, min(b.ts) as nx from e a left join e b on a.ip = b.ip and a.ts + interval 1 hour <= b.ts group by 1, 2),
+w as (select ip, min(ts) as s from e group by 1 union all select w.ip, nxt.nx from w join nxt on nxt.ip = w.ip and nxt.ts = w.s where nxt.nx is not null)"""
+
+
 def _any(column: str, patterns, flags: str = "") -> str:
     return "(" + " or ".join(f"regexp_matches({column}, {q(p)}{', ' + q(flags) if flags else ''})" for p in patterns) + ")"
 
@@ -200,5 +213,15 @@ union all select skill_id, 'RUN_003', 'low', min(file_path), 'Excessive director
         "uuid_filter": "select c_custkey, case when c_custkey % 3 = 0 then upper(u) else u end as uuid from (select c_custkey, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) as u from (select c_custkey, md5(c_name) as m from customer)) where c_custkey % 3 <> 1",
         "rate_limit_window": "select user_id as ip, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests, count(*) > 5 as over from events group by 1, 2",
         "rate_limit_all": "select 'all' as ip, strftime(time_bucket(interval '15 minutes', ts - to_days(cast(date_diff('day', date '2024-01-01', cast(ts as date)) as integer))), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests, count(*) > 100 as over from events group by 2",
+        "validate_urls": f"select c_custkey as id, {_bools(ok for _, ok in url.EXAMPLES)}[c_custkey % {len(url.EXAMPLES)} + 1] as valid, {_bools(re.match('https?:', u.strip().replace(chr(9), '').replace(chr(10), ''), re.I) for u, _ in url.EXAMPLES)}[c_custkey % {len(url.EXAMPLES)} + 1] as http from customer",
+        "rate_limit_anchored": f"with recursive {ANCHORED} select ip, strftime(s, '%Y-%m-%d %H:%M:%S.%f') as window_start, cast(n as bigint) as requests, cast(greatest(n - 5, 0) as bigint) as refused from (select w.ip, w.s, sum(e.n) as n from w join e on e.ip = w.ip and e.ts >= w.s and e.ts < w.s + interval 1 hour group by 1, 2)",
+        "rate_limit_decisions": f"with recursive {ANCHORED} select event_id, nth, nth <= 5 as allowed from (select event_id, row_number() over (partition by v.user_id, w.s order by v.ts, event_id) as nth from events v join w on v.user_id = w.ip and v.ts >= w.s and v.ts < w.s + interval 1 hour)",
+        "submission_machine": f"""with recursive e as (select user_id * 100 + event_id % 17 as sub, {_list(['PENDING', 'AUDITING', 'COMPLETE', 'REJECTED', 'AUDITING', 'PENDING', 'ERROR'])}[event_id * 5 % 7 + 1] as event, row_number() over (partition by user_id * 100 + event_id % 17 order by ts, event_id) as n from events),
+r as (select distinct sub, cast(0 as bigint) as n, cast(null as varchar) as st, cast(0 as bigint) as acc from e
+  union all select sub, n, coalesce(nx, st), acc + (nx is not null)::int from (select r.sub, e.n, r.st, r.acc, case when r.st is null and event = 'PENDING' then 'PENDING' when r.st = 'PENDING' and event = 'AUDITING' then 'AUDITING' when r.st = 'AUDITING' and event in ('COMPLETE', 'REJECTED') then event when r.st in ('PENDING', 'AUDITING') and event = 'ERROR' then 'REJECTED' end as nx from r join e on e.sub = r.sub and e.n = r.n + 1))
+select sub as submission_id, arg_max_null(st, n) as status, max(acc) as accepted, max(n) - max(acc) as refused from r group by sub""",
+        "name_neighbours": "with n as (select distinct lower(replace(p_name, ' ', '-')) || '-' || substr(md5(cast(p_partkey as varchar)), 1, 4) as name from part) select a.name, b.name as known, levenshtein(a.name, b.name) as distance from n a, n b where a.name <> b.name and abs(length(a.name) - length(b.name)) <= 2 and levenshtein(a.name, b.name) <= 2",
+        "findings_rollup": f"with {FINDINGS} select case grouping(detector, severity) when 0 then 'severity' when 1 then 'detector' else 'all' end as level, detector, severity, count(*) as findings, count(distinct skill_id) as skills, cast(sum(case severity when 'critical' then 40 when 'high' then 20 when 'medium' then 10 else 5 end) as bigint) as weight from found group by rollup(detector, severity)",
+        "ast_calls_lateral": f"with {CODE}, told as (select * from (values {AST}) t(line, rule_id, severity, match)) select skill_id, rule_id, severity, 'l' || line_no || '.py' as file_path, cast(1 as integer) as line_number, match from code join told using (line) where suffix = '.py'",
         "status_log": "select user_id as submission_id, arg_max(['PENDING', 'AUDITING', 'COMPLETE', 'REJECTED'][event_id % 4 + 1], (ts, event_id)) as status from events group by 1",
     }

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.functions import rules as R
+from tracewarden.functions import url
 from tracewarden.functions.text import lines as text_lines
 from tracewarden.operators import findings as fs
-from tracewarden.operators import line_rules, manifests, registry, skill_rules
+from tracewarden.operators import line_rules, manifests, registry, similar_names, skill_rules
 from tracewarden.operators.corpus import from_texts, lines, readable, skills
 from tracewarden.plans import audit, derived
 from tracewarden.session import staged
-from tracewarden.streaming import limits
+from tracewarden.streaming import limits, submissions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,14 @@ def ast_calls(spark, d):
     return _short(line_rules.ast_calls(from_texts(rows)))
 
 
+def ast_calls_lateral(spark, d):
+    """The same in SQL, by the table function."""
+    line_rules.register_ast_calls(spark)
+    files = _code_lines(spark, d, [".py"]).select("skill_id", F.concat(F.lit("l"), F.col("line_no").cast("string"), F.lit(".py")).alias("file_path"), F.col("line").alias("content"))
+    hits = spark.sql("select f.skill_id, f.file_path, a.rule_id, a.name, a.line_number, a.col from {files} f, lateral ast_calls(f.content) a", files=files)
+    return _short(line_rules.ast_findings(hits))
+
+
 def first_pattern_wins(spark, d):
     c = _t(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("skill_id"), F.concat(F.col("turn").cast("string"), F.lit(".md")).alias("file_path"), F.col("text").alias("content"))
     rows = _code_lines(spark, d, R.PROSE_SUFFIXES).unionByName(lines(from_texts(c)))
@@ -88,6 +97,13 @@ def typosquat_names(spark, d):
     return near.select("skill_id", "skill_name", "known", F.col("distance").cast("long").alias("distance"))
 
 
+def name_neighbours(spark, d):
+    """Names of parts, each made one of its own by four letters of a digest, that are within two edits of one another."""
+    n = _t(spark, d, "part").select(F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit("-"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 4)).alias("name"))
+    near = similar_names.neighbours(n, n.withColumnRenamed("name", "known"))
+    return near.select("name", "known", F.col("distance").cast("long").alias("distance"))
+
+
 def _dep(part: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark, d):
         return _short(part(derived.manifests(spark, d)))
@@ -154,6 +170,10 @@ def _registry(spark, d):
     return c, subs, reports, found
 
 
+def findings_rollup(spark, d):
+    return fs.rollup(_order_findings(spark, d))
+
+
 def latest_report(spark, d):
     return registry.latest(_registry(spark, d)[2], "skillId", "completedAt").select("skillId", "id", "riskScore", "riskLevel", "passed")
 
@@ -207,6 +227,14 @@ def validate_submission(spark, d):
     return registry.validated(_bodies(spark, d)).select("id", "error")
 
 
+def validate_urls(spark, d):
+    """Each kind of URL, over and over, a third of them with the customer's number as a fragment."""
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(*(F.lit(u) for u, _ in url.EXAMPLES)), (k % len(url.EXAMPLES) + 1).cast("int"))
+    text = F.when(k % 3 == 0, F.concat(text, F.lit("#"), k.cast("string"))).otherwise(text)
+    return _t(spark, d, "customer").select(k.alias("id"), (~url.url_fails(text)).alias("valid"), url.is_http(text).alias("http"))
+
+
 def uuid_filter(spark, d):
     x = F.md5(F.col("c_name"))
     dash = F.concat_ws("-", F.substring(x, 1, 8), F.substring(x, 9, 4), F.substring(x, 13, 4), F.substring(x, 17, 4), F.substring(x, 21, 12))
@@ -228,6 +256,29 @@ def rate_limit_all(spark, d):
     return n.select("ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", (F.col("requests") > most).alias("over"))
 
 
+def rate_limit_anchored(spark, d):
+    """Windows of an hour that begin with a user's first request, and again with the first one after they have ended."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("ip"), "ts")
+    n = limits.anchored_windows(e, "1 hour")
+    return n.select("ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "requests", F.greatest(F.col("requests") - limits.SUBMISSIONS[1], F.lit(0)).alias("refused"))
+
+
+def rate_limit_decisions(spark, d):
+    """Whether each event is within the limit of 5 in its user's hour."""
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("ip"), "ts")
+    return limits.decided(e, order="event_id").select("event_id", F.col("nth").cast("long").alias("nth"), "allowed")
+
+
+def _submission_events(spark, d):
+    """Events as what happens to submissions, four events a submission at most of the time in the right order."""
+    kind = F.element_at(F.array(*map(F.lit, ["PENDING", "AUDITING", "COMPLETE", "REJECTED", "AUDITING", "PENDING", "ERROR"])), (F.col("event_id") * 5 % 7 + 1).cast("int"))
+    return _t(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 17).alias("submission_id"), kind.alias("event"), "ts", F.col("event_id").alias("seq"))
+
+
+def submission_machine(spark, d):
+    return submissions.current(_submission_events(spark, d))
+
+
 def status_log(spark, d):
     e = _t(spark, d, "events").select((F.col("user_id")).alias("submission_id"), F.element_at(F.array(*map(F.lit, ["PENDING", "AUDITING", "COMPLETE", "REJECTED"])), (F.col("event_id") % 4 + 1).cast("int")).alias("status"), "ts", F.col("event_id").alias("seq"))
     return registry.current_status(e)
@@ -245,8 +296,8 @@ def audit_documents(spark, d):
 
 def queries() -> dict[str, Query]:
     named = [
-        line_explode, regex_rules_obfs, ast_calls, first_pattern_wins, whole_file_rule, exfil_lookahead, network_raw_ip, network_ordered, network_domain, permission_violation, typosquat_names, dep_runtime, credential_lines, preflight, dedupe_first,
-        risk_score, risk_level, summary_by_detector, severity_pivot, latest_report, directory_listing, skill_detail, badge, directory_totals, risk_badges, detector_labels, submission_status, validate_submission, uuid_filter, rate_limit_window, rate_limit_all, status_log, audit_reports, audit_documents,
+        line_explode, regex_rules_obfs, ast_calls, ast_calls_lateral, first_pattern_wins, whole_file_rule, exfil_lookahead, network_raw_ip, network_ordered, network_domain, permission_violation, typosquat_names, name_neighbours, dep_runtime, credential_lines, preflight, dedupe_first,
+        risk_score, risk_level, summary_by_detector, severity_pivot, findings_rollup, latest_report, directory_listing, skill_detail, badge, directory_totals, risk_badges, detector_labels, submission_status, validate_submission, validate_urls, uuid_filter, rate_limit_window, rate_limit_all, rate_limit_anchored, rate_limit_decisions, submission_machine, status_log, audit_reports, audit_documents,
     ]
     deps = {"dep_requirements": manifests.requirements, "dep_npm": manifests.npm, "dep_setup": manifests.setup_py, "dep_pyproject": manifests.pyproject, "dep_pipfile": manifests.pipfile, "dep_conda": manifests.conda}
     return {f.__name__: f for f in named} | {k: _dep(v) for k, v in deps.items()}

@@ -33,4 +33,10 @@ def session(app: str = "tracewarden", **conf: str) -> SparkSession:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` worked out once for several readers: in the shared folder where the session names one, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:  # read when the context starts, so a later setting isn't known to it
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint()

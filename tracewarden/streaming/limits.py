@@ -1,14 +1,26 @@
-"""Request limits and intake as streams; every function works on bounded tables too."""
+"""Request limits and intake as streams; every function works on bounded tables too.
+
+Two kinds of windows: tumbling ones, which all keys share, and anchored ones, which begin with a key's first request and again with
+the first one after they have ended, as a limiter does that counts in memory.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewarden.session import ship, staged
+from tracewarden.streaming.inorder import InOrder, folded
+
 #: Fixed values: (window, most requests) for all requests and for submissions.
 ALL_REQUESTS, SUBMISSIONS = ("15 minutes", 100), ("1 hour", 5)
+#: Windows in a stretch of time that one task follows a key through.
+STRETCH = 64
 
 
 def requests_per_window(requests: DataFrame, window: str, late: str | None = None) -> DataFrame:
@@ -22,6 +34,142 @@ def over_limit(requests: DataFrame, limit: tuple[str, int] = SUBMISSIONS, late:
     return requests_per_window(requests, limit[0], late).where(F.col("requests") > limit[1])
 
 
+def micros(window: str) -> int:
+    return int(pd.Timedelta(window) / pd.Timedelta(microseconds=1))
+
+
+def chain(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending times, each as the first of a window: the place of the first one after that window, and where the last window of the chain ends."""
+    after = np.searchsorted(t, t + width)
+    ends = t + width
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            ends[i] = ends[after[i]]
+    return after, ends
+
+
+def _passages(times: DataFrame, width: int) -> DataFrame:
+    """(ip, stretch, upto, leaves): a step function for each stretch of a key: a window that is open on entry until ``upto`` at most, and more than any smaller ``upto``, leaves one open until ``leaves``."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["us"].to_numpy())
+        _, ends = chain(t, width)
+        top = np.searchsorted(t, key[1] * width * STRETCH + width) + 1  # nothing that was open on entry lasts longer
+        upto, leaves = t[:top], ends[:top]
+        last = np.append(leaves[1:] != leaves[:-1], True)
+        return pd.DataFrame({"ip": [key[0]] * int(last.sum()), "stretch": key[1], "upto": upto[last], "leaves": leaves[last]})
+
+    kind = times.schema["ip"].dataType.simpleString()
+    return times.groupBy("ip", "stretch").applyInPandas(one, f"ip {kind}, stretch long, upto long, leaves long")
+
+
+def _entries(passages: DataFrame) -> DataFrame:
+    """(ip, stretch, until): until when a window is open on entry to each stretch; rows are followed in order, with one number in memory."""
+
+    kind = passages.schema["ip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, until, entry, found = None, None, None, False
+        for batch in batches:
+            out = []
+            for ip, stretch, upto, leaves in zip(*(batch.column(c).to_pylist() for c in ("ip", "stretch", "upto", "leaves")), strict=True):
+                if now is None or ip != now[0]:
+                    until = None
+                if now != (ip, stretch):
+                    now, entry, found = (ip, stretch), until, False
+                    out.append((ip, stretch, entry))
+                if not found and (entry is None or entry <= upto):
+                    until, found = leaves, True
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (batch.schema.field("ip").type, pa.int64(), pa.int64()), strict=True)], ["ip", "stretch", "until"])
+
+    rows = passages.repartition("ip").sortWithinPartitions("ip", "stretch", "upto")
+    return rows.mapInArrow(run, f"ip {kind.dataType.simpleString()}, stretch long, until long")
+
+
+def anchored_starts(requests: DataFrame, window: str) -> DataFrame:
+    """(ip, ts, requests, window_start): for each time at which a key has requests, how many, and the begin of the window that they fall into.
+
+    A window is [begin, begin + window).  Requests without a key are one key's; those without a time are in no window and left
+    out; repeated rows count each.  A key's times are cut into stretches of STRETCH windows, so that a key with a third of all requests
+    is many tasks' work: each stretch tells, for any window open on entry, which one it leaves open; these are followed in order,
+    and then each stretch is gone through from the entry that it really has.
+    """
+    width = micros(window)
+    ship(requests.sparkSession)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    times = requests.where("ts is not null").select("ip", us.alias("us")).groupBy("ip", "us").agg(F.count(F.lit(1)).alias("n"))
+    times = staged(times.withColumn("stretch", F.floor(F.col("us") / (width * STRETCH))))
+    entries = staged(_entries(_passages(times, width)))
+    e = entries.select(F.col("ip").alias("_ip"), F.col("stretch").alias("_stretch"), "until")
+    rows = times.join(e, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("stretch") == F.col("_stretch"))).select("ip", "stretch", "us", "n", "until")
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("us")
+        t, until = pdf["us"].to_numpy(), pdf["until"].iat[0]
+        after, _ = chain(t, width)
+        start = np.empty(len(t), "i8")
+        i = 0
+        if not pd.isna(until):
+            i = int(np.searchsorted(t, int(until)))
+            start[:i] = int(until) - width
+        while i < len(t):
+            start[i : after[i]] = t[i]
+            i = int(after[i])
+        return pd.DataFrame({"ip": pdf["ip"], "us": t, "n": pdf["n"], "start": start})
+
+    kind = requests.schema["ip"].dataType.simpleString()
+    out = rows.groupBy("ip", "stretch").applyInPandas(one, f"ip {kind}, us long, n long, start long")
+    return out.select("ip", F.timestamp_micros("us").alias("ts"), F.col("n").alias("requests"), F.timestamp_micros("start").alias("window_start"))
+
+
+def anchored_windows(requests: DataFrame, window: str) -> DataFrame:
+    """(ip, window_start, requests) of ``anchored_starts``."""
+    return anchored_starts(requests, window).groupBy("ip", "window_start").agg(F.sum("requests").alias("requests"))
+
+
+def decided(requests: DataFrame, limit: tuple[str, int] = SUBMISSIONS, order: str = "ts") -> DataFrame:
+    """``requests`` with window_start, nth (its number in the window, by ts and ``order``) and allowed; those without a time are refused."""
+    starts = anchored_starts(requests, limit[0]).select(F.col("ip").alias("_ip"), F.col("ts").alias("_ts"), "window_start")
+    rows = requests.join(starts, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("ts").cast("timestamp") == F.col("_ts")), "left").drop("_ip", "_ts")
+    nth = F.row_number().over(Window.partitionBy("ip", "window_start").orderBy("ts", order))
+    rows = rows.withColumn("nth", F.when(F.col("window_start").isNotNull(), nth))
+    return rows.withColumn("allowed", F.coalesce(F.col("nth") <= limit[1], F.lit(False)))
+
+
+class _Anchored(InOrder):
+    """The open window of a key as (start, requests); emitted when it is over."""
+
+    STATE = "start long, n long"
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def _closed(self, key: tuple, state: tuple) -> Row:
+        return Row(ip=key[0], start=state[0], requests=state[1])
+
+    def step(self, key: tuple, state: tuple | None, us: int, order: str) -> tuple[tuple | None, list[Row]]:
+        if state is not None and us < state[0] + self.width:
+            return (state[0], state[1] + 1), []
+        return (us, 1), [] if state is None else [self._closed(key, state)]
+
+    def rest(self, key: tuple, state: tuple | None, until: int) -> tuple[tuple | None, list[Row], int | None]:
+        if state is None:
+            return None, [], None
+        if state[0] + self.width <= until:
+            return None, [self._closed(key, state)], None
+        return state, [], state[0] + self.width
+
+
+def anchored_stream(requests: DataFrame, window: str, late: str) -> DataFrame:
+    """``anchored_windows`` of a stream: each window once, when the watermark has passed its end."""
+    ship(requests.sparkSession)
+    kind = requests.schema["ip"].dataType.simpleString()
+    out = folded(requests, "ip", late, F.lit(""), _Anchored(micros(window)), f"ip {kind}, start long, requests long")
+    return out.select("ip", F.timestamp_micros("start").alias("window_start"), "requests")
+
+
 def intake(spark: SparkSession, drop: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Audits what has arrived in a folder of staged files since the last call; returns the finished query."""
     rows = spark.readStream.schema(schema).parquet(drop)
