@@ -157,9 +157,9 @@ def test_memory_of_the_word_encoder():
     enc = packing.WordEncoder(catalog.vocabulary("word_bpe_49k.json"))
     for k in range(40):
         enc.ids([hashlib.sha256(f"{k} {j}".encode()).hexdigest() * 8 for j in range(50)])
-    assert not enc.known and enc.chars == sum(map(len, enc.spelled)) < 10_000  # parts between digits
+    assert not enc.known and enc.known_chars == 0 and enc.spelled_chars == sum(map(len, enc.spelled)) < 10_000  # parts between digits
     enc.ids([" ".join(map(str, range(1000)))])
-    assert enc.chars == sum(map(len, enc.known)) + sum(map(len, enc.spelled))
+    assert enc.known_chars == sum(map(len, enc.known)) and enc.spelled_chars == sum(map(len, enc.spelled))
 
 
 @pytest.mark.parametrize(

@@ -22,6 +22,7 @@ import json
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +39,8 @@ from tracewarden.llm.common import materialize, ship
 SIZE = 4096
 #: Lengths among which a turn chooses; how fast a worth falls; what a whole sequence's length is worth beyond its share; shares of coverage from which the rest is tried by best fit.
 CANDIDATES, FALL, PREMIUM, SHARES = 160, 0.1, 0.01, (0.5, 0.7, 0.8, 0.9, 1.0)
-#: Characters of segments and words that one worker remembers (some 20 bytes each with their ids); longest of them; bytes of text encoded at once.
-KEPT, LONGEST, SLICE = 14_000_000, 64, 1 << 21
+#: Characters of segments, and of words, that one worker remembers (some 20 bytes each with their ids); longest of them; bytes of text encoded at once.
+KEPT, LONGEST, SLICE = 9_000_000, 64, 1 << 21
 
 
 def _missing(lists: list[list[str]], known: dict[str, bytes]) -> set[str]:
@@ -83,7 +84,7 @@ class WordEncoder:
         self.gap = re.compile("[ \t\r\n]+")
         self.known: dict[str, bytes] = {}
         self.spelled: dict[str, bytes] = {}
-        self.chars = 0
+        self.known_chars = self.spelled_chars = 0
 
     def _spell(self, words: list[str]) -> None:
         """Adds the ids of words, each of which ends with the only token that ends a word."""
@@ -96,26 +97,34 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         """Adds the ids of segments."""
         odd = list(filter(self.odd.search, new))
-        plain = new.difference(odd)
-        cut = [self.parts(s.lower()) for s in plain]
-        words = _missing(cut, self.spelled)
+        plain = list(new.difference(odd))
+        lower = list(map(str.lower, plain))
+        # a segment of letters is one word, and one with another character at its end is two; the rest is parted by the pattern
+        word = list(map(str.isalpha, lower))
+        rest = [(s, (x[:-1], x[-1]) if x[:-1].isalpha() and not x[-1].isspace() else self.parts(x)) for s, x, w in zip(plain, lower, word, strict=True) if not w]
+        words = set(compress(lower, word)).union(*(c for _, c in rest)).difference(self.spelled)
+        if self.spelled_chars > KEPT:
+            self.spelled, self.spelled_chars = {}, 0
+            words = set(compress(lower, word)).union(*(c for _, c in rest))
         self._spell(sorted(words))
         get = self.spelled.__getitem__
-        self.known.update((s, b"".join(map(get, c))) for s, c in zip(plain, cut, strict=True))
+        self.known.update(zip(compress(plain, word), map(get, compress(lower, word)), strict=True))
+        self.known.update((s, b"".join(map(get, c))) for s, c in rest)
         if odd:
             self.known.update((s, np.array(e.ids, self.kind).tobytes()) for s, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        self.chars += sum(map(len, new)) + sum(map(len, words))
+        self.known_chars += sum(map(len, new))
+        self.spelled_chars += sum(map(len, words))
         for w in words:
             if len(w) > LONGEST:  # of use once
                 del self.spelled[w]
-                self.chars -= len(w)
+                self.spelled_chars -= len(w)
 
     def _cut(self, text: str) -> list[str]:
         return self.gap.split(text) if self.odd.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > KEPT:
-            self.known, self.spelled, self.chars = {}, {}, 0
+        if self.known_chars > KEPT:
+            self.known, self.known_chars = {}, 0
         with _uncollected():
             cut = list(map(self._cut, texts))
             new = _missing(cut, self.known)
@@ -124,7 +133,7 @@ class WordEncoder:
         for s in new:
             if len(s) > LONGEST:  # of use once
                 del self.known[s]
-                self.chars -= len(s)
+                self.known_chars -= len(s)
         return out
 
     def stretches(self, text: str, most: int = SLICE) -> Iterator[str]:
