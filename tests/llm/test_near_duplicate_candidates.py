@@ -60,3 +60,58 @@ def test_pairs_are_compared_in_their_first_bucket():
     assert near_duplicates._links_within(ids, apart, block, words, [[], [], []]) == [(0, 1), (0, 2)]
     assert near_duplicates._links_within(ids, apart, block, words, [[8], [8], [9]]) == [(0, 2), (1, 2)]
     assert near_duplicates._links_within(ids, apart, block, words, [[8, 9], [8, 9], [9]]) == []
+
+
+def test_rare_tokens_of_similar_texts_meet():
+    """For any order of tokens: what ``rarest`` gives of two similar texts has as many in common as it says."""
+    r, met = random.Random(5), Counter()
+    for _ in range(4000):
+        n, vocabulary = r.randrange(5, 60), r.choice([3, 30, 10**6])
+        a = [r.randrange(vocabulary) for _ in range(n)]
+        b = a[:]
+        for _ in range(r.randrange(0, n // 4 + 2)):
+            i, what = r.randrange(len(b)), r.choice("rdi")
+            b[i : i + (what != "i")] = [] if what == "d" and len(b) > 5 else [r.randrange(vocabulary)]
+        x, y = np.array(a, "u4"), np.array(b, "u4")
+        if not near_duplicates.similar(x, y):
+            continue
+        seen = np.array([r.randrange(4) for _ in range(64)], "u4")
+        for gram in near_duplicates.GRAMS:
+            (s, k), (t, m) = near_duplicates.rarest(x, gram, seen), near_duplicates.rarest(y, gram, seen)
+            assert len(set(s.tolist())) == len(s) and len(set(s.tolist()) & set(t.tolist())) >= min(k, m)
+            met[gram] += 1
+    assert min(met.values()) > 1000
+
+
+def compared(spark, rows, monkeypatch):
+    """The classes, and how many members are left to be compared bucket by bucket."""
+    left, whole = [], near_duplicates._compared
+    monkeypatch.setattr(near_duplicates, "_compared", lambda rest, classes: (left.append(rest.select("node").distinct().count()), whole(rest, classes))[1])
+    got = near_duplicates.groups(docs(spark, rows)).collect()
+    monkeypatch.setattr(near_duplicates, "_compared", whole)
+    want, n = plain_groups(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter((i, c) for (i, _, _), c in zip(rows, want, strict=True))
+    return sum(left), n
+
+
+def test_unlike_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    r = random.Random(6)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join([*passage, *(f"w{r.randrange(10**9)}" for _ in range(60))]), "s") for k in range(120)]
+    # near copies of one of them, more than are frequent, and pairs that only their own words tell apart
+    rows += [(200 + k, " ".join([*passage, *rows[0][1].split()[120:170], *(f"v{k}{j}" for j in range(10))]), "s") for k in range(60)]
+    rows += [(300 + k, " ".join([*passage, *rows[k][1].split()[120:152], *(f"u{k}{j}" for j in range(28))]), "s") for k in range(1, 20)]
+    left, n = compared(spark, rows, monkeypatch)
+    assert n >= 100 and left <= 65
+
+
+def test_texts_of_frequent_words_only(spark, monkeypatch):
+    """Nothing is rare in them, so what is left is compared in blocks; the largest component isn't held against itself."""
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 4)
+    monkeypatch.setattr(near_duplicates, "MEMBERS", 8)
+    r = random.Random(7)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([*passage, *(r.choice("abcd") for _ in range(40))]), "s") for k in range(40)]
+    rows += [(100 + k, " ".join([*passage, *rows[0][1].split()[60:96], *(r.choice("abcd") for _ in range(4))]), "s") for k in range(30)]
+    left, _ = compared(spark, rows, monkeypatch)
+    assert left > 8

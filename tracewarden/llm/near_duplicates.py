@@ -6,9 +6,12 @@ smallest-hashed k-mers of ``K`` words, labelled with their occurrence number and
 two texts share a value with a probability that follows their edit similarity rather than their sets alone.
 
 Classes that share a value meet in a bucket.  Its members are held against one anchor, then, while it holds
-members of several components, against two others.  In buckets that are mixed even then all members of
-different components are compared, in pairs of blocks, so every pair that shares a value is either compared
-or already in one component.  A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
+members of several components, against two others.  Members of buckets that are mixed even then, as where many
+unlike texts share a passage, meet by their rare words: two texts within the distance of a link have in common some of the
+rarest words of each, one more than the distance can have changed (prefix filtering, exact for any order of words), and a passage
+that many share is not rare.  Where these words are frequent too, pairs of words take their place, and what is left after that
+is compared bucket by bucket, in pairs of blocks.  So every pair that shares a value is compared, can't be similar,
+or is in one component already.  A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
 alignment confined to the band of that width.  Components of links are the groups.
 """
 
@@ -31,6 +34,8 @@ K, MINIMA, SIMILAR = 5, 2, 0.8
 SKETCHES = 96
 #: Rounds of comparison with anchors, before the rest is compared in blocks: the first with the smallest member of a bucket, others with a pseudorandom one.
 ROUNDS = 3
+#: Words in a row of which a rare token is made; common tokens that are asked for; texts from which a token is frequent; cells of the histogram that orders tokens.
+GRAMS, COMMON, FREQUENT, CELLS = (1, 2), 3, 48, 1 << 18
 #: Members and words of a block in which the rest is compared; numbers to which a text's words are folded before.
 MEMBERS, HEAVY, FOLD = 512, 1 << 21, 256
 #: Words of a text up to which an alignment has one mask of all rows for each word.
@@ -266,8 +271,96 @@ def _links_within(node: np.ndarray, root: np.ndarray, block: np.ndarray, words:
     return out
 
 
-def _compared(held: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among all members of different components in each bucket of ``held`` (bucket, node, root) that has several."""
+def tokens(words: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, kind) for each ``gram`` words in a row: kind stands for the words, token for them and their occurrence number."""
+    w = words.astype("u8")
+    kind = _mix(w[: len(w) - gram + 1] + _ODD[gram])
+    for j in range(1, gram):
+        kind = _mix(kind * _ODD[2] + w[j : len(w) - gram + 1 + j])
+    order = np.argsort(kind, kind="stable")
+    s = kind[order]
+    at = np.arange(len(s))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else at, 0, at))
+    token = np.empty_like(kind)
+    token[order] = _mix(s + (at - begin).astype("u8") * _ODD[3])
+    return token, kind
+
+
+def rarest(words: np.ndarray, gram: int, seen: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest tokens of a text, and how many of them it has in common with any text that is similar.
+
+    One edit changes at most ``gram`` of them, so of all but a fifth times ``gram`` of its length are common; of the COMMON
+    smallest common ones, in any order of tokens, each is among the first COMMON more than that.
+    """
+    token, kind = tokens(words, gram)
+    changed = int(np.floor((1 - SIMILAR) * gram * len(words) + 1e-9))
+    common = max(1, min(COMMON, len(token) - changed))
+    if len(token) <= changed + common:
+        return token, common
+    order = np.lexsort((token, seen[kind % np.uint64(len(seen))]))
+    return token[order[: changed + common]], common
+
+
+def _histogram(members: DataFrame, gram: int) -> np.ndarray:
+    """How often tokens of each cell occur in the texts of ``members``: as many numbers as there are cells, whatever the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, "i8")
+        for batch in batches:
+            for w in batch.column(0):
+                kind = tokens(np.frombuffer(w.as_buffer(), "<u4"), gram)[1]
+                np.add.at(n, (kind % np.uint64(CELLS)).astype("i8"), 1)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    rows = members.select("words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(CELLS, "i8")
+    seen[rows["cell"].to_numpy("i8")] = rows["n"].to_numpy("i8")
+    return np.minimum(seen, (1 << 32) - 1).astype("u4")
+
+
+def _by_rare_tokens(members: DataFrame, texts: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(links, rest) among ``members`` (node, root, size, words): all links but those of two members that both are in ``rest`` (node)."""
+    sent = members.sparkSession.sparkContext.broadcast(_histogram(members, gram))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [rarest(np.frombuffer(w.as_buffer(), "<u4"), gram, sent.value) for w in part.column(3)]
+                n = [len(t) for t, _ in found]
+                if sum(n):
+                    own = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in found]).view("i8")), *own, pa.array(np.repeat([c for _, c in found], n), pa.int32())], ["token", "node", "root", "size", "common"])
+
+    made = members.select("node", "root", "size", "words").mapInArrow(run, "token long, node long, root long, size long, common int")
+    posted = materialize(made, "posted")
+    held = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "n")
+    held = materialize(held, "tokens")
+    rest = materialize(posted.join(held.where(F.col("n") > FREQUENT).select("token").hint("merge"), "token", "left_semi").select("node").distinct(), "rest-nodes")
+    few = posted.join(held.where(F.col("n") <= FREQUENT).select("token").hint("merge"), "token", "left_semi")
+    a, b = (few.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "common"))) for x in "ab")
+    near = (F.col("size_a") * SIMILAR <= F.col("size_b") + 1e-6) & (F.col("size_b") * SIMILAR <= F.col("size_a") + 1e-6)
+    met = a.join(b.hint("merge"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("common_a", "common_b")).alias("least")).where("n >= least")
+    pairs = materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    links = materialize(_verified(pairs, texts), "links")
+    release(posted, held, pairs)
+    return links, rest
+
+
+def _mixed(held: DataFrame) -> DataFrame:
+    """The rows of ``held`` (bucket, node, root) in buckets of several components."""
+    mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return materialize(held.join(materialize(mixed, "mixed").hint("merge"), "bucket"), "mixed-rows")
+
+
+def _compared(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among all members of different components in each bucket of ``rest`` (bucket, node, root).
+
+    The largest component of a bucket, which may be nearly all of it, is not held against itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -289,21 +382,49 @@ def _compared(held: DataFrame, classes: DataFrame) -> DataFrame:
                 rows.append(row)
         yield from finish()
 
-    mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rest = held.join(materialize(mixed, "mixed").hint("merge"), "bucket")
     rest = materialize(rest.join(classes.select("node", "size").hint("merge"), "node"), "rest")
     own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / HEAVY)).cast("int")
-    sizes = materialize(rest.groupBy("bucket").agg(blocks.alias("blocks")), "blocks")
-    rest = rest.join(sizes.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    per = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = per.groupBy("bucket").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / MEMBERS), F.ceil(size / HEAVY), F.lit(1)).cast("int")
+    many, others = blocks(F.col("main.n"), F.col("main.size")), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    sizes = materialize(sizes.select("bucket", F.col("main.root").alias("main"), many.alias("many"), others.alias("others")), "blocks")
+    rest = rest.join(sizes.hint("merge"), "bucket")
+    # blocks below zero are of the largest component; each of them meets those of the others, which meet one another too
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rest = rest.withColumn("block", F.when(F.col("root") == F.col("main"), -1 - at(F.col("many"))).otherwise(at(F.col("others"))))
+    rest = rest.withColumn("k", F.explode(F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("many"), F.col("others") - 1))))
     rest = rest.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
     texts = materialize(own.join(classes.select("node", "words").hint("merge"), "node"), "rest-texts")
     rest = rest.join(texts.hint("merge"), "node").select("bucket", "i", "j", "node", "root", "block", "own", "words")
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rest.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _rest_joined(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` after all links of members (bucket, node) of buckets that are still mixed."""
+    of = lambda: materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
+    held = of()
+    rest = _mixed(held)
+    release(held)
+    wanted = rest.select("node").distinct()
+    for gram in GRAMS:
+        texts = materialize(classes.join(wanted.hint("merge"), "node", "left_semi"), "wanted")
+        if texts.isEmpty():
+            release(texts)
+            return roots
+        links, wanted = _by_rare_tokens(graph.rooted(texts, "node", roots, "root"), texts, gram)
+        roots = graph.merge(roots, links)
+        release(texts, links)
+    # of the rest all buckets are gone through, with the components that there are now
+    held = of()
+    rest = _mixed(held.join(wanted.hint("merge"), "node", "left_semi").select("bucket", "node", "root"))
+    links = materialize(_compared(rest, classes), "links")
+    roots = graph.merge(roots, links)
+    release(held, rest, links)
+    return roots
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, class_id, kept): a row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -337,10 +458,8 @@ def groups(docs: DataFrame) -> DataFrame:
         roots = graph.merge(roots, links)
         release(pairs, links, *spent)
         spent.clear()
-    held = materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
-    links = materialize(_compared(held, classes), "links")
-    roots = graph.merge(roots, links)
-    release(members, classes, held, links)
+    roots = _rest_joined(members, classes, roots)
+    release(members, classes)
     out = materialize(graph.rooted(rows.select("doc_id", "text_hash", "node"), "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
     release(rows, roots)
     best = materialize(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("best")), "best")
