@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from test_llm_rows import docs, plain_groups
 
 from tracewarden.llm import near_duplicates
@@ -83,6 +84,24 @@ def test_rare_tokens_of_similar_texts_meet():
     assert min(met.values()) > 1000
 
 
+def test_tokens_are_met_in_any_batches(monkeypatch):
+    r = random.Random(1)
+    for _ in range(200):
+        most, step = r.choice([2, 4, 6]), r.choice([1, 3, 7, 100])
+        monkeypatch.setattr(near_duplicates, "FREQUENT", most)
+        rows = sorted((r.randrange(-6, 6), r.randrange(1000), r.randrange(4), r.randrange(50, 100), r.randrange(1, 4)) for _ in range(r.randrange(1, 90)))
+        want = []
+        for t in sorted({x[0] for x in rows}):
+            g = [x[1:] for x in rows if x[0] == t]
+            if len(g) > most:
+                want += [(n, None, None, t, root) for n, root, _, _ in g]
+            else:
+                want += [(min(a[0], b[0]), max(a[0], b[0]), min(a[3], b[3]), None, None) for i, a in enumerate(g) for b in g[i + 1 :] if a[1] != b[1] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2]) - 1e-6]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + step], strict=True), [pa.int64()] * 4 + [pa.int32()], strict=True)], ["token", "node", "root", "size", "common"]) for i in range(0, len(rows), step)]
+        got = [tuple(x.values()) for b in near_duplicates._met(iter(batches)) for x in b.to_pylist()]
+        assert Counter(got) == Counter(want)
+
+
 def compared(spark, rows, monkeypatch):
     """The classes, and how many members are left to be compared bucket by bucket."""
     left, whole = [], near_duplicates._compared

@@ -334,22 +334,78 @@ def _by_rare_tokens(members: DataFrame, texts: DataFrame, gram: int) -> tuple[Da
                     own = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in found]).view("i8")), *own, pa.array(np.repeat([c for _, c in found], n), pa.int32())], ["token", "node", "root", "size", "common"])
 
-    made = members.select("node", "root", "size", "words").mapInArrow(run, "token long, node long, root long, size long, common int")
-    posted = materialize(made, "posted")
-    held = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "n")
-    held = materialize(held, "tokens")
-    rest = materialize(posted.join(held.where(F.col("n") > FREQUENT).select("token").hint("merge"), "token", "left_semi").select("node").distinct(), "rest-nodes")
-    few = posted.join(held.where(F.col("n") <= FREQUENT).select("token").hint("merge"), "token", "left_semi")
-    a, b = (few.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "common"))) for x in "ab")
-    near = (F.col("size_a") * SIMILAR <= F.col("size_b") + 1e-6) & (F.col("size_b") * SIMILAR <= F.col("size_a") + 1e-6)
-    met = a.join(b.hint("merge"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    pairs = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("common_a", "common_b")).alias("least")).where("n >= least")
-    pairs = materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    posted = members.select("node", "root", "size", "words").mapInArrow(run, "token long, node long, root long, size long, common int")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(posted.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_met, "a long, b long, least int, token long, root long"), "met")
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    pairs = materialize(pairs, "pairs")
     links = materialize(_verified(pairs, texts), "links")
-    release(posted, held, pairs)
+    frequent = met.where("b is null")
+    mixed = frequent.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    rest = materialize(frequent.join(mixed.hint("merge"), "token", "left_semi").select(F.col("a").alias("node")).distinct(), "rest-nodes")
+    release(met, pairs)
     return links, rest
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node, root, size, common) in the order of tokens: the pairs that can be linked of each token that few have, and (a, -, -, token, root) for each text that has a frequent one."""
+    names = ["a", "b", "least", "token", "root"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    held, frequent = None, None
+
+    def told(*columns: np.ndarray | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    def paired(rows: list[np.ndarray], first: np.ndarray, n: int) -> pa.RecordBatch | None:
+        """Pairs of the tokens that have ``n`` rows each, the first of them at ``first``."""
+        _, node, root, size, common = rows
+        i, j = np.triu_indices(n, 1)
+        x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+        ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= SIMILAR * np.maximum(size[x], size[y]) - 1e-6)
+        x, y = x[ok], y[ok]
+        return told(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(common[x], common[y]), None, None) if len(x) else None
+
+    def finish(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token = rows[0]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.append(first, len(token)))
+        for k in np.unique(n[(n > 1) & (n <= FREQUENT)]).tolist():
+            found = paired(rows, first[n == k], k)
+            if found is not None:
+                yield found
+        many = np.repeat(n > FREQUENT, n)
+        if many.any():
+            yield told(rows[1][many], None, None, token[many], rows[2][many])
+
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in range(5)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        token = rows[0]
+        if frequent is not None:  # a frequent token goes on
+            to = int(np.searchsorted(token, frequent, "right")) if token[0] == frequent else 0
+            if to:
+                yield told(rows[1][:to], None, None, token[:to], rows[2][:to])
+                rows = [x[to:] for x in rows]
+                token = rows[0]
+            if not len(token):
+                held = None
+                continue
+            frequent = None
+        # the last token may go on in the next batch
+        at = int(np.searchsorted(token, token[-1]))
+        if len(token) - at > FREQUENT:
+            yield told(rows[1][at:], None, None, token[at:], rows[2][at:])
+            frequent, held = token[-1], None
+        else:
+            held = [x[at:] for x in rows]
+        if at:
+            yield from finish([x[:at] for x in rows])
+    if held is not None:
+        yield from finish(held)
+
+
 def _mixed(held: DataFrame) -> DataFrame:
     """The rows of ``held`` (bucket, node, root) in buckets of several components."""
     mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
