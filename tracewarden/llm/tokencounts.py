@@ -33,8 +33,8 @@ from tracewarden.llm.common import ship
 
 #: Characters in a chunk; bytes from which a text is dealt in chunks; maps composed in one run.
 CHUNK, LONG, RUN = 1 << 15, 1 << 16, 256
-#: Segments, and states, that one worker remembers before it starts anew.
-KEPT, STATES = 500_000, 300_000
+#: Characters of segments, and states, that one worker remembers before it starts anew.
+KEPT, STATES = 6_000_000, 300_000
 #: Fixed value: white space other than blank, tab and line ends, as the patterns of vocabulary files mean it.
 _SPACE = regex.compile("[\x0b\x0c\x85\xa0  -     　]")
 _MARK, _NEVER = 256, 1 << 60
@@ -137,6 +137,7 @@ class Machine:
         self.numbers = {first: 0}
         self.go: dict[int, tuple[int, int]] = {}
         self.counted: dict[str, int] = {"": 0}
+        self.chars = 0
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of the merge that uses it up) of the tokens at one side of a token's merge tree, first the byte, last the token itself."""
@@ -221,12 +222,13 @@ class Machine:
         """Runs the machine over segments that it hasn't seen; their totals are kept as transitions over whole segments."""
         if len(self.states) > STATES:
             self._begin()
-        elif len(self.counted) > KEPT:
-            self.counted = {"": 0}
+        elif self.chars > KEPT:
+            self.counted, self.chars = {"": 0}, 0
         counted = self.counted
         for s in segments:
             if s not in counted:
                 counted[s] = self._segment(s)
+                self.chars += len(s) + 8
 
     def total(self, segments: list[str]) -> int:
         return sum(map(self.counted.__getitem__, segments))

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.common import materialize, new_path, ship
 
-#: Pieces kept between batches by one worker; a fuller cache is emptied, so its memory is bounded.
-CACHED = 1_500_000
+#: Characters of pieces kept between batches by one worker; a fuller cache is emptied, so its memory is bounded.
+CACHED = 20_000_000
 #: The white space that, next to other white space or other than blank and line feed, sends a text to the library whole.
 _WHOLE = ("  ", " \n", "\n ", "\n\n", *map(chr, (1, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -51,6 +51,7 @@ class Encoder:
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.line = self._ids("\n")
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -64,11 +65,12 @@ class Encoder:
             packed = ids.tobytes()
             for p, a, b in zip(lines, [0, *(cuts + width).tolist()], [*cuts.tolist(), len(packed)], strict=True):
                 self.known[p] = packed[a:b]
+                self.chars += len(p) + 8
         self.known["\n"] = self.line.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if self.chars > CACHED:
+            self.known, self.chars = {}, 0
         get, parts, gaps = self.known.get, [], []
         for t in texts:
             t = t or ""
