@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm import graph
-from tracewarden.llm.common import materialize, packed, release, ship
+from tracewarden.llm.common import forget, materialize, packed, release, ship
 
 K, MINIMA, SIMILAR = 5, 2, 0.8
 #: Values of a sketch.  Of pairs with one word in five replaced at random places, 94 in 100 share one of 96 (65 one of 32).
@@ -472,6 +472,7 @@ def _rest_joined(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
         links, wanted = _by_rare_tokens(graph.rooted(texts, "node", roots, "root"), texts, gram)
         roots = graph.merge(roots, links)
         release(texts, links)
+        forget(classes.sparkSession)
     # of the rest all buckets are gone through, with the components that there are now
     held = of()
     rest = _mixed(held.join(wanted.hint("merge"), "node", "left_semi").select("bucket", "node", "root"))
@@ -514,6 +515,7 @@ def groups(docs: DataFrame) -> DataFrame:
         roots = graph.merge(roots, links)
         release(pairs, links, *spent)
         spent.clear()
+        forget(docs.sparkSession)
     roots = _rest_joined(members, classes, roots)
     release(members, classes)
     out = materialize(graph.rooted(rows.select("doc_id", "text_hash", "node"), "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
