@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import ship
 
-__all__ = ["NOT_WORD", "at_most", "forget", "materialize", "new_path", "packed", "release", "setting", "shared_dir", "shingles", "ship", "table", "words"]
+__all__ = ["NOT_WORD", "at_most", "materialize", "new_path", "packed", "release", "setting", "shared_dir", "shingles", "ship", "table", "words"]
 
 #: Fixed value: lower-cased runs of letters and digits are the words of every operator on shingles.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -62,10 +62,14 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """``df`` written once as Parquet, with the writer's ``options``, to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """``df`` written once as Parquet, with the writer's ``options``, to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Spark deletes the shuffle files of the query once it has ended, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.options(**options).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -90,14 +94,6 @@ def release(*dfs: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that nothing refers to any more, which it does when the driver's JVM collects its garbage.
-
-    For operators of many steps: a driver with memory to spare would keep all their shuffles until the end.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def at_most(df: DataFrame, step: Column, most: int, size: Column | None = None, room: int = 0) -> DataFrame:
     """The rows of the highest steps, at most ``most`` and, if there is a ``size``, at most ``room`` in all; rows of one step are in or out together.
 
