@@ -492,6 +492,8 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = materialize(worded(docs), "worded")
     classes = rows.groupBy("node").agg(F.min_by("words", "text_hash").alias("words"))
     classes = materialize(classes.withColumn("size", (F.octet_length("words") / 4).cast("long")), "classes")
+    worded_rows, rows = rows, materialize(rows.select("doc_id", "text_hash", "node"), "rows")  # from here on classes hold the words
+    release(worded_rows)
     by_bucket = Window.partitionBy("bucket")
     slots = sketched(classes).withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn("anchor", F.min("node").over(by_bucket))
     members = materialize(slots.where("n > 1").select("bucket", "node", "anchor"), "members")
@@ -516,7 +518,7 @@ def groups(docs: DataFrame) -> DataFrame:
         spent.clear()
     roots = _rest_joined(members, classes, roots)
     release(members, classes)
-    out = materialize(graph.rooted(rows.select("doc_id", "text_hash", "node"), "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
+    out = materialize(graph.rooted(rows, "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
     release(rows, roots)
     best = materialize(out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("best")), "best")
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
