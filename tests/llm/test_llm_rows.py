@@ -326,6 +326,22 @@ def plain_distance(a, b):
     return p[-1]
 
 
+def test_a_shift_is_never_less_than_the_distance():
+    rnd = random.Random(7)
+    met = 0
+    for _ in range(400):
+        a = [rnd.randrange(6) for _ in range(rnd.randrange(14))]
+        b = [x for x in a if rnd.random() > 0.1] + [rnd.randrange(6)] * rnd.randrange(2) if rnd.random() < 0.7 else [rnd.randrange(6) for _ in range(rnd.randrange(14))]
+        want, got = plain_distance(a, b), near_duplicates.one_shift(np.array(a, "u4"), np.array(b, "u4"))
+        assert got >= want
+        met += got == want
+        longer = max(len(a), len(b))
+        assert near_duplicates.similar(np.array(a, "u4"), np.array(b, "u4")) == (want <= int(0.2 * longer + 1e-9))
+    assert met > 100
+    a = np.arange(100, dtype="u4")
+    assert near_duplicates.one_shift(a, np.delete(a, [40, 41])) == 2 and near_duplicates.one_shift(a, a) == 0
+
+
 def test_banded_distance():
     r = random.Random(5)
     for _ in range(400):

@@ -172,6 +172,17 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(at, most + 1)
 
 
+def one_shift(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edit distance: words held against each other from the start up to a place and from the end after it, the best place taken."""
+    m = min(len(a), len(b))
+    if not m:
+        return max(len(a), len(b))
+    left = np.cumsum(a[:m] != b[:m])  # mismatches of the first k words, k from 1
+    right = np.cumsum((a[len(a) - m :] != b[len(b) - m :])[::-1])[::-1]  # of the last m - k words, k from 0
+    best = min(int(left[-1]), int(right[0]), int((left[:-1] + right[1:]).min()) if m > 1 else m)
+    return best + abs(len(a) - len(b))
+
+
 def similar(a: np.ndarray, b: np.ndarray, share: float = SIMILAR) -> bool:
     """Whether the edit similarity 1 - distance / longer length is at least ``share``."""
     longer = max(len(a), len(b))
@@ -187,7 +198,7 @@ def similar(a: np.ndarray, b: np.ndarray, share: float = SIMILAR) -> bool:
     extra = np.add.reduceat(sign, starts) if len(s) else sign
     if max(extra[extra > 0].sum(), -extra[extra < 0].sum()) > most:
         return False
-    return distance(a, b, most) <= most
+    return one_shift(a, b) <= most or distance(a, b, most) <= most
 
 
 def worded(docs: DataFrame) -> DataFrame:
