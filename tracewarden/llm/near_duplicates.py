@@ -34,8 +34,9 @@ K, MINIMA, SIMILAR = 5, 2, 0.8
 SKETCHES = 96
 #: Rounds of comparison with anchors, before the rest is compared in blocks: the first with the smallest member of a bucket, others with a pseudorandom one.
 ROUNDS = 3
-#: Words in a row of which a rare token is made; common tokens that are asked for; texts from which a token is frequent; cells of the histogram that orders tokens.
-GRAMS, COMMON, FREQUENT, CELLS = (1, 2), 3, 48, 1 << 18
+#: Words in a row of which a rare token is made; common tokens that are asked for at least, and one more for so many that may have changed;
+#: texts from which a token is frequent; cells of the histogram that orders tokens.
+GRAMS, COMMON, MORE, FREQUENT, CELLS = (1, 2), 3, 8, 48, 1 << 18
 #: Members and words of a block in which the rest is compared; numbers to which a text's words are folded before.
 MEMBERS, HEAVY, FOLD = 512, 1 << 21, 256
 #: Words of a text up to which an alignment has one mask of all rows for each word.
@@ -300,12 +301,13 @@ def tokens(words: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
 def rarest(words: np.ndarray, gram: int, seen: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest tokens of a text, and how many of them it has in common with any text that is similar.
 
-    One edit changes at most ``gram`` of them, so of all but a fifth times ``gram`` of its length are common; of the COMMON
-    smallest common ones, in any order of tokens, each is among the first COMMON more than that.
+    One edit changes at most ``gram`` of them, so of all but a fifth times ``gram`` of its length are common; of the n
+    smallest common ones, in any order of tokens, each is among the first n more than that.  Long texts have many rare tokens
+    of which unlike ones share a few by chance, so n grows with them.
     """
     token, kind = tokens(words, gram)
     changed = int(np.floor((1 - SIMILAR) * gram * len(words) + 1e-9))
-    common = max(1, min(COMMON, len(token) - changed))
+    common = max(1, min(max(COMMON, changed // MORE), len(token) - changed))
     if len(token) <= changed + common:
         return token, common
     order = np.lexsort((token, seen[kind % np.uint64(len(seen))]))
