@@ -48,12 +48,16 @@ def _joined(rows: DataFrame) -> DataFrame:
     return g.select("skill_id", "file_path", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content"))
 
 
-def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose lines are snippets, one for each order."""
+def code(spark: SparkSession, sf_dir: str, parted: bool = False) -> DataFrame:
+    """Files whose lines are snippets, one for each order; ``parted`` makes each line of Python a file, so that one that doesn't parse spoils no other."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     rows = o.select("o_orderkey", F.concat(F.lit("s"), F.expr(f"o_custkey div {EACH}").cast("string")).alias("skill_id"), _pick(PATHS, F.col("o_orderkey")).alias("file_path"), _pick(SNIPPETS, F.col("o_orderkey") * 7 + F.col("o_custkey")).alias("line"))
     w = Window.partitionBy("skill_id", "file_path").orderBy("o_orderkey")
-    return from_texts(_joined(rows.withColumn("line_no", F.row_number().over(w))))
+    rows = rows.withColumn("line_no", F.row_number().over(w))
+    if parted:
+        own = F.concat(F.lit("l"), F.col("line_no").cast("string"), F.lit(".py"))
+        rows = rows.withColumn("file_path", F.when(F.col("file_path").endswith(".py"), own).otherwise(F.col("file_path")))
+    return from_texts(_joined(rows))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +90,8 @@ def skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_texts(s.select("skill_id", F.lit("SKILL.md").alias("file_path"), text.alias("content")))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code(spark, sf_dir).unionByName(manifests(spark, sf_dir)).unionByName(skill_files(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str, parted: bool = False) -> DataFrame:
+    return code(spark, sf_dir, parted).unionByName(manifests(spark, sf_dir)).unionByName(skill_files(spark, sf_dir))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

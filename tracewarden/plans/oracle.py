@@ -136,7 +136,35 @@ def _credentials(rows: str) -> str:
     return " union all ".join(parts)
 
 
+#: All lines of the whole corpus under the name of those of its code, each line of Python a file.
+WHOLE = f"""code as (select *, {SUFFIX} as suffix from (with {CODE.replace('code as', 'own as', 1)}, {MANIFEST}, {SKILLS}
+  select skill_id, case when suffix = '.py' then 'l' || line_no || '.py' else file_path end as file_path, case when suffix = '.py' then 1 else line_no end as line_no, line from own
+  union all select skill_id, file_path, line_no, line from manifest
+  union all select skill_id, 'package.json', 1, {_list(D.NPM)}[k % {len(D.NPM)} + 1] from skill
+  union all select skill_id, 'setup.py', 1, {_list(D.SETUP)}[k % {len(D.SETUP)} + 1] from skill
+  union all select skill_id, 'SKILL.md', n, case n when 1 then '---' when 3 then '# ' || title when 5 then phrase else '' end from skill_md, range(1, 6) r(n)))"""
+#: Detectors that judge lines, by the queries that run them; the severity where a query doesn't tell it.
+LINEWISE = {"regex_rules_obfs": "severity", "ast_calls": "severity", "first_pattern_wins": "severity", "whole_file_rule": "severity", "credential_lines": "severity", "dep_runtime": "severity", "network_raw_ip": "severity", "network_ordered": "severity", "network_domain": "'critical'", "exfil_lookahead": "'critical'"}
+
+
+def _audit(sql: dict[str, str]) -> str:
+    """The verdict on each skill: what the detectors' own SQL finds in the lines of the whole corpus, in its manifests and in names, added up."""
+    found = [f"select skill_id, {severity} as severity from ({sql[k].replace(CODE, WHOLE, 1)}) where skill_id like 's%'" for k, severity in LINEWISE.items()]
+    found += [f"select skill_id, severity from ({v})" for k, v in sql.items() if k.startswith("dep_") and k != "dep_runtime"]
+    found.append(f"select skill_id, unnest(case rule_id when 'PERM_000' then ['high', 'medium'] else [severity] end) from ({sql['permission_violation']})")  # nor has such a skill a name
+    found.append(f"select 's' || -skill_id, 'high' from ({sql['typosquat_names']}) where skill_id <= 0")
+    weight = "case severity " + " ".join(f"when '{k}' then {v}" for k, v in R.WEIGHTS.items()) + " end"
+    return f"""with f as ({' union all '.join(found)}), s as (select skill_id, cast(sum({weight}) as bigint) as sc, count(*) as n from f group by 1),
+every as (with {WHOLE} select distinct skill_id from code)
+select skill_id, n is null as passed, coalesce(sc, 0) as risk_score, {LEVEL('coalesce(sc, 0)')} as risk_level, coalesce(n, 0) as total_findings from every left join s using (skill_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {"audit_reports": _audit(found)}
+
+
+def _oracle_sql() -> dict[str, str]:
     perm = " union all ".join(f"select {q(k)} as permission, skill_id, file_path, line_no from all_lines where {_any('line', p)}" for k, p in R.BEHAVIOUR.items())
     said = " union all ".join(f"select skill_id, {q(k)} as permission from skill_md where " + " or ".join(f"contains(lower('---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || phrase || chr(10)), {q(p)})" for p in ps) for k, ps in R.RESTRICTIONS.items())
     manifest_text = f"select skill_id, file_path, line_no, line, {SUFFIX} as suffix from manifest"

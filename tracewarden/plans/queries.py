@@ -285,8 +285,8 @@ def status_log(spark, d):
 
 
 def audit_reports(spark, d):
-    """The whole audit of the derived corpus: the verdict on each skill."""
-    return audit.audit(staged(derived.corpus(spark, d)))[1]  # every detector reads the files
+    """The whole audit of the derived corpus, each line of Python a file: the verdict on each skill."""
+    return audit.audit(staged(derived.corpus(spark, d, parted=True)))[1]  # every detector reads the files
 
 
 def audit_documents(spark, d):
