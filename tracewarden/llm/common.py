@@ -77,7 +77,7 @@ def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
 
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session for the queries that run inside."""
+    """A setting of the session for the queries that run inside; another thread's queries in the same session would see it too."""
     before = spark.conf.get(name)
     spark.conf.set(name, value)
     try:
