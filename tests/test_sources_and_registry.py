@@ -246,3 +246,13 @@ def test_name_neighbours(spark):
 
     want = sorted(tuple(x) for x in skill_rules.look_alikes(skills).collect())
     assert want and sorted(tuple(x) for x in skill_rules.look_alikes_among(skills, df(rules.KNOWN_SKILLS, "known")).collect()) == want
+
+
+def test_variants_of_names_are_not_broadcast(spark):
+    from tracewarden.operators import similar_names
+
+    names = spark.range(3000).selectExpr("concat('plain-name-', id) as name")  # a few bytes a name to the planner, a hundred variants each
+    near = similar_names.neighbours(names, names.withColumnRenamed("name", "known"))
+    assert near.where("name = 'plain-name-7'").count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

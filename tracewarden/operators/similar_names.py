@@ -30,9 +30,10 @@ def neighbours(names: DataFrame, known: DataFrame, most: int = MOST) -> DataFram
     """(name, known, distance) for all different texts of ``names`` (name) and ``known`` (known) that are at most ``most`` edits apart.
 
     Null names have no neighbours, repeated ones count once; equal names aren't neighbours.  Both sides may grow: each name is as many
-    rows as it has variants, about half the square of its letters.
+    rows as it has variants, about half the square of its letters.  The join sorts both: Spark takes the variants to be as few as the
+    names and would broadcast them.
     """
     a = names.where("name is not null").select("name").distinct().select("name", F.explode(variants(F.col("name"), most)).alias("v"))
     b = known.where("known is not null").select("known").distinct().select("known", F.explode(variants(F.col("known"), most)).alias("v"))
-    met = a.join(b, "v").where("name <> known").where(F.abs(F.length("name") - F.length("known")) <= most).select("name", "known").distinct()
+    met = a.join(b.hint("merge"), "v").where("name <> known").where(F.abs(F.length("name") - F.length("known")) <= most).select("name", "known").distinct()
     return met.withColumn("distance", F.levenshtein("name", "known", most)).where("distance >= 1")
