@@ -51,6 +51,22 @@ def test_anchored_windows(spark, stretch, monkeypatch):
     assert got == plain_windows([(None if k is None else f"k{k}", t) for k, t in rows], dt.timedelta(minutes=15))
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_anchored_windows_go_through_sorted_rows(spark, batch, monkeypatch):
+    """Not through groups, each of which costs more than its rows; a stretch may lie in any number of batches."""
+    monkeypatch.setattr(limits, "STRETCH", 16)
+    rows = requests(batch, 300) + [(k, T + dt.timedelta(hours=100 * k)) for k in range(100, 200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        windows = limits.anchored_windows(spark.createDataFrame(rows, "ip long, ts timestamp"), "1 hour")
+        got = {(r["ip"], r["window_start"]): r["requests"] for r in windows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain_windows(rows, dt.timedelta(hours=1))
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
 def test_decisions(spark):
     rows = [(k, ip, t) for k, (ip, t) in enumerate(requests(9))]
     got = {r["id"]: (r["nth"], r["allowed"]) for r in limits.decided(spark.createDataFrame(rows, "id long, ip long, ts timestamp"), ("1 hour", 3), "id").collect()}
