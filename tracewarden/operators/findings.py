@@ -43,11 +43,15 @@ def _count(severity: str) -> Column:
     return F.count_if(F.col("severity") == severity)
 
 
+def _verdict() -> list[Column]:
+    return [(F.col("total_findings") == 0).alias("passed"), F.col("risk_score"), risk_level(F.col("risk_score")).alias("risk_level"), F.col("total_findings")]
+
+
 def reports(skills: DataFrame, findings: DataFrame) -> DataFrame:
     """(skill_id, passed, risk_score, risk_level, total_findings) for each skill."""
     sums = findings.groupBy("skill_id").agg(F.sum(weight(F.col("severity"))).alias("risk_score"), F.count(F.lit(1)).alias("total_findings"))
     out = skills.select("skill_id").distinct().join(sums, "skill_id", "left").fillna(0, ["risk_score", "total_findings"])
-    return out.select("skill_id", (F.col("total_findings") == 0).alias("passed"), "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), "total_findings")
+    return out.select("skill_id", *_verdict())
 
 
 def summary(skills: DataFrame, findings: DataFrame) -> DataFrame:
@@ -73,14 +77,24 @@ def rollup(findings: DataFrame) -> DataFrame:
 
 
 def documents(skills: DataFrame, findings: DataFrame) -> DataFrame:
-    """(skill_id, report): the JSON document of each skill's audit, results in canonical order."""
+    """(skill_id, report): the JSON document of each skill's audit, results in canonical order.
+
+    ``findings`` may be a whole audit, so they are read once: lists, counts and weights come from one grouping.
+    """
     line = F.struct("detector", "severity", "rule_id", "description", "file_path", "line_number", "match")
-    lists = findings.groupBy("skill_id", "detector").agg(F.array_sort(F.collect_list(F.struct("file_path", "line_number", "rule_id", line.alias("f")))).alias("x"))
-    lists = lists.select("skill_id", "detector", F.transform("x", lambda x: x["f"]).alias("list"))
-    per = summary(skills, findings).join(lists, ["skill_id", "detector"], "left")
-    none = F.array().cast("array<struct<detector:string,severity:string,rule_id:string,description:string,file_path:string,line_number:int,match:string>>")
-    entry = F.struct("detector", F.struct("passed", "findings", F.struct(*WEIGHTS).alias("by_severity")).alias("summary"), F.struct("detector", "passed", F.coalesce("list", none).alias("findings")).alias("result"))
-    per = per.groupBy("skill_id").agg(F.array_sort(F.collect_list(entry)).alias("d"))
-    out = reports(skills, findings).join(per, "skill_id")
-    parts = F.struct(F.col("skill_id").alias("skill_path"), "passed", "risk_score", "risk_level", "total_findings", F.map_from_entries(F.transform("d", lambda x: F.struct(x["detector"], x["summary"]))).alias("summary"), F.transform("d", lambda x: x["result"]).alias("results"))
+    lists = F.array_sort(F.collect_list(F.struct("file_path", "line_number", "rule_id", line.alias("f")))).alias("x")
+    per = findings.groupBy("skill_id", "detector").agg(lists, F.count(F.lit(1)).alias("n"), *(_count(s).alias(s) for s in WEIGHTS), F.sum(weight(F.col("severity"))).alias("weight"))
+    entry = F.struct("detector", F.col("n").alias("findings"), F.struct(*WEIGHTS).alias("by_severity"), F.transform("x", lambda x: x["f"]).alias("list"))
+    shown = F.when(F.col("detector").isin([*DETECTORS, "runner"]), entry)
+    per = per.groupBy("skill_id").agg(F.collect_list(shown).alias("d"), F.sum("weight").alias("risk_score"), F.sum("n").alias("total_findings"))
+    found = F.coalesce("d", F.array().cast(per.schema["d"].dataType))
+    clean = F.struct(*(F.lit(0).cast("long").alias(s) for s in WEIGHTS))
+    rest = F.array_except(F.array(*map(F.lit, DETECTORS)), F.transform(found, lambda x: x["detector"]))
+    rest = F.transform(rest, lambda x: F.struct(x.alias("detector"), F.lit(0).cast("long").alias("findings"), clean.alias("by_severity"), F.array().cast(per.schema["d"].dataType.elementType["list"].dataType).alias("list")))
+    out = skills.select("skill_id").where("skill_id is not null").distinct().join(per, "skill_id", "left").fillna(0, ["risk_score", "total_findings"])
+    out = out.select("skill_id", *_verdict(), F.array_sort(F.concat(found, rest)).alias("d"))
+    passed = lambda x: (x["findings"] == 0).alias("passed")
+    summaries = F.transform("d", lambda x: F.struct(x["detector"], F.struct(passed(x), x["findings"].alias("findings"), x["by_severity"].alias("by_severity"))))
+    results = F.transform("d", lambda x: F.struct(x["detector"].alias("detector"), passed(x), x["list"].alias("findings")))
+    parts = F.struct(F.col("skill_id").alias("skill_path"), "passed", "risk_score", "risk_level", "total_findings", F.map_from_entries(summaries).alias("summary"), results.alias("results"))
     return out.select("skill_id", F.to_json(parts).alias("report"))
