@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,9 +49,48 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
+def needles(pattern: str, least: int = 3) -> list[str]:
+    """Texts of which every match contains at least one; none where the pattern doesn't tell."""
+
+    def best(items) -> list[str]:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(value)
+                continue
+            found, run = [*found, [run]], ""
+            if op is _parser.SUBPATTERN:
+                found.append(best(value[3]))
+            elif op is _parser.BRANCH:
+                each = [best(x) for x in value[1]]
+                found.append(sum(each, []) if all(each) else [])
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+                found.append(best(value[2]))
+        found = [f for f in found if f and min(map(len, f)) >= least]
+        return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=[])
+
+    try:
+        return list(dict.fromkeys(best(_parser.parse(pattern))))
+    except (re.error, OverflowError):
+        return []
+
+
+def matches(line: Column, pattern: str) -> Column:
+    """``rlike`` that looks for ``needles`` first: plain searches are far cheaper than patterns with Unicode classes, and nearly always enough."""
+    flags, plain = re.fullmatch(r"(?:\(\?([A-Za-z]+)\))?(.*)", pattern, re.DOTALL).groups()
+    words, hit = needles(plain), line.rlike(pattern)
+    if not words:
+        return hit
+    fold = "i" in (flags or "")
+    seen = [F.contains(F.lower(line), F.lit(w.lower())) if fold else F.contains(line, F.lit(w)) for w in words]
+    if fold:  # letters outside ASCII may equal ASCII ones when case is ignored
+        seen.append(F.octet_length(line) != F.char_length(line))
+    return reduce(Column.__or__, seen) & hit
+
+
 def first_match(line: Column, pattern: str) -> Column:
     """Text of the first match, cut to 80 characters; null without a match."""
-    return F.when(line.rlike(pattern), cut(F.regexp_extract(line, pattern, 0)))
+    return F.when(matches(line, pattern), cut(F.regexp_extract(line, pattern, 0)))
 
 
 def literal(pattern: str) -> str:
@@ -64,10 +105,7 @@ def literal(pattern: str) -> str:
 
 def any_of(line: Column, patterns: list[str]) -> Column:
     """Whether any of the patterns occurs, tried in order and only as far as needed."""
-    hit = line.rlike(patterns[0])
-    for p in patterns[1:]:
-        hit = hit | line.rlike(p)
-    return hit
+    return reduce(Column.__or__, [matches(line, p) for p in patterns])
 
 
 def near(name: Column, known: list[str], most: int = 2) -> Column:
