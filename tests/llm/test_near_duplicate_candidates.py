@@ -134,3 +134,52 @@ def test_texts_of_frequent_words_only(spark, monkeypatch):
     rows += [(100 + k, " ".join([*passage, *rows[0][1].split()[60:96], *(r.choice("abcd") for _ in range(4))]), "s") for k in range(30)]
     left, _ = compared(spark, rows, monkeypatch)
     assert left > 8
+
+
+def written(monkeypatch, spark, rows, what):
+    """The rows of the intermediate tables named ``what``."""
+    n, whole = [], near_duplicates.materialize
+    monkeypatch.setattr(near_duplicates, "materialize", lambda df, name, **more: (out := whole(df, name, **more), n.append(out.count()) if name == what else None)[0])
+    near_duplicates.groups(docs(spark, rows)).collect()
+    monkeypatch.setattr(near_duplicates, "materialize", whole)
+    return n
+
+
+def test_buckets_of_four_are_gone_through_by_anchors(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for k in range(10):
+        passage = [f"p{k}x{j}" for j in range(120)]
+        rows += [(4 * k + i, " ".join([*passage, *(f"w{r.randrange(10**9)}" for _ in range(60))]), "s") for i in range(4)]
+    assert written(monkeypatch, spark, rows, "wanted") == [0]
+
+
+def test_unlike_texts_of_common_words_meet_seldom(spark, monkeypatch):
+    """Words that chance brings together are no candidates: their pairs, which grow with the square of the texts, stay few."""
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join([*passage, *(f"w{r.randrange(600)}" for _ in range(100))]), "s") for k in range(240)]
+    met = written(monkeypatch, spark, rows, "met")
+    assert met and sum(met) < 4 * len(rows)
+
+
+def test_tokens_are_counted_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CELLS", 1000)
+    monkeypatch.setattr(near_duplicates, "SLICES", 7)
+    r = random.Random(10)
+    texts = [np.array([r.randrange(5000) for _ in range(r.randrange(1, 90))], "<u4") for _ in range(50)]
+    members = spark.createDataFrame([(w.tobytes(),) for w in texts], "words binary").repartition(3)
+    for gram in near_duplicates.GRAMS:
+        want = sum(np.bincount((near_duplicates.tokens(w, gram)[1] % np.uint64(1000)).astype("i8"), minlength=1000) for w in texts)
+        assert near_duplicates._histogram(members, gram).tolist() == want.tolist()
+    assert not near_duplicates._histogram(members.where("false"), 1).any()
+
+
+def test_anchors_are_different_members(spark):
+    slots = spark.createDataFrame([(b, 10 * b + i) for b in range(1, 8) for i in range(b)], "bucket long, node long")
+    got = near_duplicates._anchored(slots).collect()
+    assert Counter(r["bucket"] for r in got) == {b: b for b in range(2, 8)}
+    for r in got:
+        anchors = [r[a] for a in near_duplicates.ANCHORS if r[a] is not None]
+        assert len(set(anchors)) == len(anchors) == min(r["bucket"], near_duplicates.ROUNDS) and anchors[0] == 10 * r["bucket"]
+        assert all(a // 10 == r["bucket"] for a in anchors)

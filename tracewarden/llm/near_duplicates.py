@@ -5,11 +5,11 @@ one comparison together.  The sketch of a class has ``SKETCHES`` values; each co
 smallest-hashed k-mers of ``K`` words, labelled with their occurrence number and kept in text order, so that
 two texts share a value with a probability that follows their edit similarity rather than their sets alone.
 
-Classes that share a value meet in a bucket.  Its members are held against one anchor, then, while it holds
-members of several components, against two others.  Members of buckets that are mixed even then, as where many
-unlike texts share a passage, meet by their rare words: two texts within the distance of a link have in common some of the
-rarest words of each, one more than the distance can have changed (prefix filtering, exact for any order of words), and a passage
-that many share is not rare.  Where these words are frequent too, pairs of words take their place, and what is left after that
+Classes that share a value meet in a bucket.  Its members are held against one anchor, then, where they are of other
+components, against two others; a bucket of four is gone through by then.  Other members of buckets that are mixed even
+then, as where many unlike texts share a passage, meet by their rare pairs of words: two texts within the distance of a link have in
+common some of the rarest pairs of each, one more than the distance can have changed (prefix filtering, exact for any order of pairs), and
+a passage that many share is not rare.  Where these pairs are frequent too, single words take their place, and what is left after that
 is compared bucket by bucket, in pairs of blocks.  So every pair that shares a value is compared, can't be similar,
 or is in one component already.  A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
 alignment confined to the band of that width.  Components of links are the groups.
@@ -32,11 +32,12 @@ from tracewarden.llm.common import materialize, packed, release, ship
 K, MINIMA, SIMILAR = 5, 2, 0.8
 #: Values of a sketch.  Of pairs with one word in five replaced at random places, 94 in 100 share one of 96 (65 one of 32).
 SKETCHES = 96
-#: Rounds of comparison with anchors, before the rest is compared in blocks: the first with the smallest member of a bucket, others with a pseudorandom one.
+#: Rounds of comparison with anchors, before the rest is compared in blocks: the first with the smallest member of a bucket, others with a pseudorandom one; columns that hold them.
 ROUNDS = 3
+ANCHORS = [f"anchor_{turn}" for turn in range(ROUNDS)]
 #: Words in a row of which a rare token is made; common tokens that are asked for at least, and one more for so many that may have changed;
-#: texts from which a token is frequent; cells of the histogram that orders tokens.
-GRAMS, COMMON, MORE, FREQUENT, CELLS = (1, 2), 3, 8, 48, 1 << 18
+#: texts from which a token is frequent; cells of the histogram that orders tokens, and slices in which it is added up.
+GRAMS, COMMON, MORE, FREQUENT, CELLS, SLICES = (2, 1), 3, 8, 48, 1 << 20, 256
 #: Members and words of a block in which the rest is compared; numbers to which a text's words are folded before.
 MEMBERS, HEAVY, FOLD = 512, 1 << 21, 256
 #: Words of a text up to which an alignment has one mask of all rows for each word.
@@ -236,6 +237,20 @@ def sketched(classes: DataFrame) -> DataFrame:
     return classes.select("node", "words").mapInArrow(run, "bucket long, node long")
 
 
+def _anchored(slots: DataFrame) -> DataFrame:
+    """The rows of ``slots`` (bucket, node) in buckets of several members, with ROUNDS different members of the bucket as anchors, null where it has fewer.
+
+    The first is the smallest, so that buckets of the same members have the same.
+    """
+    by_bucket = Window.partitionBy("bucket")
+    out = slots.withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn(ANCHORS[0], F.min("node").over(by_bucket)).where("n > 1").drop("n")
+    for turn in range(1, ROUNDS):
+        other = ~F.col("node").isin(*(F.col(a) for a in ANCHORS[:turn]))
+        first = F.min(F.when(other, F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), "node"))).over(by_bucket)
+        out = out.withColumn(ANCHORS[turn], first["node"])
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b)."""
 
@@ -315,7 +330,10 @@ def rarest(words: np.ndarray, gram: int, seen: np.ndarray) -> tuple[np.ndarray,
 
 
 def _histogram(members: DataFrame, gram: int) -> np.ndarray:
-    """How often tokens of each cell occur in the texts of ``members``: as many numbers as there are cells, whatever the members."""
+    """How often tokens of each cell occur in the texts of ``members``: as many numbers as there are cells, whatever the members.
+
+    A task gives the cells that it has seen in one row for each slice, so its rows don't grow with its texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, "i8")
@@ -325,12 +343,28 @@ def _histogram(members: DataFrame, gram: int) -> np.ndarray:
                 np.add.at(n, (kind % np.uint64(CELLS)).astype("i8"), 1)
         at = np.flatnonzero(n)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+            part = at * SLICES // CELLS
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(at)).astype("i4")
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x, pa.int64())) for x in (at, n[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), *lists], ["slice", "cells", "times"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        low = lambda k: -(-k * CELLS // SLICES)  # noqa: E731  the first cell of a slice
+        for batch in batches:
+            for k, cells, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                mine = sums.setdefault(k, np.zeros(low(k + 1) - low(k), "i8"))
+                mine[cells.values.to_numpy() - low(k)] += times.values.to_numpy()
+        if sums:
+            packed = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([low(k) for k in sums], pa.int64()), pa.array(packed, pa.binary())], ["low", "sums"])
 
-    rows = members.select("words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(CELLS, "i8")
-    seen[rows["cell"].to_numpy("i8")] = rows["n"].to_numpy("i8")
-    return np.minimum(seen, (1 << 32) - 1).astype("u4")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.select("words").mapInArrow(run, "slice int, cells array<long>, times array<long>")
+    seen = np.zeros(CELLS, "u4")
+    for r in rows.repartition(parts, "slice").mapInArrow(added, "low long, sums binary").collect():
+        seen[r["low"] : r["low"] + len(r["sums"]) // 4] = np.frombuffer(r["sums"], "<u4")
+    return seen
 
 
 def _by_rare_tokens(members: DataFrame, texts: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -419,14 +453,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(held)
 
 
-def _mixed(held: DataFrame) -> DataFrame:
-    """The rows of ``held`` (bucket, node, root) in buckets of several components."""
-    mixed = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return materialize(held.join(materialize(mixed, "mixed").hint("merge"), "bucket"), "mixed-rows")
-
-
 def _compared(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among all members of different components in each bucket of ``rest`` (bucket, node, root).
+    """The links among all members of different components in each bucket of ``rest`` (bucket, node, root); buckets of one component have none.
 
     The largest component of a bucket, which may be nearly all of it, is not held against itself.
     """
@@ -452,13 +480,13 @@ def _compared(rest: DataFrame, classes: DataFrame) -> DataFrame:
         yield from finish()
 
     rest = materialize(rest.join(classes.select("node", "size").hint("merge"), "node"), "rest")
-    own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
     per = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     sizes = per.groupBy("bucket").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.greatest(F.ceil(n / MEMBERS), F.ceil(size / HEAVY), F.lit(1)).cast("int")
     many, others = blocks(F.col("main.n"), F.col("main.size")), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
-    sizes = materialize(sizes.select("bucket", F.col("main.root").alias("main"), many.alias("many"), others.alias("others")), "blocks")
-    rest = rest.join(sizes.hint("merge"), "bucket")
+    sizes = materialize(sizes.where("n > main.n").select("bucket", F.col("main.root").alias("main"), many.alias("many"), others.alias("others")), "blocks")
+    rest = materialize(rest.join(sizes.hint("merge"), "bucket"), "rest-blocks")
+    own = rest.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
     # blocks below zero are of the largest component; each of them meets those of the others, which meet one another too
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rest = rest.withColumn("block", F.when(F.col("root") == F.col("main"), -1 - at(F.col("many"))).otherwise(at(F.col("others"))))
@@ -472,25 +500,24 @@ def _compared(rest: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _rest_joined(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """``roots`` after all links of members (bucket, node) of buckets that are still mixed."""
-    of = lambda: materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
-    held = of()
-    rest = _mixed(held)
-    release(held)
-    wanted = rest.select("node").distinct()
+    of = lambda rows: materialize(graph.rooted(rows, "node", roots, "root"), "held")
+    held = of(members)
+    mixed = materialize(held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "mixed")
+    wanted = held.join(mixed.hint("merge"), "bucket", "left_semi").select("node").distinct()
     for gram in GRAMS:
         texts = materialize(classes.join(wanted.hint("merge"), "node", "left_semi"), "wanted")
         if texts.isEmpty():
-            release(texts)
+            release(texts, held, mixed)
             return roots
         links, wanted = _by_rare_tokens(graph.rooted(texts, "node", roots, "root"), texts, gram)
         roots = graph.merge(roots, links)
         release(texts, links)
     # of the rest all buckets are gone through, with the components that there are now
-    held = of()
-    rest = _mixed(held.join(wanted.hint("merge"), "node", "left_semi").select("bucket", "node", "root"))
+    release(held, mixed)
+    rest = of(members.join(wanted.hint("merge"), "node", "left_semi"))
     links = materialize(_compared(rest, classes), "links")
     roots = graph.merge(roots, links)
-    release(held, rest, links)
+    release(rest, links)
     return roots
 
 
@@ -507,28 +534,21 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = materialize(classes.withColumn("size", (F.octet_length("words") / 4).cast("long")), "classes")
     worded_rows, rows = rows, materialize(rows.select("doc_id", "text_hash", "node"), "rows")  # from here on classes hold the words
     release(worded_rows)
-    by_bucket = Window.partitionBy("bucket")
-    slots = sketched(classes).withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn("anchor", F.min("node").over(by_bucket))
-    members = materialize(slots.where("n > 1").select("bucket", "node", "anchor"), "members")
+    members = materialize(_anchored(sketched(classes)), "members")
     roots = graph.no_roots(docs.sparkSession)
-    spent: list[DataFrame] = []
     for turn in range(ROUNDS):
-        if turn:
-            held = materialize(graph.rooted(members.select("bucket", "node"), "node", roots, "root"), "held")
-            spent.append(held)
-            by = F.xxhash64("bucket", "node", F.lit(turn))
-            mixed = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), by).alias("at"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
-            mixed = materialize(mixed.select("bucket", F.col("at.node").alias("anchor"), F.col("at.root").alias("anchor_root")), "anchors")
-            spent.append(mixed)
-            pairs = held.join(mixed.hint("merge"), "bucket").where("root <> anchor_root").select("node", "anchor")
-        else:
-            pairs = members.where("node <> anchor").select("node", "anchor")
+        # those that were anchors before have been held against all others of the bucket
+        pairs = members.where(~F.col("node").isin(*(F.col(a) for a in ANCHORS[: turn + 1]))).select("node", F.col(ANCHORS[turn]).alias("anchor"))
         pairs = pairs.select(F.greatest("node", "anchor").alias("a"), F.least("node", "anchor").alias("b")).distinct()
+        if turn:
+            pairs = graph.rooted(graph.rooted(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
         pairs = materialize(pairs, "pairs")
         links = materialize(_verified(pairs, classes), "links")
         roots = graph.merge(roots, links)
-        release(pairs, links, *spent)
-        spent.clear()
+        release(pairs, links)
+    left = materialize(members.where(~F.col("node").isin(*map(F.col, ANCHORS))).select("bucket", "node"), "left")
+    release(members)
+    members = left
     roots = _rest_joined(members, classes, roots)
     release(members, classes)
     out = materialize(graph.rooted(rows, "node", roots, "root").select("doc_id", "text_hash", "root"), "rooted")
