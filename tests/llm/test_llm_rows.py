@@ -656,3 +656,15 @@ def test_mix(spark, none):
     check_mix(spark, [(1, "only", "a"), (2, prose(1, 5000), "b")])
     check_mix(spark, [(1, None, "a"), (2, "", None)])
     assert mixing.mix_report(none).isEmpty() and mixing.mixed_documents(none).isEmpty() and mixing.mixed_blocks(none).isEmpty()
+
+
+def test_lm_documents_are_named_by_a_byte(spark):
+    """Also beyond 127; n-grams carry no hash of their document, which nothing would compress."""
+    rows = spark.createDataFrame([(7 * k << 40, f"a b w{k}") for k in range(300)], "row long, text string").coalesce(1)
+    packed = lm_scores._packed(rows, np.array([], "i8"), np.array([]), 5)
+    assert packed.schema["rows"].dataType.simpleString() == "array<tinyint>"
+    grams = lm_scores.exploded(packed).select("row", "v", "w").collect()
+    own = {r["row"]: r["w"] for r in grams if r["v"] == lm_scores.DOCUMENT}
+    assert len(own) == 300 and set(own.values()) == {7 * k << 40 for k in range(300)}
+    last = {r["row"]: r["w"] for r in grams if r["v"] == lm_scores.WORD and r["w"] not in (k - (1 << 64) for k in map(lm_scores.word_key, "ab"))}
+    assert all(last[i] == lm_scores.word_key(f"w{w // 7 >> 40}") - (1 << 64) for i, w in own.items())

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def top_words(words: DataFrame, most: int | None = None) -> list:
     return sorted(at_most(words, F.floor(F.log2("c") * 16), most or BROADCAST).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
 
 
-_PACKED = "part int, rows array<long>, times array<int>, pairs array<int>, firsts array<long>, seconds array<long>, sums array<double>"
+_PACKED = "part int, bases array<long>, rows array<tinyint>, times array<int>, pairs array<int>, firsts array<long>, seconds array<long>, sums array<double>"
 
 
 def _once(doc: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -105,16 +106,22 @@ def _once(doc: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def _packed(rows: DataFrame, hashes: np.ndarray, logs: np.ndarray, parts: int) -> DataFrame:
-    """The n-grams of ``rows`` (row, text), those of several documents for one partition in one row: number in document, and two top words as one number or first and second word."""
+    """The n-grams of ``rows`` (row, text), those of several documents for one partition in one row: number in document, and two top words as one number or first and second word.
+
+    A document is named by a base, the same all along a row, and one byte; its n-gram of DOCUMENT holds its row.  The base is an array like the
+    others, which compresses to nothing: a column beside them would be pruned from the table of counts, and the shuffle not be used twice.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((hashes, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _Keys(*shared.value, TOP_BITS)
-        lists = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]
-        names = ["part", "rows", "times", "pairs", "firsts", "seconds", "sums"]
+        made_so_far = TaskContext.get().partitionId() << 36
+        lists = [pa.list_(t) for t in (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]
+        names = ["part", "bases", "rows", "times", "pairs", "firsts", "seconds", "sums"]
         for batch in batches:
             for lo in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(lo, TOGETHER)
+                part, base = batch.slice(lo, TOGETHER), made_so_far
+                made_so_far += 256
                 row = part.column(0).to_numpy()
                 found = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
                 n = np.array([len(f) for f in found], "i8")
@@ -147,18 +154,18 @@ def _packed(rows: DataFrame, hashes: np.ndarray, logs: np.ndarray, parts: int) -
                         pairs = column((v[pick] << TOP_BITS | x[pick]).astype("u4").view("i4"), lists[2]) if kind else empty(lists[2])
                         firsts, seconds = (empty(t) if kind else column(y[pick], t) for y, t in ((v, lists[3]), (x, lists[4])))
                         value = empty(lists[5]) if more is None else column(more[pick], lists[5])
-                        yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), column(row[d[pick]], lists[0]), column(times[pick], lists[1]), pairs, firsts, seconds, value], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), column(np.full(len(pick), base), lists[3]), column(d[pick].astype("u1").view("i1"), lists[0]), column(times[pick], lists[1]), pairs, firsts, seconds, value], names)
 
     return rows.select("row", "text").mapInArrow(run, _PACKED)
 
 
 def exploded(packed: DataFrame) -> DataFrame:
-    """(part, row, times, v, w, sum): an n-gram of a document a row."""
-    each = packed.select("part", F.inline(F.arrays_zip("rows", "times", "pairs", "firsts", "seconds", "sums")))
+    """(part, row, times, v, w, sum): an n-gram of a document a row; row is the document's base and byte."""
+    each = packed.select("part", F.inline(F.arrays_zip("bases", "rows", "times", "pairs", "firsts", "seconds", "sums")))
     two = F.col("pairs").isNotNull()
     v = F.when(two, F.shiftrightunsigned("pairs", TOP_BITS).cast("long")).otherwise(F.col("firsts"))
     w = F.when(two, F.col("pairs").bitwiseAND(F.lit((1 << TOP_BITS) - 1)).cast("long")).otherwise(F.col("seconds"))
-    return each.select("part", F.col("rows").alias("row"), "times", v.alias("v"), w.alias("w"), F.col("sums").alias("sum"))
+    return each.select("part", (F.col("bases") + F.col("rows").cast("int").bitwiseAND(F.lit(255))).alias("row"), "times", v.alias("v"), w.alias("w"), F.col("sums").alias("sum"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -193,15 +200,15 @@ def score(docs: DataFrame) -> DataFrame:
     value = F.when(is_doc, base).when(is_word, F.col("times") * F.log("c")).when(found, F.col("times") * gain)
     # words of bigrams that were found whose counts aren't broadcast: a document owes their logarithms
     owed = F.when(~is_doc & ~is_word & found, F.array_compact(F.array(F.when(F.col("ln_v").isNull(), F.col("v")), F.when(F.col("ln_w").isNull(), F.col("w")))))
-    said = asked.select("row", "times", is_doc.alias("is_doc"), value.alias("score"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(owed, F.array().cast("array<long>")))).alias("word"))
+    said = asked.select("row", "times", F.when(is_doc, F.col("w")).alias("of"), value.alias("score"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(owed, F.array().cast("array<long>")))).alias("word"))
     here = F.col("word").isNull()
-    said = said.groupBy("row", "word").agg(
-        F.sum(F.when(here & F.col("is_doc"), F.col("times"))).alias("n"), F.count_if(here & F.col("is_doc")).alias("docs"), F.sum(F.when(here, F.col("score"))).alias("score"), F.sum(F.when(~here, F.col("times"))).alias("times")
-    )
+    # times: the words of a document, or how often it owes a word
+    said = said.groupBy("row", "word").agg(F.max("of").alias("of"), F.sum(F.when(~here | F.col("of").isNotNull(), F.col("times"))).alias("times"), F.sum(F.when(here, F.col("score"))).alias("score"))
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # rows of a part are together, and so are those of an n-gram
         said = materialize(said, "lm-sums")
     debts = said.where("word is not null").select("row", "word", "times").join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("c")).alias("debt"))
-    per = said.where("word is null").select("row", "n", "docs", "score").join(debts, "row", "left")
+    per = said.where("word is null").select("row", "of", F.col("times").alias("n"), "score").join(debts, "row", "left")
+    per = per.groupBy(F.col("of").alias("row")).agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in ("n", "score", "debt")))
     out = rows.select("doc_id", "row").join(per, "row", "left")
     n = F.coalesce(F.expr("n div nullif(docs, 0)"), F.lit(0)).cast("long")
     s = F.coalesce((F.col("score") - F.coalesce("debt", F.lit(0.0))) / F.nullif(F.col("docs"), F.lit(0)), F.lit(0.0))
