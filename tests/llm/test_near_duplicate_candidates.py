@@ -183,3 +183,31 @@ def test_anchors_are_different_members(spark):
         anchors = [r[a] for a in near_duplicates.ANCHORS if r[a] is not None]
         assert len(set(anchors)) == len(anchors) == min(r["bucket"], near_duplicates.ROUNDS) and anchors[0] == 10 * r["bucket"]
         assert all(a // 10 == r["bucket"] for a in anchors)
+
+
+def test_similar_texts_meet_by_rare_tokens_or_are_both_left_over(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 3)
+    r = random.Random(13)
+    texts = []
+    for k in range(40):
+        base = [r.randrange(r.choice([40, 10**6])) for _ in range(r.randrange(12, 90))]
+        for _ in range(r.randrange(1, 7)):
+            w = base[:]
+            for _ in range(r.randrange(0, len(base) // 4)):
+                w[r.randrange(len(w))] = r.randrange(r.choice([40, 10**6]))
+            texts.append((len(texts), len(texts) if r.random() < 0.8 else 1000 + k, len(w), np.array(w, "<u4")))
+    members = spark.createDataFrame([(*t[:3], t[3].tobytes()) for t in texts], "node long, root long, size long, words binary").repartition(3)
+    for gram in near_duplicates.GRAMS:
+        links, rest = near_duplicates._by_rare_tokens(members, members, gram)
+        links, rest = {tuple(x) for x in links.collect()}, {x["node"] for x in rest.collect()}
+        wanted = {(a, b) for a, ra, _, x in texts for b, rb, _, y in texts if a < b and ra != rb and near_duplicates.similar(x, y)}
+        assert links <= wanted and all(a in rest and b in rest for a, b in wanted - links)
+        assert links and 0 < len(rest) < len(texts)
+
+
+def test_frequent_tokens_make_no_rows(spark, monkeypatch):
+    """Unlike texts that share many words: a row for each text and frequent word, and pairs that are compared later anyway, aren't written."""
+    r = random.Random(14)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join([*passage, *(f"q{j}" if r.random() < 0.6 else f"w{r.randrange(10**9)}" for j in range(60))]), "s") for k in range(240)]
+    assert sum(written(monkeypatch, spark, rows, "met")) < len(rows)

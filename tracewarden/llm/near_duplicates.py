@@ -9,8 +9,8 @@ Classes that share a value meet in a bucket.  Its members are held against one a
 components, against two others; a bucket of four is gone through by then.  Other members of buckets that are mixed even
 then, as where many unlike texts share a passage, meet by their rare pairs of words: two texts within the distance of a link have in
 common some of the rarest pairs of each, one more than the distance can have changed (prefix filtering, exact for any order of pairs), and
-a passage that many share is not rare.  Where these pairs are frequent too, single words take their place, and what is left after that
-is compared bucket by bucket, in pairs of blocks.  So every pair that shares a value is compared, can't be similar,
+a passage that many share is not rare.  Texts of whose rarest pairs as many are frequent as two must have in common go on with single words,
+and those of which that is true again are compared bucket by bucket, in pairs of blocks.  So every pair that shares a value is compared, can't be similar,
 or is in one component already.  A pair is linked if its edit distance in words is at most 1 - ``SIMILAR`` of the longer text, by an
 alignment confined to the band of that width.  Components of links are the groups.
 """
@@ -313,6 +313,17 @@ def tokens(words: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return token, kind
 
 
+def asked(size: int, gram: int) -> tuple[int, int]:
+    """(changed, common): how many tokens of a text of ``size`` words a link may change, and how many of the rarest are asked for; both grow with size."""
+    changed = int(np.floor((1 - SIMILAR) * gram * size + 1e-9))
+    return changed, max(1, min(max(COMMON, changed // MORE), size - gram + 1 - changed))
+
+
+def least_asked(size: int, gram: int) -> int:
+    """The fewest common tokens that are asked for between a text of ``size`` words and a similar one, which may be a fifth shorter."""
+    return asked(int(np.ceil(SIMILAR * size - 1e-6)), gram)[1]
+
+
 def rarest(words: np.ndarray, gram: int, seen: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest tokens of a text, and how many of them it has in common with any text that is similar.
 
@@ -321,8 +332,7 @@ def rarest(words: np.ndarray, gram: int, seen: np.ndarray) -> tuple[np.ndarray,
     of which unlike ones share a few by chance, so n grows with them.
     """
     token, kind = tokens(words, gram)
-    changed = int(np.floor((1 - SIMILAR) * gram * len(words) + 1e-9))
-    common = max(1, min(max(COMMON, changed // MORE), len(token) - changed))
+    changed, common = asked(len(words), gram)
     if len(token) <= changed + common:
         return token, common
     order = np.lexsort((token, seen[kind % np.uint64(len(seen))]))
@@ -379,23 +389,42 @@ def _by_rare_tokens(members: DataFrame, texts: DataFrame, gram: int) -> tuple[Da
                 n = [len(t) for t, _ in found]
                 if sum(n):
                     own = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in found]).view("i8")), *own, pa.array(np.repeat([c for _, c in found], n), pa.int32())], ["token", "node", "root", "size", "common"])
+                    asks = [[c for _, c in found], [least_asked(k, gram) for k in part.column(2).to_pylist()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in found]).view("i8")), *own, *(pa.array(np.repeat(x, n), pa.int32()) for x in asks)], ["token", "node", "root", "size", "common", "low"])
 
-    posted = members.select("node", "root", "size", "words").mapInArrow(run, "token long, node long, root long, size long, common int")
+    posted = materialize(members.select("node", "root", "size", "words").mapInArrow(run, "token long, node long, root long, size long, common int, low int"), "posted")
+    frequent = _frequent(posted)
+    marked = _marked(posted, frequent)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(posted.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_met, "a long, b long, least int, token long, root long"), "met")
-    pairs = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    rare = posted.drop("common", "low").join(frequent, "token", "left_anti").join(marked, "node").select("token", "node", "root", "size", "common")
+    met = materialize(rare.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_met, "a long, b long, least int, token long, root long"), "met")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
     pairs = materialize(pairs, "pairs")
     links = materialize(_verified(pairs, texts), "links")
-    frequent = met.where("b is null")
-    mixed = frequent.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rest = materialize(frequent.join(mixed.hint("merge"), "token", "left_semi").select(F.col("a").alias("node")).distinct(), "rest-nodes")
-    release(met, pairs)
+    rest = materialize(marked.where("common < 0").select("node"), "rest-nodes")
+    release(posted, frequent, marked, met, pairs)
     return links, rest
 
 
+def _frequent(posted: DataFrame) -> DataFrame:
+    """(token, mixed): the tokens of ``posted`` that more than FREQUENT texts have, and whether these are of several components."""
+    per = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+    return materialize(per.where(F.col("n") > FREQUENT).select("token", "mixed"), "frequent")
+
+
+def _marked(posted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(node, common): how many rare tokens each text of ``posted`` is to have in common with a similar one, below zero for texts that are left over.
+
+    Two similar texts have as many tokens in common as each asks for at least (low).  A text with fewer frequent ones of several components
+    meets every similar text by rare ones, then; only two texts that are both left over may have none in common.
+    """
+    own = posted.join(frequent, "token", "left").groupBy("node").agg(F.count(F.when(F.col("mixed"), 1)).alias("n"), F.min("common").alias("common"), F.min("low").alias("low"))
+    common = F.when(F.col("n") == 0, F.col("common")).when(F.col("n") < F.col("low"), F.col("low") - F.col("n")).otherwise(-F.col("common"))
+    return materialize(own.select("node", common.cast("int").alias("common")), "marked")
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node, root, size, common) in the order of tokens: the pairs that can be linked of each token that few have, and (a, -, -, token, root) for each text that has a frequent one."""
+    """Of rows (token, node, root, size, common) in the order of tokens: the pairs that can be linked of each token that few have, but those of two texts that are left over (common is below zero), and (a, -, -, token, root) for each text that has a frequent one."""
     names = ["a", "b", "least", "token", "root"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     held, frequent = None, None
@@ -410,8 +439,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = np.triu_indices(n, 1)
         x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
         ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= SIMILAR * np.maximum(size[x], size[y]) - 1e-6)
+        ok &= (common[x] > 0) | (common[y] > 0)
         x, y = x[ok], y[ok]
-        return told(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(common[x], common[y]), None, None) if len(x) else None
+        return told(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(abs(common[x]), abs(common[y])), None, None) if len(x) else None
 
     def finish(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         token = rows[0]
