@@ -211,3 +211,9 @@ def test_frequent_tokens_make_no_rows(spark, monkeypatch):
     passage = [f"p{k}" for k in range(120)]
     rows = [(k, " ".join([*passage, *(f"q{j}" if r.random() < 0.6 else f"w{r.randrange(10**9)}" for j in range(60))]), "s") for k in range(240)]
     assert sum(written(monkeypatch, spark, rows, "met")) < len(rows)
+
+
+def test_buckets_of_the_same_members_have_the_same_anchors(spark):
+    """Texts that share a passage share dozens of buckets: they aren't held against another anchor for each."""
+    slots = spark.createDataFrame([(b, 100 + i) for b in range(60) for i in range(30)], "bucket long, node long")
+    assert near_duplicates._anchored(slots).select(*near_duplicates.ANCHORS).distinct().count() == 1

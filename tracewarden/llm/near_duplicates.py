@@ -6,7 +6,7 @@ smallest-hashed k-mers of ``K`` words, labelled with their occurrence number and
 two texts share a value with a probability that follows their edit similarity rather than their sets alone.
 
 Classes that share a value meet in a bucket.  Its members are held against one anchor, then, where they are of other
-components, against two others; a bucket of four is gone through by then.  Other members of buckets that are mixed even
+components, against a second, in buckets of up to four also against a third, which ends them.  Other members of buckets that are mixed even
 then, as where many unlike texts share a passage, meet by their rare pairs of words: two texts within the distance of a link have in
 common some of the rarest pairs of each, one more than the distance can have changed (prefix filtering, exact for any order of pairs), and
 a passage that many share is not rare.  Texts of whose rarest pairs as many are frequent as two must have in common go on with single words,
@@ -238,15 +238,15 @@ def sketched(classes: DataFrame) -> DataFrame:
 
 
 def _anchored(slots: DataFrame) -> DataFrame:
-    """The rows of ``slots`` (bucket, node) in buckets of several members, with ROUNDS different members of the bucket as anchors, null where it has fewer.
+    """The rows of ``slots`` (bucket, node) in buckets of several members (n), with ROUNDS different members of the bucket as anchors, null where it has fewer.
 
-    The first is the smallest, so that buckets of the same members have the same.
+    The first is the smallest, others follow from the members alone, so that buckets of the same members have the same and a pair isn't made for each.
     """
     by_bucket = Window.partitionBy("bucket")
-    out = slots.withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn(ANCHORS[0], F.min("node").over(by_bucket)).where("n > 1").drop("n")
+    out = slots.withColumn("n", F.count(F.lit(1)).over(by_bucket)).withColumn(ANCHORS[0], F.min("node").over(by_bucket)).where("n > 1")
     for turn in range(1, ROUNDS):
         other = ~F.col("node").isin(*(F.col(a) for a in ANCHORS[:turn]))
-        first = F.min(F.when(other, F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), "node"))).over(by_bucket)
+        first = F.min(F.when(other, F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node"))).over(by_bucket)
         out = out.withColumn(ANCHORS[turn], first["node"])
     return out
 
@@ -566,9 +566,11 @@ def groups(docs: DataFrame) -> DataFrame:
     release(worded_rows)
     members = materialize(_anchored(sketched(classes)), "members")
     roots = graph.no_roots(docs.sparkSession)
+    # the last anchor is for buckets that it ends; in larger ones it would be held against nearly all members again, with few links
+    ended = F.col("n") <= ROUNDS + 1
     for turn in range(ROUNDS):
         # those that were anchors before have been held against all others of the bucket
-        pairs = members.where(~F.col("node").isin(*(F.col(a) for a in ANCHORS[: turn + 1]))).select("node", F.col(ANCHORS[turn]).alias("anchor"))
+        pairs = (members if turn < ROUNDS - 1 else members.where(ended)).where(~F.col("node").isin(*(F.col(a) for a in ANCHORS[: turn + 1]))).select("node", F.col(ANCHORS[turn]).alias("anchor"))
         pairs = pairs.select(F.greatest("node", "anchor").alias("a"), F.least("node", "anchor").alias("b")).distinct()
         if turn:
             pairs = graph.rooted(graph.rooted(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
@@ -576,7 +578,8 @@ def groups(docs: DataFrame) -> DataFrame:
         links = materialize(_verified(pairs, classes), "links")
         roots = graph.merge(roots, links)
         release(pairs, links)
-    left = materialize(members.where(~F.col("node").isin(*map(F.col, ANCHORS))).select("bucket", "node"), "left")
+    anchor = F.when(ended, F.col("node").isin(*map(F.col, ANCHORS))).otherwise(F.col("node").isin(*map(F.col, ANCHORS[:-1])))
+    left = materialize(members.where(~anchor).select("bucket", "node"), "left")
     release(members)
     members = left
     roots = _rest_joined(members, classes, roots)
