@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.operators import findings as fs
@@ -256,3 +257,34 @@ def test_variants_of_names_are_not_broadcast(spark):
     assert near.where("name = 'plain-name-7'").count() > 0
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_all_short_names(spark, most):
+    """Each pair of all short texts of two letters, so that each way to be near occurs, with runs too, once."""
+    import functools
+    import itertools
+
+    from tracewarden.operators import similar_names
+
+    @functools.cache
+    def plain(a, b):
+        return max(len(a), len(b)) if not a or not b else min(plain(a[1:], b) + 1, plain(a, b[1:]) + 1, plain(a[1:], b[1:]) + (a[0] != b[0]))
+
+    texts = ["".join(x) for n in range(7) for x in itertools.product("aé", repeat=n)]
+    names = spark.createDataFrame([(t,) for t in texts], "name string")
+    got = sorted(tuple(r) for r in similar_names.neighbours(names, names.withColumnRenamed("name", "known"), most).collect())
+    assert got == sorted((a, b, plain(a, b)) for a in texts for b in texts if 1 <= plain(a, b) <= most)
+
+
+def test_pairs_of_names_are_not_shuffled(spark):
+    from tracewarden.operators import similar_names
+
+    names = spark.range(3000).selectExpr("concat('name-', id) as name")
+    near = similar_names.neighbours(names, names.withColumnRenamed("name", "known"))
+    pairs = [tuple(r) for r in near.collect()]
+    assert len(set(pairs)) == len(pairs) > 3000
+    plan = near._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    above = plan.partition("SortMergeJoin")[0]
+    assert "Aggregate" not in above and "Exchange" not in above and "levenshtein" not in plan  # pairs are neither shuffled nor measured
+    assert "ReusedExchange" in plan and "REPARTITION_BY_NUM" in plan  # the rows of names are made once for both sides, by several tasks

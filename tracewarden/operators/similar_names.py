@@ -1,11 +1,16 @@
 """Names within two edits of one another, without comparing every name with every other.
 
 Two names are at most k edits apart only if some text can be made of both by leaving out at most k letters of each.
-All such texts of a name are its variants; names that share one meet in an equi-join on its hash and are then measured.
+Names meet in equi-joins on hashes of such texts, and are then compared.  Two names share many such texts, but they
+are taken for a pair at one of them only, so pairs are neither shuffled nor made distinct.  Which one follows from
+where the names begin to differ and where they cease to: nothing before and after that is edited, and with two edits
+the first must be where they begin to differ and the second where they cease to.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +31,126 @@ def variants(name: Column, most: int = MOST) -> Column:
     return F.array_distinct(F.transform(F.concat(*all_), lambda v: F.xxhash64(v)))
 
 
+def _at(s: Column, i: Column) -> Column:
+    return F.substring(s, i, F.lit(1))
+
+
+def _cut(s: Column, first: Column, last: Column) -> Column:
+    return F.substring(s, first, last - first + 1)
+
+
+def _parts(s: Column, i: Column, j: Column) -> list[Column]:
+    """What is before the letter i, between the letters i and j, and after the letter j."""
+    return [_cut(s, F.lit(1), i - 1), _cut(s, i + 1, j - 1), F.substring(s, j + 1, F.length(s))]
+
+
+def _left(s: Column, i: Column) -> Column:
+    """What is left without the letter i, if there is one."""
+    return F.when(i == 0, s).otherwise(F.concat(_cut(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+
+def _both(x: Column, y: Column) -> Column:
+    """Two numbers as one."""
+    return F.shiftleft(x.cast("long"), 32) + y
+
+
+def _first(b: Column) -> Column:
+    return F.shiftright(b, 32).cast("int")
+
+
+def _second(b: Column) -> Column:
+    return b.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _pairs_of_places(texts: DataFrame) -> DataFrame:
+    """(s, i, j) for each two places i < j of each text."""
+    each = texts.select("s", F.explode(F.when(F.length("s") >= 2, F.sequence(F.lit(1), F.length("s") - 1))).alias("i"))
+    return each.select("s", "i", F.explode(F.sequence(F.col("i") + 1, F.length("s"))).alias("j"))
+
+
+def _masked(texts: DataFrame, side: str) -> DataFrame:
+    """Each text with two letters masked, as a hash, with their places and what they are."""
+    s, i, j = F.col("s"), F.col("i"), F.col("j")
+    letters = _both(F.ascii(_at(s, i)), F.ascii(_at(s, j)))
+    return _pairs_of_places(texts).select(F.xxhash64(i, j, *_parts(s, i, j)).alias("v"), s.alias(side), _both(i, j).alias(f"{side}_at"), letters.alias(f"{side}_letters"))
+
+
+def _without_one(texts: DataFrame, side: str) -> DataFrame:
+    """Each text whole (its place is 0) and without one letter, as a hash."""
+    s, i = F.col("s"), F.col("i")
+    return texts.select("s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("i")).select(F.xxhash64(_left(s, i)).alias("v"), s.alias(side), i.alias(f"{side}_i"))
+
+
+def _without_two(texts: DataFrame, side: str) -> DataFrame:
+    """Each text without two letters, as a hash; not those where neither can be an end of an edit, as both are inside of runs of one letter."""
+    s, i, j = F.col("s"), F.col("i"), F.col("j")
+    ends = (j == i + 1) | (_at(s, j) != _at(s, j - 1)) | (_at(s, i) != _at(s, i + 1))
+    return _pairs_of_places(texts).where(ends).select(F.xxhash64(F.concat(*_parts(s, i, j))).alias("v"), s.alias(side), _both(i, j).alias(f"{side}_at"))
+
+
+def _same(near: Column, *parts: tuple[Column, Column]) -> Column:
+    """Whether ``near`` holds and the parts, of which only a hash was compared, are the same.  (In one expression, or Spark would sort by the parts.)"""
+    return F.when(near, reduce(Column.__and__, (p == q for p, q in parts)))
+
+
+def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Texts of one length that differ at two places: both are masked there."""
+    met = _masked(a, "a").join(_masked(b, "b").hint("merge"), "v")
+    at, letters = F.col("a_at"), F.col("a_letters").bitwiseXOR(F.col("b_letters"))
+    near = (at.bitwiseXOR(F.col("b_at")) == 0) & (_first(letters) != 0) & (_second(letters) != 0)
+    parts = zip(*(_parts(F.col(s), _first(at), _second(at)) for s in "ab"), strict=True)
+    return met.where(_same(near, *parts)).select("a", "b", F.lit(2).alias("distance"))
+
+
+def _moved(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Texts with one letter left out of one or both, but for those that differ at two places."""
+    met = _without_one(a, "a").join(_without_one(b, "b").hint("merge"), "v")
+    s, t, i, j = F.col("a"), F.col("b"), F.col("a_i"), F.col("b_i")
+
+    def begins(s: Column, i: Column) -> Column:  # a run of one letter
+        return _at(s, i) != _at(s, i - 1)
+
+    def ends(s: Column, i: Column) -> Column:
+        return _at(s, i) != _at(s, i + 1)
+
+    # one letter left out earlier in one text than in the other: from there on each letter of the one is the next one's in the other
+    lo, hi = F.least(i, j), F.greatest(i, j)
+    more = _cut(s, lo + 1, hi - 1) != _cut(t, lo + 1, hi - 1)
+    earlier = ends(s, i) & begins(t, j) & more
+    later = begins(s, i) & ends(t, j) & more & (_cut(s, lo + 1, hi) != _cut(t, lo, hi - 1))
+    near = F.when(i == j, (i != 0) & (_at(s, i) != _at(t, i))).when(j == 0, ends(s, i)).when(i == 0, ends(t, j)).when(i < j, earlier).otherwise(later)
+    return met.where(_same(near, (_left(s, i), _left(t, j)))).select("a", "b", F.when((i == j) | (i == 0) | (j == 0), 1).otherwise(2).alias("distance"))
+
+
+def _shortened(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Texts ``a`` and what is left of them without two letters, or without one and with another one replaced."""
+    met = _without_two(a, "a").join(_without_one(b, "b").hint("merge"), "v")
+    s, t, i, j, k = F.col("a"), F.col("b"), _first(F.col("a_at")), _second(F.col("a_at")), F.col("b_i")
+    none = F.when(j == i + 1, _at(s, i) != _at(s, i + 2)).otherwise((_at(s, i) != _at(s, i + 1)) & (_at(s, j) != _at(s, j - 1)))
+    one = (k == i) | ((k == j - 1) & (_cut(s, i + 1, j - 1) != _cut(t, i + 1, j - 1)))
+    one &= (_at(s, i) != _at(t, i)) & (_at(s, j) != _at(t, j - 1))
+    near = F.when(k == 0, none).otherwise(one)
+    return met.where(_same(near, (F.concat(*_parts(s, i, j)), _left(t, k)))).select("a", "b", F.lit(2).alias("distance"))
+
+
 def neighbours(names: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
     """(name, known, distance) for all different texts of ``names`` (name) and ``known`` (known) that are at most ``most`` edits apart.
 
     Null names have no neighbours, repeated ones count once; equal names aren't neighbours.  Both sides may grow: each name is as many
-    rows as it has variants, about half the square of its letters.  The join sorts both: Spark takes the variants to be as few as the
-    names and would broadcast them.
+    rows as it has pairs of letters, about half the square of their number.  These rows are sorted, never broadcast (Spark takes them to be
+    as few as the names), and made once if both sides are the same.  With more than two edits pairs are made distinct instead.
     """
-    a = names.where("name is not null").select("name").distinct().select("name", F.explode(variants(F.col("name"), most)).alias("v"))
-    b = known.where("known is not null").select("known").distinct().select("known", F.explode(variants(F.col("known"), most)).alias("v"))
-    met = a.join(b.hint("merge"), "v").where("name <> known").where(F.abs(F.length("name") - F.length("known")) <= most).select("name", "known").distinct()
-    return met.withColumn("distance", F.levenshtein("name", "known", most)).where("distance >= 1")
+    tasks = 4 * names.sparkSession.sparkContext.defaultParallelism  # a number, or the few names would be coalesced into one task that makes all rows
+
+    def texts(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(F.col(column).alias("s")).repartition(tasks, "s").distinct()
+
+    a, b = texts(names, "name"), texts(known, "known")
+    if most > 2:
+        met = a.select(F.col("s").alias("a"), F.explode(variants(F.col("s"), most)).alias("v")).join(b.select(F.col("s").alias("b"), F.explode(variants(F.col("s"), most)).alias("v")).hint("merge"), "v")
+        met = met.where("a <> b").where(F.abs(F.length("a") - F.length("b")) <= most).select("a", "b").distinct().withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 1")
+    else:
+        met = _moved(a, b)
+        if most == 2:
+            met = met.unionByName(_changed(a, b)).unionByName(_shortened(a, b)).unionByName(_shortened(b, a).select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    return met.where(F.col("distance") <= most).select(F.col("a").alias("name"), F.col("b").alias("known"), "distance")
