@@ -9,8 +9,6 @@ the first must be where they begin to differ and the second where they cease to.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +42,6 @@ def _parts(s: Column, i: Column, j: Column) -> list[Column]:
     return [_cut(s, F.lit(1), i - 1), _cut(s, i + 1, j - 1), F.substring(s, j + 1, F.length(s))]
 
 
-def _left(s: Column, i: Column) -> Column:
-    """What is left without the letter i, if there is one."""
-    return F.when(i == 0, s).otherwise(F.concat(_cut(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-
-
 def _both(x: Column, y: Column) -> Column:
     """Two numbers as one."""
     return F.shiftleft(x.cast("long"), 32) + y
@@ -69,68 +62,71 @@ def _pairs_of_places(texts: DataFrame) -> DataFrame:
 
 
 def _masked(texts: DataFrame, side: str) -> DataFrame:
-    """Each text with two letters masked, as a hash, with their places and what they are."""
+    """Each text with two letters masked: a hash, the text, what is left, the two places and the two letters."""
     s, i, j = F.col("s"), F.col("i"), F.col("j")
-    letters = _both(F.ascii(_at(s, i)), F.ascii(_at(s, j)))
-    return _pairs_of_places(texts).select(F.xxhash64(i, j, *_parts(s, i, j)).alias("v"), s.alias(side), _both(i, j).alias(f"{side}_at"), letters.alias(f"{side}_letters"))
+    left, letters = F.concat(*_parts(s, i, j)), _both(F.ascii(_at(s, i)), F.ascii(_at(s, j)))
+    return _pairs_of_places(texts).select(F.xxhash64(i, j, left).alias("v"), s.alias(side), left.alias(f"{side}_left"), _both(i, j).alias(f"{side}_at"), letters.alias(f"{side}_letters"))
 
 
 def _without_one(texts: DataFrame, side: str) -> DataFrame:
-    """Each text whole (its place is 0) and without one letter, as a hash."""
+    """Each text whole (its place is 0) and without one letter: a hash, the text, what is left, the place and the letter.
+
+    The letter is its code times four, and two if a run of it begins there, and one if a run of it ends there.
+    """
     s, i = F.col("s"), F.col("i")
-    return texts.select("s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("i")).select(F.xxhash64(_left(s, i)).alias("v"), s.alias(side), i.alias(f"{side}_i"))
+    left = F.when(i == 0, s).otherwise(F.concat(_cut(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    begins, ends = (i == 1) | (_at(s, i) != _at(s, i - 1)), _at(s, i) != _at(s, i + 1)
+    letter = F.when(i == 0, 0).otherwise(F.ascii(_at(s, i)) * 4 + begins.cast("int") * 2 + ends.cast("int"))
+    each = texts.select("s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("i"))
+    return each.select(F.xxhash64(left).alias("v"), s.alias(side), left.alias(f"{side}_left"), i.alias(f"{side}_i"), letter.alias(f"{side}_letter"))
 
 
 def _without_two(texts: DataFrame, side: str) -> DataFrame:
-    """Each text without two letters, as a hash; not those where neither can be an end of an edit, as both are inside of runs of one letter."""
+    """Each text without two letters: a hash, the text and the places; not those where neither can be an end of an edit, as both are inside of runs of one letter."""
     s, i, j = F.col("s"), F.col("i"), F.col("j")
     ends = (j == i + 1) | (_at(s, j) != _at(s, j - 1)) | (_at(s, i) != _at(s, i + 1))
     return _pairs_of_places(texts).where(ends).select(F.xxhash64(F.concat(*_parts(s, i, j))).alias("v"), s.alias(side), _both(i, j).alias(f"{side}_at"))
 
 
-def _same(near: Column, *parts: tuple[Column, Column]) -> Column:
-    """Whether ``near`` holds and the parts, of which only a hash was compared, are the same.  (In one expression, or Spark would sort by the parts.)"""
-    return F.when(near, reduce(Column.__and__, (p == q for p, q in parts)))
+# In the joins below what is left is compared beside its hash, inside of a ``when``: of an equality in the open Spark would make a key and sort by it.
 
 
 def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Texts of one length that differ at two places: both are masked there."""
     met = _masked(a, "a").join(_masked(b, "b").hint("merge"), "v")
-    at, letters = F.col("a_at"), F.col("a_letters").bitwiseXOR(F.col("b_letters"))
-    near = (at.bitwiseXOR(F.col("b_at")) == 0) & (_first(letters) != 0) & (_second(letters) != 0)
-    parts = zip(*(_parts(F.col(s), _first(at), _second(at)) for s in "ab"), strict=True)
-    return met.where(_same(near, *parts)).select("a", "b", F.lit(2).alias("distance"))
+    letters = F.col("a_letters").bitwiseXOR(F.col("b_letters"))
+    near = (F.col("a_at").bitwiseXOR(F.col("b_at")) == 0) & (_first(letters) != 0) & (_second(letters) != 0)
+    return met.where(F.when(near, F.col("a_left") == F.col("b_left"))).select("a", "b", F.lit(2).alias("distance"))
 
 
 def _moved(a: DataFrame, b: DataFrame) -> DataFrame:
     """Texts with one letter left out of one or both, but for those that differ at two places."""
     met = _without_one(a, "a").join(_without_one(b, "b").hint("merge"), "v")
-    s, t, i, j = F.col("a"), F.col("b"), F.col("a_i"), F.col("b_i")
+    s, t, i, j, x, y = map(F.col, ["a", "b", "a_i", "b_i", "a_letter", "b_letter"])
 
-    def begins(s: Column, i: Column) -> Column:  # a run of one letter
-        return _at(s, i) != _at(s, i - 1)
+    def begins(letter: Column) -> Column:
+        return letter.bitwiseAND(F.lit(2)) != 0
 
-    def ends(s: Column, i: Column) -> Column:
-        return _at(s, i) != _at(s, i + 1)
+    def ends(letter: Column) -> Column:
+        return letter.bitwiseAND(F.lit(1)) != 0
 
     # one letter left out earlier in one text than in the other: from there on each letter of the one is the next one's in the other
-    lo, hi = F.least(i, j), F.greatest(i, j)
-    more = _cut(s, lo + 1, hi - 1) != _cut(t, lo + 1, hi - 1)
-    earlier = ends(s, i) & begins(t, j) & more
-    later = begins(s, i) & ends(t, j) & more & (_cut(s, lo + 1, hi) != _cut(t, lo, hi - 1))
-    near = F.when(i == j, (i != 0) & (_at(s, i) != _at(t, i))).when(j == 0, ends(s, i)).when(i == 0, ends(t, j)).when(i < j, earlier).otherwise(later)
-    return met.where(_same(near, (_left(s, i), _left(t, j)))).select("a", "b", F.when((i == j) | (i == 0) | (j == 0), 1).otherwise(2).alias("distance"))
+    earlier = ends(x) & begins(y) & (j > i + 1) & (_cut(s, i + 1, j - 1) != _cut(t, i + 1, j - 1))
+    later = begins(x) & ends(y) & (i > j + 1) & (_cut(s, j + 1, i - 1) != _cut(t, j + 1, i - 1)) & (_cut(s, j + 1, i) != _cut(t, j, i - 1))
+    near = F.when(i == j, F.shiftright(x, 2) != F.shiftright(y, 2)).when(j == 0, ends(x)).when(i == 0, ends(y)).when(i < j, earlier).otherwise(later)
+    kept = met.where(F.when(near, F.col("a_left") == F.col("b_left")))
+    return kept.select("a", "b", F.when((i == j) | (i == 0) | (j == 0), 1).otherwise(2).alias("distance"))
 
 
 def _shortened(a: DataFrame, b: DataFrame) -> DataFrame:
     """Texts ``a`` and what is left of them without two letters, or without one and with another one replaced."""
     met = _without_two(a, "a").join(_without_one(b, "b").hint("merge"), "v")
-    s, t, i, j, k = F.col("a"), F.col("b"), _first(F.col("a_at")), _second(F.col("a_at")), F.col("b_i")
+    s, t, i, j, k, y = F.col("a"), F.col("b"), _first(F.col("a_at")), _second(F.col("a_at")), F.col("b_i"), F.shiftright("b_letter", 2)
     none = F.when(j == i + 1, _at(s, i) != _at(s, i + 2)).otherwise((_at(s, i) != _at(s, i + 1)) & (_at(s, j) != _at(s, j - 1)))
-    one = (k == i) | ((k == j - 1) & (_cut(s, i + 1, j - 1) != _cut(t, i + 1, j - 1)))
-    one &= (_at(s, i) != _at(t, i)) & (_at(s, j) != _at(t, j - 1))
-    near = F.when(k == 0, none).otherwise(one)
-    return met.where(_same(near, (F.concat(*_parts(s, i, j)), _left(t, k)))).select("a", "b", F.lit(2).alias("distance"))
+    first = (F.ascii(_at(s, i)) != y) & (_at(s, j) != _at(t, j - 1))
+    second = (_at(s, i) != _at(t, i)) & (F.ascii(_at(s, j)) != y) & (_cut(s, i + 1, j - 1) != _cut(t, i + 1, j - 1))
+    near = F.when(k == 0, none).when(k == i, first).when(k == j - 1, second)
+    return met.where(F.when(near, F.concat(*_parts(s, i, j)) == F.col("b_left"))).select("a", "b", F.lit(2).alias("distance"))
 
 
 def neighbours(names: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
